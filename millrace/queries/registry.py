@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from types import ModuleType
 
-from millrace.queries import relational, upkeep
+from millrace.queries import relational, scalars, upkeep
 
-MODULES: list[ModuleType] = [upkeep, relational]
+MODULES: list[ModuleType] = [upkeep, relational, scalars]
 
 
 def _merged(attribute: str) -> dict:
