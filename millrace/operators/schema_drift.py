@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.adjacent import with_previous
+from millrace.session import stash
 
 FIELDS = "array<struct<attnum:string,name:string,kind:string>>"
 
@@ -68,7 +69,9 @@ def migration_steps(parsed: DataFrame) -> DataFrame:
     retyped gives two steps. Versions whose fingerprints agree give none. Only
     (key, time, id) is sorted to find predecessors, over ranges, so a table with
     very many versions is no hot task; the fields meet by (version, column number).
+    The versions are read several times, so they are parsed once and written.
     """
+    parsed = stash(parsed, "versions")
     narrow = parsed.select(*KEY, "updated_at", "id", "fingerprint")
     edges = with_previous(narrow, KEY, ["updated_at", "id"], ["id", "fingerprint"]).where("prev_id IS NOT NULL AND prev_fingerprint <> fingerprint").select("id", "prev_id")
     fields = parsed.select("id", F.explode("fields").alias("f")).select("id", "f.*")
