@@ -22,3 +22,19 @@ def join_counted(rows: DataFrame, counted: DataFrame, key: str, total: int, coun
     some = rows.join(heavy, key)
     rest = rows.join(heavy.select(key), key, "left_anti").join(light, key)
     return some.unionByName(rest)
+
+
+#: Rows of a key list that may be broadcast.
+SMALL_LIST = 1_000_000
+
+
+def leave_out(rows: DataFrame, listed: DataFrame, key: str, small: int = SMALL_LIST) -> DataFrame:
+    """``rows`` without the keys of ``listed`` (written already: it is counted); broadcast if it has at most ``small`` rows, else shuffled."""
+    return rows.join(F.broadcast(listed) if listed.count() <= small else listed, key, "left_anti")
+
+
+def join_listed(rows: DataFrame, counted: DataFrame, key: str, total: int, count: str = "n", small: int = SMALL_LIST) -> DataFrame:
+    """``join_counted``, but a list (written already: it is counted) of at most ``small`` keys is broadcast whole."""
+    if counted.count() <= small:
+        return rows.join(F.broadcast(counted), key)
+    return join_counted(rows, counted, key, total, count)
