@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
@@ -29,34 +30,37 @@ def reduce_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return points[keep], kept[starts]
 
 
+@functools.lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE, and of its inverse, modulo 2^64."""
+    with np.errstate(over="ignore"):
+        return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, b, dtype=np.uint64)]), dtype=np.uint64) for b in (BASE, np.uint64(pow(int(BASE), -1, 1 << 64))))
+
+
 def window_hashes(points: np.ndarray, size: int) -> np.ndarray:
-    """64-bit hash of every stretch of ``size`` code points: a polynomial taken by doubling, so its cost is log(size) passes.
+    """64-bit hash of every stretch of ``size`` code points, equal for equal stretches wherever they stand.
 
-    With h(a) the hash of the first half and h(b) of the rest, the whole is
-    h(a) * m + h(b), m a constant of the lengths; equal stretches hash alike
-    wherever they stand.
+    Differences of prefix sums of a polynomial, times the inverse power of the place.
     """
     n = len(points) - size + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
+    length = 1 << 16
+    while length < len(points):
+        length *= 2
+    powers, inverse = _powers(length)
     with np.errstate(over="ignore"):
-        level = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        level ^= level >> np.uint64(32)
-        factor, width, out, covered = BASE, 1, None, 0
-        rest = size
-        while rest:
-            if rest & 1:
-                if out is None:
-                    out, covered = level, width
-                else:
-                    k = min(len(level), len(out) - width)
-                    out, covered = level[:k] * np.uint64(pow(int(BASE), covered, 1 << 64)) + out[width : width + k], covered + width
-            rest >>= 1
-            if rest:
-                level = level[:-width] * factor + level[width:]
-                factor, width = factor * factor, width * 2
-        out = out[:n] * np.uint64(0x94D049BB133111EB)
-        return out ^ (out >> np.uint64(29))
+        terms = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        terms ^= terms >> np.uint64(32)
+        terms *= powers[: len(terms)]
+        sums = np.cumsum(terms, dtype=np.uint64)
+        out = sums[size - 1 :].copy()
+        out[1:] -= sums[: n - 1]
+        out *= inverse[:n]
+        out ^= out >> np.uint64(31)
+        out *= np.uint64(0x94D049BB133111EB)
+        out ^= out >> np.uint64(29)
+    return out
 
 
 def myers(pattern: list[int], text: list[int]) -> int:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.chars import blocks, code_points, texts_of
 from millrace.llm.leakage import window_hashes
-from millrace.operators.heavy import join_counted
+from millrace.operators.heavy import join_listed, leave_out
+from millrace.operators.sieve import Sieve, key_hash
 from millrace.session import stash
 
 BLOCK = 1_000_000
@@ -24,20 +25,19 @@ SEED = 100
 PAIRED = 16
 #: Cost of a character between two chained matches, in matched characters.
 GAP_COST = 0.05
-TOP = np.uint64(2**64 - 1)
 
 
-def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of every ``width`` consecutive values, by minima of blocks from both ends."""
+def sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """Least (np.minimum) or greatest (np.maximum) of every ``width`` consecutive values, from runs over blocks in both directions."""
     n = len(values)
     if n < width:
         return np.empty(0, dtype=values.dtype)
-    padded = np.full(-(-n // width) * width, TOP, dtype=np.uint64)
-    padded[:n] = values
+    padded = np.empty(-(-n // width) * width, dtype=np.uint64)
+    padded[:n], padded[n:] = values, values[-1]
     grid = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(grid, axis=1).ravel()
-    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
+    ahead = pick.accumulate(grid, axis=1).ravel()
+    behind = pick.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    return pick(behind[: n - width + 1], ahead[width - 1 : n])
 
 
 def sketch(points: np.ndarray, starts: np.ndarray, span: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -50,18 +50,17 @@ def sketch(points: np.ndarray, starts: np.ndarray, span: int, seed: int) -> tupl
     """
     hashes = window_hashes(points, seed)
     width = span - seed + 1
-    least = sliding_min(hashes, width)
-    begins = np.arange(len(least))
-    text = np.searchsorted(starts, begins, "right") - 1
-    inside = begins + span <= starts[text + 1]
+    least = sliding(hashes, width, np.minimum)
+    inside = np.arange(len(least)) + span <= np.repeat(starts[1:], np.diff(starts))[: len(least)]
+    if not len(least):
+        return hashes, least, inside, np.empty(0, dtype=np.int64)
     edge = np.zeros(width - 1, dtype=np.uint64)
-    padded = np.concatenate([edge, np.where(inside, least, np.uint64(0)), edge])
-    greatest = TOP - sliding_min(TOP - padded, width)
-    return hashes, least, inside, np.flatnonzero(greatest == hashes[: len(greatest)])
+    greatest = sliding(np.concatenate([edge, np.where(inside, least, np.uint64(0)), edge]), width, np.maximum)
+    return hashes, least, inside, np.flatnonzero((greatest == hashes) & (greatest > 0))
 
 
 def sketches(documents: DataFrame, key: str, text: str, span: int, seed: int) -> DataFrame:
-    """Per text of at least ``span`` characters: key, length, 128-bit content hash, seed hashes and positions."""
+    """A row per selected seed of every text of at least ``span`` characters: key, length, 128-bit content hash, seed hash h, position pos."""
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,20 +69,16 @@ def sketches(documents: DataFrame, key: str, text: str, span: int, seed: int) ->
             for a, b in blocks(texts, BLOCK):
                 points, starts = code_points(texts[a:b])
                 hashes, _, _, at = sketch(points, starts, span, seed)
-                cuts = np.searchsorted(at, starts)
-                origin = np.repeat(starts[:-1], np.diff(cuts))
-                offsets = pa.array(cuts.astype(np.int32))
+                which = np.searchsorted(starts, at, "right") - 1
+                rows = pa.array(which)
+                content = pa.array([hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts[a:b]], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, b - a), pa.array(np.diff(starts).astype(np.int32)),
-                        pa.array([hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts[a:b]], pa.binary()),
-                        pa.ListArray.from_arrays(offsets, pa.array(hashes[at].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array((at - origin).astype(np.int32))),
-                    ],
-                    names=[key, "length", "content", "hashes", "positions"],
-                )
+                    [batch.column(0).slice(a, b - a).take(rows), pa.array(np.diff(starts).astype(np.int32)).take(rows), content.take(rows), pa.array(hashes[at].view(np.int64)), pa.array((at - starts[which]).astype(np.int32))],
+                    names=[key, "length", "content", "h", "pos"],
+                )
 
     kept = documents.where(F.col(key).isNotNull() & (F.length(text) >= span)).select(F.col(key), F.col(text))
-    return kept.mapInArrow(run, f"`{key}` {kind}, length int, content binary, hashes array<bigint>, positions array<int>")
+    return kept.mapInArrow(run, f"`{key}` {kind}, length int, content binary, h bigint, pos int")
 
 
 class Fenwick:
@@ -206,17 +201,24 @@ def passages(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]], seed:
     return out
 
 
-def packed_texts(documents: DataFrame, key: str, text: str, span: int) -> DataFrame:
-    """key and compressed text of every text that can hold a shared span."""
+def packed_texts(documents: DataFrame, key: str, text: str, span: int, wanted: DataFrame) -> DataFrame:
+    """key and compressed text of the texts that ``wanted`` (distinct keys, written already) may hold.
+
+    A filter of bounded size leaves most other texts out before they are
+    compressed and shuffled; a join must follow for the few that pass wrongly.
+    """
     kind = documents.schema[key].dataType.simpleString()
+    sent = Sieve.of(wanted, key, wanted.count()).send(documents)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=6)
         for batch in batches:
-            packed = [pack.compress(t.encode("utf-8", "surrogatepass")) for t in texts_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=[key, "packed"])
+            at = np.flatnonzero(sent.value.holds(batch.column(2).to_numpy()))
+            kept = batch.take(pa.array(at))
+            packed = [pack.compress(t.encode("utf-8", "surrogatepass")) for t in texts_of(kept.column(1))]
+            yield pa.RecordBatch.from_arrays([kept.column(0), pa.array(packed, pa.binary())], names=[key, "packed"])
 
-    kept = documents.where(F.col(key).isNotNull() & (F.length(text) >= span)).select(F.col(key), F.col(text))
+    kept = documents.where(F.col(key).isNotNull() & (F.length(text) >= span)).select(F.col(key), F.col(text), key_hash(F.col(key)))
     return kept.mapInArrow(run, f"`{key}` {kind}, packed binary")
 
 
@@ -334,20 +336,22 @@ def shared_spans(documents: DataFrame, span: int = 400, key: str = "doc_id", tex
     kind = documents.schema[key].dataType.simpleString()
     arrow = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
     rows = stash(sketches(documents, key, text, span, seed), "sketch")
-    classes = rows.groupBy("content").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = rows.select(key, "length", "content").join(classes, "content").select(key, "length", "first")
+    contents = rows.groupBy(key).agg(F.first("length").alias("length"), F.first("content").alias("content"))
+    classes = contents.groupBy("content").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = stash(contents.join(classes, "content").select(key, "length", "first"), "copies")
     later = copies.where(F.col(key) != F.col("first")).select(key)
-    texts = rows.select(key, "hashes", "positions").join(later, key, "left_anti")
-    seeds = stash(texts.select(key, F.explode(F.arrays_zip("hashes", "positions")).alias("z")).select(key, F.col("z.hashes").alias("h"), F.col("z.positions").alias("pos")), "seeds")
-    total = seeds.count()
-    counts = seeds.groupBy("h").agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi").select("h", "n")
-    packed = packed_texts(documents, key, text, span)
-    cold = seeds.join(counts.where(F.col("n") <= paired), "h").drop("n")
+    seeds = leave_out(rows.select(key, "h", "pos"), later, key)
+    counts = seeds.groupBy("h").agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"))
+    counts = stash(counts.where("lo <> hi").select("h", "n"), "counts")
+    shared = stash(join_listed(seeds, counts, "h", rows.count()), "shared")
+    cold, hot = shared.where(F.col("n") <= paired).drop("n"), shared.where(F.col("n") > paired).select(key, "h")
+    packed = packed_texts(documents, key, text, span, stash(cold.select(key).distinct(), "cold"))
     matched = _aligned(_pairs(cold, key), packed, key, seed, kind, _ExactRuns(key, span, arrow), f"`{key}` {kind}, s int, e int")
-    hot = join_counted(seeds, counts.where(F.col("n") > paired), "h", total).select(key, "h")
-    windows = stash(_hot_windows(hot, packed, key, kind, span, seed), "windows")
-    held = windows.groupBy("w").agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi").select("w", "n")
-    boiler = join_counted(windows, held, "w", windows.count()).select(key, "s", (F.col("s") + span).alias("e"))
+    boilers = packed_texts(documents, key, text, span, stash(hot.select(key).distinct(), "hot"))
+    windows = stash(_hot_windows(hot, boilers, key, kind, span, seed), "windows")
+    held = windows.groupBy("w").agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"))
+    held = stash(held.where("lo <> hi").select("w", "n"), "held")
+    boiler = join_listed(windows, held, "w", windows.count()).select(key, "s", (F.col("s") + span).alias("e"))
     whole = copies.select(key, F.lit(0).alias("s"), F.col("length").alias("e"))
     return merge_spans(matched.unionByName(boiler).unionByName(whole), key)
 
@@ -357,7 +361,7 @@ def merge_spans(spans: DataFrame, key: str) -> DataFrame:
     along = Window.partitionBy(key).orderBy("s", "e")
     past = along.rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.coalesce(F.col("s") > F.max("e").over(past), F.lit(True)).cast("int")
-    marked = spans.distinct().withColumn("fresh", fresh)
+    marked = spans.withColumn("fresh", fresh)
     grouped = marked.withColumn("island", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     return grouped.groupBy(key, "island").agg(F.min("s").alias("span_start"), F.max("e").alias("span_end")).drop("island")
 
@@ -372,8 +376,9 @@ def fuzzy_passages(documents: DataFrame, least: int = 200, share: float = 0.1, k
     """
     kind = documents.schema[key].dataType.simpleString()
     arrow = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
-    rows = sketches(documents, key, text, 3 * seed, seed)
-    seeds = stash(rows.select(key, F.explode(F.arrays_zip("hashes", "positions")).alias("z")).select(key, F.col("z.hashes").alias("h"), F.col("z.positions").alias("pos")), "seeds")
+    seeds = stash(sketches(documents, key, text, 3 * seed, seed).select(key, "h", "pos"), "seeds")
     counts = seeds.groupBy("h").agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).where(f"lo <> hi AND n <= {paired}").select("h")
     schema = f"a {kind}, b {kind}, a_start int, a_end int, b_start int, b_end int, edits int"
-    return _aligned(_pairs(seeds.join(counts, "h"), key), packed_texts(documents, key, text, 3 * seed), key, seed, kind, _Passages(least, share, arrow), schema)
+    met = stash(seeds.join(counts, "h"), "met")
+    packed = packed_texts(documents, key, text, 3 * seed, stash(met.select(key).distinct(), "keys"))
+    return _aligned(_pairs(met, key), packed, key, seed, kind, _Passages(least, share, arrow), schema)
