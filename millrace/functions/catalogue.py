@@ -111,7 +111,7 @@ CATALOGUE: dict[str, tuple[str, str, list[tuple[str, str, str | None]]]] = {
     "misc": ("orders", "o_orderkey", [
         ("aes_encrypt", "cast(aes_decrypt(aes_encrypt(o_orderpriority, '0000111122223333'), '0000111122223333') AS string)", "o_orderpriority"), ("aes_decrypt", "cast(aes_decrypt(aes_encrypt(o_orderstatus, '0000111122223333', 'ECB'), '0000111122223333', 'ECB') AS string)", "o_orderstatus"), ("assert_true", "assert_true(o_orderkey >= 0) IS NULL", "true"), ("bitmap_bit_position", "bitmap_bit_position(o_orderkey + 1)", "o_orderkey % 32768"), ("bitmap_bucket_number", "bitmap_bucket_number(o_orderkey + 1)", "o_orderkey // 32768 + 1"), ("bitmap_count", "bitmap_count(X'FFFF')", "16"),
         ("current_catalog", "current_catalog()", "'spark_catalog'"), ("current_database", "current_database()", "'default'"), ("current_schema", "current_schema()", "'default'"), ("current_user", "current_user() IS NOT NULL", "true"), ("equal_null", "equal_null(nullif(o_orderstatus, 'F'), NULL)", "o_orderstatus = 'F'"), ("input_file_block_length", "input_file_block_length() >= -1", "true"), ("input_file_block_start", "input_file_block_start() >= -1", "true"), ("input_file_name", "input_file_name() LIKE '%orders%'", "true"), ("java_method", "java_method('java.lang.Math', 'abs', -3)", "'3'"), ("reflect", "reflect('java.lang.Math', 'abs', -4)", "'4'"),
-        ("monotonically_increasing_id", "monotonically_increasing_id() >= 0", "true"), ("raise_error", "CASE WHEN o_orderkey < 0 THEN raise_error('negative') END", "NULL::INT"), ("spark_partition_id", "spark_partition_id() >= 0", "true"), ("try_aes_encrypt", "try_aes_encrypt(o_orderstatus, 'short') IS NULL", "true"), ("try_aes_decrypt", "try_aes_decrypt(unhex('00'), '0000111122223333') IS NULL", "true"), ("typeof", "typeof(o_orderkey)", "'bigint'"), ("user", "user() = current_user()", "true"), ("uuid", "length(uuid())", "36"), ("version", "version() LIKE '4%'", "true"),
+        ("monotonically_increasing_id", "monotonically_increasing_id() >= 0", "true"), ("raise_error", "CASE WHEN o_orderkey < 0 THEN cast(raise_error('negative') AS int) END", "NULL::INT"), ("spark_partition_id", "spark_partition_id() >= 0", "true"), ("try_aes_encrypt", "try_aes_encrypt(o_orderstatus, 'short') IS NULL", "true"), ("try_aes_decrypt", "try_aes_decrypt(unhex('00'), '0000111122223333') IS NULL", "true"), ("typeof", "typeof(o_orderkey)", "'bigint'"), ("user", "user() = current_user()", "true"), ("uuid", "length(uuid())", "36"), ("version", "version() LIKE '4%'", "true"),
     ]),
     "predicate": ("orders", "o_orderkey", [
         ("bang", "!(o_orderkey > 5)", "NOT (o_orderkey > 5)"), ("ne", "o_orderkey != 5", SAME), ("lt", "o_orderkey < 5", SAME), ("le", "o_orderkey <= 5", SAME), ("null_safe_eq", "nullif(o_orderkey, 5) <=> NULL", "nullif(o_orderkey, 5) IS NOT DISTINCT FROM NULL"), ("eq", "o_orderkey = 5", SAME), ("eq2", "o_orderkey == 5", SAME), ("gt", "o_orderkey > 5", SAME), ("ge", "o_orderkey >= 5", SAME), ("and_", "o_orderkey > 5 AND o_orderkey < 9", SAME), ("or_", "o_orderkey > 5 OR o_custkey < 9", SAME), ("not_", "NOT o_orderkey = 5", SAME),

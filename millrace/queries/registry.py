@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from types import ModuleType
 
-from millrace.queries import relational, scalars, upkeep
+from millrace.queries import aggregates, relational, scalars, upkeep, windows
 
-MODULES: list[ModuleType] = [upkeep, relational, scalars]
+MODULES: list[ModuleType] = [upkeep, relational, windows, aggregates, scalars]
 
 
 def _merged(attribute: str) -> dict:
