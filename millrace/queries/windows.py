@@ -11,7 +11,7 @@ _SQL = {
     "win_value": ("events", f"SELECT event_id, first(value) OVER w AS f, last(value) OVER w AS l, first_value(event_type) OVER w AS fv, last_value(event_type) OVER w AS lv, lag(value) OVER w AS lg, lag(value, 2, 0.0D) OVER w AS lg2, lead(event_type, 1, 'none') OVER w AS ld, nth_value(value, 2) OVER w AS nv FROM events WINDOW w AS {_W}",
         f"SELECT event_id, first(value) OVER w AS f, last(value) OVER w AS l, first_value(event_type) OVER w AS fv, last_value(event_type) OVER w AS lv, lag(value) OVER w AS lg, lag(value, 2, 0.0::DOUBLE) OVER w AS lg2, lead(event_type, 1, 'none') OVER w AS ld, nth_value(value, 2) OVER w AS nv FROM events WINDOW w AS {_W}"),
     "win_value_nulls": ("events", f"SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END) IGNORE NULLS OVER {_W} AS held FROM events", f"SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER {_W} AS held FROM events"),
-    "win_agg": ("events", f"SELECT event_id, round(sum(value) OVER {_W}, 4) AS s, round(avg(value) OVER {_W}, 6) AS a, min(value) OVER {_W} AS lo, max(value) OVER {_W} AS hi, count(*) OVER {_W} AS n, count(value) OVER (PARTITION BY user_id) AS alln FROM events"),
+    "win_agg": ("events", f"SELECT event_id, round(sum(value) OVER {_W}, 4) AS s, round(avg(value) OVER {_W} + 1e-9, 6) AS a, min(value) OVER {_W} AS lo, max(value) OVER {_W} AS hi, count(*) OVER {_W} AS n, count(value) OVER (PARTITION BY user_id) AS alln FROM events"),
     "win_rows": ("events", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 4) AS s, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ahead FROM events"),
     "win_rows_short": ("events", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 3 PRECEDING) AS n FROM events"),
     "win_range": ("events", "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY cast(floor(value) AS int) RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near FROM events"),
