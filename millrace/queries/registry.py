@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from types import ModuleType
 
-from millrace.queries import aggregates, files, relational, scalars, statistics, udfs, upkeep, windows
+from millrace.queries import acceleration, aggregates, files, relational, scalars, statistics, udfs, upkeep, windows
 
-MODULES: list[ModuleType] = [upkeep, relational, windows, aggregates, scalars, statistics, udfs, files]
+MODULES: list[ModuleType] = [upkeep, relational, windows, aggregates, scalars, statistics, udfs, files, acceleration]
 
 
 def _merged(attribute: str) -> dict:
