@@ -26,8 +26,8 @@ _SQL = {
     "agg_try": ("orders", "SELECT o_orderstatus, try_sum(o_orderkey + 9223372036854760000) AS s, round(try_avg(o_totalprice), 4) AS a FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, NULL::BIGINT AS s, round(avg(o_totalprice), 4) AS a FROM orders GROUP BY o_orderstatus"),
     "agg_bitmap": ("orders", "SELECT bitmap_bucket_number(o_custkey + 1) AS b, bitmap_count(bitmap_construct_agg(bitmap_bit_position(o_custkey + 1))) AS n FROM orders GROUP BY 1", "SELECT o_custkey // 32768 + 1 AS b, count(DISTINCT o_custkey) AS n FROM orders GROUP BY 1"),
     "agg_bitmap_or": ("orders", "SELECT bitmap_count(bitmap_or_agg(m)) AS n FROM (SELECT o_orderstatus, bitmap_construct_agg(bitmap_bit_position(o_custkey % 1000 + 1)) AS m FROM orders GROUP BY o_orderstatus)", "SELECT count(DISTINCT o_custkey % 1000) AS n FROM orders"),
-    "agg_hll": ("orders", "SELECT abs(hll_sketch_estimate(hll_union_agg(h)) - 1000) < 100 AS near FROM (SELECT o_orderstatus, hll_sketch_agg(o_custkey % 1000) AS h FROM orders GROUP BY o_orderstatus)", "SELECT true AS near"),
-    "agg_hll_union": ("orders", "SELECT abs(hll_sketch_estimate(hll_union(hll_sketch_agg(o_custkey % 500), hll_sketch_agg(o_custkey % 1000))) - 1000) < 100 AS near FROM orders", "SELECT true AS near"),
+    "agg_hll": ("orders", "SELECT abs(hll_sketch_estimate(hll_union_agg(h)) - (SELECT count(DISTINCT o_custkey) FROM orders)) <= 0.1 * (SELECT count(DISTINCT o_custkey) FROM orders) AS near FROM (SELECT o_orderstatus, hll_sketch_agg(o_custkey) AS h FROM orders GROUP BY o_orderstatus)", "SELECT true AS near"),
+    "agg_hll_union": ("orders", "SELECT abs(hll_sketch_estimate(hll_union(hll_sketch_agg(o_custkey), hll_sketch_agg(o_custkey + 1))) - count(DISTINCT o_custkey)) <= 0.1 * count(DISTINCT o_custkey) AS near FROM orders", "SELECT true AS near"),
     "agg_count_min": ("orders", "SELECT o_orderstatus, length(count_min_sketch(o_custkey, 0.01D, 0.9D, 1)) > 0 AS made FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, true AS made FROM orders GROUP BY 1"),
     "agg_histogram": ("orders", "SELECT o_orderstatus, size(histogram_numeric(o_totalprice, 5)) AS bins FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, 5 AS bins FROM orders GROUP BY 1"),
     "agg_grouping": ("nation", "SELECT n_regionkey, cast(grouping(n_regionkey) AS int) AS g, cast(grouping_id(n_regionkey) AS int) AS gi, count(*) AS n FROM nation GROUP BY ROLLUP (n_regionkey)"),

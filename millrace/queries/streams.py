@@ -14,7 +14,7 @@ def _events(spark, folder, parts: int = 4):
     df = load(spark, folder, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
     path = scratch_path(spark, "events")
     df.repartitionByRange(parts, "ts").sortWithinPartitions("ts").write.parquet(path)
-    last = df.limit(1).selectExpr("cast(-1 AS bigint) AS event_id", "timestamp'2034-01-01' AS ts", "cast(-1 AS bigint) AS user_id", "'end' AS event_type", "0.0D AS value")
+    last = spark.range(1).selectExpr("cast(-1 AS bigint) AS event_id", "timestamp'2034-01-01' AS ts", "cast(-1 AS bigint) AS user_id", "'end' AS event_type", "0.0D AS value")
     last.coalesce(1).write.mode("append").parquet(path)
     return ops.file_stream(spark, path, df.schema, parts + 1)
 
