@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.chars import LETTER, NUMBER, OTHER, SPACE, blocks, class_table, code_points, texts_of
+from millrace.llm.chars import SPACE, blocks, code_points, pattern_table, texts_of
 
 NONE = np.int32(2**31 - 1)
 #: Characters worked on at once; bounds a task's memory whatever the batch holds.
@@ -207,7 +207,7 @@ def word_starts(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
     one blank before it; a contraction's ending ('s 't 'm 'd 're 've 'll); or
     white space, without its last character where other text follows.
     """
-    kind = class_table()[points]
+    kind = pattern_table()[points]
     n = len(points)
     begin = np.empty(n, dtype=bool)
     begin[0] = True
