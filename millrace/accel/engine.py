@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from millrace.accel.dsn import Dsn
 from millrace.accel.policy import CachePolicy
 from millrace.accel.remote import connect, ranked
+from millrace.accel.script import statements
 from millrace.accel.store import MetadataStore
 from millrace.accel.tasks import Scheduler, TaskManager
 from millrace.operators.dml import merged
@@ -198,6 +199,10 @@ class Engine:
         self.store.count_query(key, text, int((time.monotonic() - began) * 1000))
         return out
 
+    def script(self, text: str) -> list[DataFrame]:
+        """Run the statements of a script, in turn."""
+        return [self.sql(s) for s in statements(text)]
+
     # listings
 
     def catalogs(self) -> DataFrame:

@@ -86,3 +86,21 @@ def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: s
     upto = Window.partitionBy(*on).orderBy(order, "__side").rowsBetween(Window.unboundedPreceding, 0)
     filled = both.withColumn("__last", F.last("__held", ignorenulls=True).over(upto)).where("__side = 1")
     return filled.select(*left.columns, *[F.col(f"__last.{v}").alias(v) for v in values])
+
+
+def star(df: DataFrame, ilike: str | None = None, exclude: Sequence[str] = (), replace: dict[str, Column] | None = None, rename: dict[str, str] | None = None) -> DataFrame:
+    """All columns, with options: only names like a pattern (% and _), without some, some computed anew, some renamed."""
+    import re
+
+    out, gone = [], {c.lower() for c in exclude}
+    pattern = re.compile("".join({"%": ".*", "_": "."}.get(c, re.escape(c)) for c in ilike), re.I) if ilike else None
+    for c in df.columns:
+        if c.lower() in gone or pattern and not pattern.fullmatch(c):
+            continue
+        out.append((replace or {}).get(c, F.col(c)).alias((rename or {}).get(c, c)))
+    return df.select(*out)
+
+
+def show_string(df: DataFrame, rows: int = 20, truncate: int = 20, vertical: bool = False) -> str:
+    """The table that ``show`` prints."""
+    return df._jdf.showString(rows, truncate, vertical)

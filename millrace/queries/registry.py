@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from types import ModuleType
 
-from millrace.queries import acceleration, aggregates, files, relational, scalars, statistics, streams, udfs, upkeep, windows
+from millrace.queries import acceleration, aggregates, commands, files, relational, scalars, statistics, streams, udfs, upkeep, windows
 
-MODULES: list[ModuleType] = [upkeep, relational, windows, aggregates, scalars, statistics, udfs, files, acceleration, streams]
+MODULES: list[ModuleType] = [upkeep, relational, windows, aggregates, scalars, statistics, udfs, files, commands, acceleration, streams]
 
 
 def _merged(attribute: str) -> dict:

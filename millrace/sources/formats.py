@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -32,7 +31,7 @@ def checked(fmt: str, options: dict) -> dict:
     allowed = {*OPTIONS[fmt], *COMMON}
     if unknown := [o for o in options if o.lower() not in allowed and not o.lower().startswith("parquet.")]:
         raise ValueError(f"unknown options for {fmt}: {sorted(unknown)}")
-    if fmt == "avro" and importlib.util.find_spec("pyspark") and not _has_avro():
+    if fmt == "avro" and not _has_avro():
         raise NotImplementedError("the spark-avro jar is not on the class path")
     return options
 
@@ -40,7 +39,7 @@ def checked(fmt: str, options: dict) -> dict:
 def _has_avro() -> bool:
     spark = SparkSession.getActiveSession()
     try:
-        spark._jvm.java.lang.Class.forName("org.apache.spark.sql.avro.AvroFileFormat")
+        spark._jvm.org.apache.spark.sql.execution.datasources.DataSource.lookupDataSource("avro", spark._jsparkSession.sessionState().conf())
         return True
     except Exception:  # noqa: BLE001
         return False
