@@ -67,3 +67,41 @@ def blocks(texts: list[str], most: int) -> list[tuple[int, int]]:
     if begin < len(texts):
         out.append((begin, len(texts)))
     return out
+
+
+def overlapping(texts: list[str], most: int, overlap: int) -> list[list[tuple[int, int, str]]]:
+    """Texts in blocks of bounded size as (text, offset, part): a text of more than ``most`` characters gives several parts.
+
+    Consecutive parts share ``overlap`` characters, so every window of up to
+    ``overlap`` + 1 characters lies in a part, and begins in the first ``most`` of just one.
+    """
+    out, block, held = [], [], 0
+    for i, t in enumerate(texts):
+        for at in range(0, max(len(t) - overlap, 1), most):
+            part = t[at : at + most + overlap]
+            if held and held + len(part) > most + overlap:
+                out.append(block)
+                block, held = [], 0
+            block.append((i, at, part))
+            held += len(part)
+    if block:
+        out.append(block)
+    return out
+
+
+def cut_words(text: str, most: int) -> list[str]:
+    """A text in parts of about ``most`` characters, cut before blanks that follow no white space: always the start of a word."""
+    parts, begin = [], 0
+    while len(text) - begin > most:
+        at = text.find(" ", begin + most)
+        while at > 0 and ord(text[at - 1]) in _SPACES:
+            at = text.find(" ", at + 1)
+        if at < 0:
+            break
+        parts.append(text[begin:at])
+        begin = at
+    parts.append(text[begin:])
+    return parts
+
+
+_SPACES = frozenset(WHITE_SPACE)

@@ -127,6 +127,22 @@ class Pieces:
         if not len(self.hashes):
             return []
         points, starts = reduce_texts(texts)
+        most, overlap = BLOCK, self.span + 2 * self.edits
+        found: dict[tuple[int, int], int] = {}
+        for text in np.flatnonzero(np.diff(starts) > most + overlap):
+            for at in range(int(starts[text]), int(starts[text + 1]) - overlap, most):
+                part = points[at : min(at + most + overlap, int(starts[text + 1]))]
+                for _, i, e in self._find(part, np.array([0, len(part)], dtype=np.int64)):
+                    found[int(text), i] = min(e, found.get((int(text), i), e))
+        short = np.diff(starts) <= most + overlap
+        if short.all():
+            return self._find(points, starts)
+        for text in np.flatnonzero(short):
+            part = points[starts[text] : starts[text + 1]]
+            found |= {(int(text), i): e for _, i, e in self._find(part, np.array([0, len(part)], dtype=np.int64))}
+        return [(t, i, e) for (t, i), e in sorted(found.items())]
+
+    def _find(self, points: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
         hashes = window_hashes(points, self.size)
         spots = np.flatnonzero(self.sieve[(hashes >> np.uint64(44)).astype(np.int64)])
         low, high = np.searchsorted(self.hashes, hashes[spots], "left"), np.searchsorted(self.hashes, hashes[spots], "right")

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.chars import blocks, code_points, texts_of
+from millrace.llm.chars import code_points, overlapping, texts_of
 from millrace.llm.leakage import window_hashes
 from millrace.operators.heavy import join_listed, leave_out
 from millrace.operators.sieve import Sieve, key_hash
@@ -66,16 +66,16 @@ def sketches(documents: DataFrame, key: str, text: str, span: int, seed: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column(1))
-            for a, b in blocks(texts, BLOCK):
-                points, starts = code_points(texts[a:b])
+            content = pa.array([hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts], pa.binary())
+            length = pa.array([len(t) for t in texts], pa.int32())
+            for block in overlapping(texts, BLOCK, span - 1):
+                points, starts = code_points([part for *_, part in block])
                 hashes, _, _, at = sketch(points, starts, span, seed)
                 which = np.searchsorted(starts, at, "right") - 1
-                rows = pa.array(which)
-                content = pa.array([hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts[a:b]], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a).take(rows), pa.array(np.diff(starts).astype(np.int32)).take(rows), content.take(rows), pa.array(hashes[at].view(np.int64)), pa.array((at - starts[which]).astype(np.int32))],
-                    names=[key, "length", "content", "h", "pos"],
-                )
+                owner, offset = (np.array([x[i] for x in block], dtype=np.int64) for i in (0, 1))
+                place = at - starts[which] + offset[which]
+                rows = pa.array(owner[which])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), length.take(rows), content.take(rows), pa.array(hashes[at].view(np.int64)), pa.array(place.astype(np.int32))], names=[key, "length", "content", "h", "pos"])
 
     kept = documents.where(F.col(key).isNotNull() & (F.length(text) >= span)).select(F.col(key), F.col(text))
     return kept.mapInArrow(run, f"`{key}` {kind}, length int, content binary, h bigint, pos int")
@@ -303,14 +303,17 @@ def _hot_windows(hot: DataFrame, packed: DataFrame, key: str, kind: str, span: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [_unpack(p) for p in batch.column(2).to_pylist()]
-            for a, b in blocks(texts, BLOCK):
-                points, starts = code_points(texts[a:b])
+            wanted = batch.column(1).to_pylist()
+            for block in overlapping(texts, BLOCK, span - 1):
+                points, starts = code_points([part for *_, part in block])
                 _, least, inside, _ = sketch(points, starts, span, seed)
-                hots = np.unique(np.array([h for hs in batch.column(1).slice(a, b - a).to_pylist() for h in hs], dtype=np.int64).view(np.uint64))
+                owner, offset = (np.array([x[i] for x in block], dtype=np.int64) for i in (0, 1))
+                hots = np.unique(np.array([h for i in np.unique(owner) for h in wanted[i]], dtype=np.int64).view(np.uint64))
                 at = np.flatnonzero(inside)
                 at = at[np.isin(least[at], hots)]
-                text = np.searchsorted(starts, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(text)), pa.array((at - starts[text]).astype(np.int32)), pa.array(window_hashes(points, span)[at].view(np.int64))], names=[key, "s", "w"])
+                part = np.searchsorted(starts, at, "right") - 1
+                place = at - starts[part] + offset[part]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[part])), pa.array(place.astype(np.int32)), pa.array(window_hashes(points, span)[at].view(np.int64))], names=[key, "s", "w"])
 
     return met.mapInArrow(run, f"`{key}` {kind}, s int, w bigint")
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.chars import SPACE, blocks, code_points, pattern_table, texts_of
+from millrace.llm.chars import SPACE, blocks, code_points, cut_words, pattern_table, texts_of
 
 NONE = np.int32(2**31 - 1)
 #: Characters worked on at once; bounds a task's memory whatever the batch holds.
@@ -193,6 +193,11 @@ class ByteBpe:
         ids = flat[_ranges(at[which], counts)]
         return ids, out[np.searchsorted(begins, starts)]
 
+    def encode_long(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` of one text that may be very long: in parts cut between words."""
+        ids = np.concatenate([self.encode([part])[0] for part in cut_words(text, BLOCK)])
+        return ids, np.array([0, len(ids)], dtype=np.int64)
+
 
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The indices starts[i] .. starts[i] + counts[i] - 1, for all i in turn."""
@@ -262,7 +267,7 @@ def encode_corpus(documents: DataFrame, vocabulary: str, key: str = "doc_id", te
         for batch in batches:
             texts = texts_of(batch.column(1))
             for a, b in blocks(texts, BLOCK):
-                ids, at = bpe.encode(texts[a:b])
+                ids, at = bpe.encode(texts[a:b]) if b - a > 1 else bpe.encode_long(texts[a])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], names=[key, "ids"])
 
     kind = documents.schema[key].dataType.simpleString()

@@ -119,3 +119,15 @@ def test_whole_tables_equal_brute_force(spark, folder):
     docs, items = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "eval_item"))
     want = brute([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()], 80)
     assert {(r.doc_id, r.item_id) for r in leakage.find_leaks(docs, items).collect()} == want
+
+
+def test_long_texts_are_searched_in_parts(planted, monkeypatch):
+    docs, items = planted
+    docs = [(d, t) for d, t in docs if t]
+    whole = [*docs, (900, " ".join(t for _, t in docs))]
+    kept = [(i, t) for i, t in items if t]
+    pieces = leakage.Pieces.of([i for i, _ in kept], [t for _, t in kept], 80, 0)
+    want = pieces.find([t for _, t in whole])
+    monkeypatch.setattr(leakage, "BLOCK", 100)
+    assert pieces.find([t for _, t in whole]) == want
+    assert {(whole[t][0], pieces.item_ids[i]) for t, i, _ in want} == brute(whole, kept, 80)

@@ -121,3 +121,16 @@ def test_altered_passages_are_found(spark):
     df = spark.createDataFrame(docs, "doc_id BIGINT, text STRING")
     (r,) = sharing.fuzzy_passages(df).collect()
     assert (r.a, r.b) == (1, 2) and abs(r.a_start - 200) < 5 and abs(r.a_end - 800) < 5 and abs(r.b_start - 50) < 5 and 6 <= r.edits <= 9
+
+
+def test_long_texts_are_sampled_in_parts():
+    rnd = np.random.default_rng(5)
+    text = "".join(map(chr, rnd.integers(97, 100, 2000)))
+    whole, starts = sharing.code_points([text])
+    *_, want = sharing.sketch(whole, starts, 50, 10)
+    got = set()
+    for block in sharing.overlapping([text], 130, 49):
+        points, cuts = sharing.code_points([p for *_, p in block])
+        *_, at = sharing.sketch(points, cuts, 50, 10)
+        got |= {int(k - cuts[w] + block[w][1]) for k in at for w in [np.searchsorted(cuts, k, "right") - 1]}
+    assert got == set(want.tolist())

@@ -110,3 +110,21 @@ def test_classes_are_those_of_the_pattern():
         c = chr(cp)
         kind = chars.LETTER if whole("aa" + c) else chars.NUMBER if whole("11" + c) else chars.SPACE if whole("  " + c) else chars.OTHER
         assert table[cp] == kind, hex(cp)
+
+
+def test_a_long_text_is_cut_between_words(spark, bpe, public, monkeypatch):
+    rnd = random.Random(8)
+    text = "".join(rnd.choice(["word", " ", "  ", "\n", "'s", "12", "--", "漢字", "\t "]) for _ in range(3000))
+    assert "".join(chars.cut_words(text, 50)) == text and len(chars.cut_words(text, 50)) > 20
+    monkeypatch.setattr(tokens, "BLOCK", 50)
+    ids, at = bpe.encode_long(text)
+    assert ids.tolist() == public.encode_ordinary(text) and at.tolist() == [0, len(ids)]
+    assert bpe.encode_long("")[0].tolist() == []
+
+
+def test_overlapping_parts_hold_every_window():
+    texts = ["", "abcdefghijklmnopqrstuvwxyz", "xy", "0123456789"]
+    parts = [p for block in chars.overlapping(texts, 4, 3) for p in block]
+    for i, t in enumerate(texts):
+        begins = [at + k for o, at, part in parts if o == i for k in range(min(4, len(part) - 3))]
+        assert begins == list(range(len(t) - 3)) and all(t[at : at + len(part)] == part for o, at, part in parts if o == i)
