@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.hashing import content_hash
+from millrace.operators.heavy import SMALL_LIST
+from millrace.session import stash
 
 
 def intervals(snapshots: DataFrame, series: str, number: str, keys: Sequence[str], values: Sequence[Column], latest_by: str) -> DataFrame:
@@ -21,11 +23,24 @@ def intervals(snapshots: DataFrame, series: str, number: str, keys: Sequence[str
 
     Rows with a null key are left out. Null values equal each other only.
     """
-    numbers = snapshots.select(series, number).distinct()
+    dense = numbered(snapshots, series, number)
+    return _intervals(snapshots, dense, series, number, keys, values, latest_by)
+
+
+def numbered(snapshots: DataFrame, series: str, number: str) -> DataFrame:
+    """The snapshots of each series, numbered densely: series, number, idx, last_of_series.
+
+    A row per snapshot, written once; broadcast where it is joined if it has at most SMALL_LIST rows.
+    """
     by_series = Window.partitionBy(series)
-    dense = numbers.select(
+    dense = snapshots.select(series, number).distinct().select(
         series, number, F.row_number().over(by_series.orderBy(number)).alias("idx"), F.count("*").over(by_series).alias("last_of_series")
-    )
+    )
+    dense = stash(dense, "numbers")
+    return F.broadcast(dense) if dense.count() <= SMALL_LIST else dense
+
+
+def _intervals(snapshots: DataFrame, dense: DataFrame, series: str, number: str, keys: Sequence[str], values: Sequence[Column], latest_by: str) -> DataFrame:
     record = [series, *keys]
     held = (
         snapshots.dropna(subset=list(keys))
@@ -49,13 +64,12 @@ def change_events(snapshots: DataFrame, series: str, number: str, keys: Sequence
     interval that no other follows at once, before the last snapshot, is
     ``removed`` in the next snapshot. Empty tables give no rows.
     """
-    spans = intervals(snapshots, series, number, keys, values, latest_by)
+    dense = numbered(snapshots, series, number)
+    spans = _intervals(snapshots, dense, series, number, keys, values, latest_by)
     along = Window.partitionBy(series, *keys).orderBy("first_idx")
     seen = spans.withColumn("before", F.lag("last_idx").over(along)).withColumn("after", F.lead("first_idx").over(along))
     start = F.when(F.col("first_idx") > 1, F.struct(F.col("first_idx").alias("idx"), F.when(F.col("before") == F.col("first_idx") - 1, "changed").otherwise("added").alias("change")))
     gone = (F.col("last_idx") < F.col("last_of_series")) & ~F.coalesce(F.col("after") == F.col("last_idx") + 1, F.lit(False))
     end = F.when(gone, F.struct((F.col("last_idx") + 1).alias("idx"), F.lit("removed").alias("change")))
     events = seen.select(series, *keys, F.explode(F.array_compact(F.array(start, end))).alias("e")).select(series, *keys, "e.*")
-    numbers = snapshots.select(series, number).distinct()
-    dense = numbers.select(series, number, F.row_number().over(Window.partitionBy(series).orderBy(number)).alias("idx"))
-    return events.join(dense, [series, "idx"]).select(series, number, *keys, "change")
+    return events.join(dense.drop("last_of_series"), [series, "idx"]).select(series, number, *keys, "change")
