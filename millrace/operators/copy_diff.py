@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from millrace.operators.presence import PresenceBitmap
 
 #: Rows of both sides together that one group compares; bounds its memory.
-ROWS_PER_CHUNK = 65_536
+ROWS_PER_CHUNK = 16_384
 LEFT_ONLY, RIGHT_ONLY = "only_source", "only_local"
 
 
