@@ -170,18 +170,50 @@ class Pieces:
                 if edits <= self.edits:
                     found[pair] = edits
         if self.edits:
-            for k in np.flatnonzero(~whole):
-                pair = int(text[k]), int(item[k])
-                if pair in found:
-                    continue
-                first, last = int(self.starts[item[k]]), int(self.starts[item[k] + 1]) - self.span
-                for begin in range(max(first, int(at[k]) + self.size - self.span), min(last, int(at[k])) + 1):
-                    edits = self._edits(points, starts, int(spots[k]), int(text[k]), int(at[k]), begin)
-                    if edits <= self.edits:
-                        found[pair] = edits
-                        break
+            rest = np.flatnonzero(~whole)
+            room = self.span - self.size
+            before = self._profile(points, spots[rest], starts[text[rest]], at[rest], self.starts[item[rest]], -1)
+            after = self._profile(points, spots[rest] + self.size - 1, starts[text[rest] + 1], at[rest] + self.size - 1, self.starts[item[rest] + 1], 1)
+            total = before + after[:, ::-1]
+            for k in np.flatnonzero(total.min(axis=1) <= self.edits):
+                hit = rest[k]
+                pair = int(text[hit]), int(item[hit])
+                begin = int(at[hit]) - int(total[k].argmin())
+                if begin + room >= 0 and found.get(pair, self.edits + 1) > total[k].min():
+                    found[pair] = self._edits(points, starts, int(spots[hit]), int(text[hit]), int(at[hit]), begin)
         return [(t, i, e) for (t, i), e in sorted(found.items())]
 
+    def _profile(self, points, here, here_end, there, there_end, step: int) -> np.ndarray:
+        """Per hit and x = 0 .. span - size: least edits to align the next x item characters beyond the hit, at most edits + 1.
+
+        A band of 2 * edits + 1 diagonals, one character of all hits at a time. Two
+        such profiles, of both sides of a piece, tell the windows worth verifying.
+        """
+        k, room, none = self.edits, self.span - self.size, self.edits + 1
+        out = np.full((len(here), room + 1), none, dtype=np.int16)
+        band = np.full((2 * k + 1, len(here)), none, dtype=np.int16)
+        far = (here_end - here) * step - (step > 0)
+        for b in range(k + 1):
+            band[k + b] = np.where(b <= far, b, none)
+        out[:, 0] = 0
+        wide = (there_end - there) * step - (step > 0)
+        for x in range(1, room + 1):
+            fresh = np.full_like(band, none)
+            ok = x <= wide
+            char = self.points[np.where(ok, there + step * x, 0)]
+            for b in range(-k, k + 1):
+                inside = ok & (x + b >= 1) & (x + b <= far)
+                other = points[np.where(inside, here + step * (x + b), 0)]
+                best = np.where(inside, band[k + b] + (char != other), none)
+                if b < k:
+                    best = np.minimum(best, np.where(ok & (x + b >= 0) & (x + b <= far), band[k + b + 1] + 1, none))
+                if b > -k:
+                    best = np.minimum(best, np.where(inside, fresh[k + b - 1] + 1, none))
+                fresh[k + b] = np.minimum(best, none)
+            band = fresh
+            out[:, x] = band.min(axis=0)
+        return out
+
     def _reach(self, points, here, here_end, there, there_end, step: int) -> np.ndarray:
         """How many characters agree beyond a hit, in one direction, up to what a span can need."""
         reach = np.zeros(len(here), dtype=np.int64)

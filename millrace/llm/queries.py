@@ -23,11 +23,16 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.find_leaks(load(spark, folder, "documents"), load(spark, folder, "eval_item"), span=80, edits=0).select("doc_id", "item_id")
 
 
+def p7_edits(spark: SparkSession, folder: str) -> DataFrame:
+    """As p7_found, with up to four edits in the 80 characters, and how many were needed."""
+    return leakage.find_leaks(load(spark, folder, "documents"), load(spark, folder, "eval_item"), span=80, edits=4)
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Spans of each document made of stretches of 400 code points that another document holds too."""
     return sharing.shared_spans(load(spark, folder, "documents"), span=400)
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_edits": p7_edits, "p8_found": p8_found}
 #: No SQL twins: the tests hold these against brute force and a public encoder.
 ORACLES: dict[str, str] = {}

@@ -131,3 +131,21 @@ def test_long_texts_are_searched_in_parts(planted, monkeypatch):
     monkeypatch.setattr(leakage, "BLOCK", 100)
     assert pieces.find([t for _, t in whole]) == want
     assert {(whole[t][0], pieces.item_ids[i]) for t, i, _ in want} == brute(whole, kept, 80)
+
+
+@pytest.mark.parametrize("edits", [1, 4])
+def test_pairs_with_edits_equal_dynamic_programming(edits):
+    rnd = random.Random(edits)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
+    items = [(i, word(rnd.randrange(30, 60))) for i in range(6)]
+    docs = []
+    for d in range(40):
+        t = list(items[d % 6][1][rnd.randrange(10) :])
+        for _ in range(rnd.randrange(0, 9)):
+            at = rnd.randrange(len(t))
+            t[at : at + 1] = rnd.choice([[], ["q"], [t[at], "q"]])
+        docs.append((d, word(rnd.randrange(0, 9)) + "".join(t) + word(rnd.randrange(0, 9))))
+    pieces = leakage.Pieces.of([i for i, _ in items], [t for _, t in items], 30, edits)
+    got = {(docs[t][0], pieces.item_ids[i]) for t, i, _ in pieces.find([t for _, t in docs])}
+    want = {(d, i) for d, t in docs for i, u in items if min(distance(u[k : k + 30], t) for k in range(len(u) - 29)) <= edits}
+    assert got == want and 5 < len(want) < len(docs) * len(items) / 2
