@@ -35,14 +35,14 @@ class Engine:
     A table is read from its newest snapshot if it has one, else live.
     """
 
-    def __init__(self, spark: SparkSession, home: str, workers: int = 16, today=datetime.date.today):
+    def __init__(self, spark: SparkSession, home: str, workers: int = 16, today=datetime.date.today, results: int = 256):
         self.spark, self.home, self.today = configure(spark), home.rstrip("/"), today
         self.store = MetadataStore(f"{self.home}/system")
         self.tasks = TaskManager(workers, spark=spark)
         self.sources: dict[str, object] = {}
         self.schedules: dict[str, Scheduler] = {}
-        self.results: dict[str, DataFrame] = {}
-        self.hits = 0
+        self.results: dict[str, tuple[DataFrame, str]] = {}
+        self.most_results, self.hits = results, 0
 
     # catalogs
 
@@ -118,12 +118,14 @@ class Engine:
     def retire(self, catalog: str, table: str, keep: int = 2) -> int:
         """Delete all but the newest snapshots; returns how many."""
         gone = self.store.retire(catalog, table, keep)
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        for p in gone:
-            path = hadoop.Path(p)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        for path in gone:
+            self._delete(path)
         return len(gone)
 
+    def _delete(self, path: str) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
     # reading
 
     def table(self, name: str, version: int | None = None, as_of: str | None = None) -> DataFrame:
@@ -169,7 +171,8 @@ class Engine:
 
         Every statement is counted under the hash of its canonical plan, so
         spelling does not matter. A SELECT over snapshots only, without functions that
-        change from run to run, is answered from the cached result while the snapshots stay.
+        change from run to run, is answered from the cached result while the snapshots stay;
+        the least lately used results go when there are more than ``results``.
         """
         if match := CREATE.match(text):
             name, dsn, comment, properties = match.groups()
@@ -191,11 +194,14 @@ class Engine:
             entry = key + "/" + hashlib.md5(repr(sorted(used.items())).encode()).hexdigest()[:12]
             if entry in self.results:
                 self.hits += 1
+                self.results[entry] = self.results.pop(entry)
             else:
                 path = f"{self.home}/results/{entry}-{uuid.uuid4().hex}"
                 df.write.parquet(path)
-                self.results[entry] = self.spark.read.schema(df.schema).parquet(path)
-            out = self.results[entry]
+                self.results[entry] = self.spark.read.schema(df.schema).parquet(path), path
+                while len(self.results) > self.most_results:
+                    self._delete(self.results.pop(next(iter(self.results)))[1])
+            out = self.results[entry][0]
         self.store.count_query(key, text, int((time.monotonic() - began) * 1000))
         return out
 

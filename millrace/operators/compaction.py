@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import heapq
 import json
-import os
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,8 +107,8 @@ def write_groups(assigned: DataFrame, rows: DataFrame, out: str) -> DataFrame:
     ``rows`` (file_id, row_pos, row_json) is the content of the small files;
     repeated rows count once. Records arrive sorted by group, file and position
     and are written in bounded batches, so a task holds one batch, not a group.
-    A file is written under a temporary name and renamed; ``out`` must be a
-    folder that all executors share. Result: a row for each file written.
+    A file is written under a temporary name and renamed; ``out`` is the URI of a
+    folder that all executors share (file:, hdfs:, s3: and what else pyarrow knows). Result: a row for each file written.
     """
     content = rows.dropDuplicates(["file_id", "row_pos"])
     ordered = (
@@ -117,16 +117,16 @@ def write_groups(assigned: DataFrame, rows: DataFrame, out: str) -> DataFrame:
         .repartition("directory", "slice", "output_group")
         .sortWithinPartitions("directory", "slice", "output_group", "file_id", "row_pos")
     )
-    folder = out.removeprefix("file://").removeprefix("file:")
     layout = pa.schema([("file_id", pa.int64()), ("row_pos", pa.int32()), ("row_json", pa.string())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, writer, said = None, None, None
+        fs, folder = pa.fs.FileSystem.from_uri(out)
 
         def close() -> pa.RecordBatch:
             writer.close()
-            os.replace(said["output_path"] + ".part", said["output_path"])
-            done = said | {"n_bytes": os.path.getsize(said["output_path"]), "n_files": len(said["n_files"])}
+            fs.move(said["output_path"] + ".part", said["output_path"])
+            done = said | {"n_bytes": fs.get_file_info(said["output_path"]).size, "n_files": len(said["n_files"])}
             return pa.RecordBatch.from_pylist([done], schema=pa.schema([("directory", pa.string()), ("slice", pa.int32()), ("output_group", pa.int32()), ("output_path", pa.string()), ("n_files", pa.int64()), ("n_rows", pa.int64()), ("n_bytes", pa.int64()), ("checksum", pa.int64())]))
 
         for batch in batches:
@@ -141,9 +141,9 @@ def write_groups(assigned: DataFrame, rows: DataFrame, out: str) -> DataFrame:
                     if writer:
                         yield close()
                     at = keys[start]
-                    os.makedirs(folder, exist_ok=True)
+                    fs.create_dir(folder)
                     path = f"{folder}/{uuid.uuid4().hex}.parquet"
-                    writer = pq.ParquetWriter(path + ".part", layout, compression="zstd")
+                    writer = pq.ParquetWriter(path + ".part", layout, filesystem=fs, compression="zstd")
                     said = {"directory": at[0], "slice": at[1], "output_group": at[2], "output_path": path, "n_files": set(), "n_rows": 0, "checksum": 0}
                 writer.write_table(pa.Table.from_batches([batch.select(["file_id", "row_pos", "row_json"]).slice(start, end - start).cast(layout)]))
                 said["n_files"].update(ids[start:end])

@@ -61,9 +61,27 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+_scratch: list[tuple[SparkSession, str]] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/millrace-{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; what is there is deleted at exit or by ``clear_scratch``."""
+    if not _scratch:
+        atexit.register(clear_scratch)
+    path = f"{shared_dir(spark)}/millrace-{label}-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
+
+
+def clear_scratch() -> None:
+    """Delete the written intermediate results of this process; DataFrames over them can no longer be read."""
+    while _scratch:
+        spark, path = _scratch.pop()
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001  the JVM may have gone
+            return
 
 
 def stash(df: DataFrame, label: str = "stash") -> DataFrame:
