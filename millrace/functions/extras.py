@@ -21,23 +21,20 @@ def install(spark: SparkSession) -> SparkSession:
     """Define the extra functions in the session, once."""
     for name, (parameters, returns, body) in EXTRAS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {returns} RETURN {body}")
-    poisson = F.udf(_poisson, "int", useArrow=True).asNondeterministic()
-    spark.udf.register("random_poisson", poisson)
+    spark.udf.register("random_poisson", F.pandas_udf(_poisson, "int").asNondeterministic())
     similar = similar_pattern_udf()
     spark.udf.register("similar_to", similar)
     return spark
 
 
-def _poisson(mean: float, seed: int) -> int:
-    import random
-    from math import exp
+def _poisson(mean: pd.Series, seed: pd.Series) -> pd.Series:
+    import numpy as np
 
-    generator = _generators.setdefault(seed, random.Random(seed))
-    limit, n, product = exp(-mean), 0, generator.random()
-    while product > limit:
-        n += 1
-        product *= generator.random()
-    return n
+    if not len(mean):
+        return pd.Series([], dtype="int32")
+    first = int(seed.iloc[0])
+    generator = _generators.setdefault(first, np.random.default_rng(first))
+    return pd.Series(generator.poisson(mean.to_numpy(dtype="float64")).astype("int32"))
 
 
 _generators: dict = {}

@@ -60,11 +60,17 @@ class CountRows:
             yield self.k, self.n
 
 
+#: Rows that one group of a grouped map holds at most, about.
+GROUP_ROWS = 50_000
+
+
 def _grouped(spark, folder):
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.sort_values(["o_totalprice", "o_orderkey"]).tail(1)[["o_custkey", "o_orderkey"]]
+        return pdf.sort_values(["o_totalprice", "o_orderkey"]).drop_duplicates("o_custkey", keep="last")[["o_custkey", "o_orderkey"]]
 
-    return load(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_totalprice").groupBy("o_custkey").applyInPandas(best, "o_custkey bigint, o_orderkey bigint")
+    df = load(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    groups = max(1, -(-df.count() // GROUP_ROWS))
+    return df.groupBy(F.pmod(F.xxhash64("o_custkey"), F.lit(groups))).applyInPandas(best, "o_custkey bigint, o_orderkey bigint")
 
 
 def _grouped_arrow(spark, folder):
