@@ -25,7 +25,7 @@ def join_counted(rows: DataFrame, counted: DataFrame, key: str, total: int, coun
 
 
 #: Rows of a key list that may be broadcast.
-SMALL_LIST = 1_000_000
+SMALL_LIST = 10_000
 
 
 def leave_out(rows: DataFrame, listed: DataFrame, key: str, small: int = SMALL_LIST) -> DataFrame:
