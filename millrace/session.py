@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,9 +43,29 @@ def configure(spark: SparkSession) -> SparkSession:
     """Set the dialect on a session that someone else made."""
     for key, value in SQL_SETTINGS.items():
         spark.conf.set(key, value)
+    _ship(spark)
     return spark
 
 
+def _ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once, unless PYTHONPATH lets them find it."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    context = spark.sparkContext
+    if os.path.dirname(package) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_millrace_sent", False):
+        return
+    folder = tempfile.TemporaryDirectory(prefix="millrace-")
+    atexit.register(folder.cleanup)
+    path = os.path.join(folder.name, "millrace.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for at, _, names in os.walk(package):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(at, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    context.addPyFile(path)
+    context._millrace_sent = True
+
+
 _own_dir: list[str] = []
 
 
