@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,3 +35,23 @@ def with_previous(rows: DataFrame, keys: Sequence[str], order: Sequence[str], ca
         on &= F.col(k).eqNullSafe(F.col(f"__key_{k}"))
     joined = near.join(fills, on, "left").withColumn("__prev", F.coalesce("__prev", "__before"))
     return joined.select(*rows.columns, *[F.col(f"__prev.{c}").alias(prefix + c) for c in carry])
+
+
+def with_previous_of(rows: DataFrame, keys: Sequence[str], order: Sequence[str], carry: Sequence[str], of: Column, prefix: str = "prev_") -> DataFrame:
+    """As ``with_previous``, but from the nearest preceding row for which ``of`` holds."""
+    spark = rows.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = rows.repartitionByRange(tasks, *keys, *order).withColumn("__task", F.spark_partition_id())
+    inside = Window.partitionBy("__task", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    carried = F.when(of, F.struct(*carry))
+    near = spread.withColumn("__prev", F.last(carried, ignorenulls=True).over(inside))
+    last = near.groupBy("__task", *keys).agg(F.max_by(carried, F.when(of, F.struct(*order))).alias("__last"))
+    across = Window.partitionBy(*keys).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    fills = last.select(
+        F.col("__task").alias("__at"), *[F.col(k).alias(f"__key_{k}") for k in keys], F.last("__last", ignorenulls=True).over(across).alias("__before")
+    ).where("__before IS NOT NULL")
+    on = (F.col("__task") == F.col("__at")) & F.col("__prev").isNull()
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"__key_{k}"))
+    joined = near.join(fills, on, "left").withColumn("__prev", F.coalesce("__prev", "__before"))
+    return joined.select(*rows.columns, *[F.col(f"__prev.{c}").alias(prefix + c) for c in carry])

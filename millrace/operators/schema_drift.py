@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.adjacent import with_previous
+from millrace.operators.adjacent import with_previous, with_previous_of
 from millrace.session import stash
 
 FIELDS = "array<struct<attnum:string,name:string,kind:string>>"
@@ -40,23 +40,24 @@ def read_fields(data: bytes) -> list[dict]:
     return [{"attnum": ((f.metadata or {}).get(b"attnum") or b"name:" + f.name.encode()).decode(), "name": f.name, "kind": kind_of(f.type)} for f in schema]
 
 
-def parse_versions(versions: DataFrame) -> DataFrame:
+def parse_versions(versions: DataFrame, bare: bool = False) -> DataFrame:
     """Saved versions with their fields: id, catalog_name, schema_name, table_name, updated_at, local_path, fields, fingerprint.
 
-    Rows without a schema are left out, a null schema_name is ``public``, repeated
-    ids count once. The fingerprint is a hash of the fields sorted by column number.
+    Rows without a schema are left out, or with ``bare`` kept with null fields and
+    fingerprint; a null schema_name is ``public``, repeated ids count once. The
+    fingerprint is a hash of the fields sorted by column number.
     """
-    kept = versions.where("arrow_schema IS NOT NULL").select("id", "catalog_name", F.coalesce("schema_name", F.lit("public")).alias("schema_name"), "table_name", "updated_at", "local_path", "arrow_schema").dropDuplicates(["id"])
+    kept = (versions if bare else versions.where("arrow_schema IS NOT NULL")).select("id", "catalog_name", F.coalesce("schema_name", F.lit("public")).alias("schema_name"), "table_name", "updated_at", "local_path", "arrow_schema").dropDuplicates(["id"])
     layout = pa.list_(pa.struct([("attnum", pa.string()), ("name", pa.string()), ("kind", pa.string())]))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fields = [read_fields(b) for b in batch.column("arrow_schema").to_pylist()]
+            fields = [None if b is None else read_fields(b) for b in batch.column("arrow_schema").to_pylist()]
             rest = [n for n in batch.schema.names if n != "arrow_schema"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(fields, layout)], names=[*rest, "fields"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema if f.name != "arrow_schema") + f", fields {FIELDS}"
-    return kept.mapInArrow(parse, schema).withColumn("fingerprint", F.xxhash64(F.to_json(F.array_sort("fields"))))
+    return kept.mapInArrow(parse, schema).withColumn("fingerprint", F.when(F.col("fields").isNotNull(), F.xxhash64(F.to_json(F.array_sort("fields")))))
 
 
 KEY = ["catalog_name", "schema_name", "table_name"]
@@ -122,42 +123,84 @@ def cast_value(value, kind: str):
         return None
 
 
+def layouts_of(parsed: DataFrame) -> DataFrame:
+    """Versions with the layouts their records may have (``layouts``, arrays of fields) and whether these are only guesses.
+
+    A version with a schema has that one. One without has the schemas of the
+    nearest versions of its table with a schema, before and after it.
+    """
+    order = ["updated_us", "id"]
+    narrow = parsed.select(*KEY, F.coalesce(F.unix_micros(F.col("updated_at").cast("timestamp")), F.lit(-(1 << 62))).alias("updated_us"), "id", F.col("fields").isNotNull().alias("known"))
+    bare = []
+    for sign in (1, -1):  # the nearest before; and, with the order turned round, after
+        turned = narrow.withColumns({c: F.col(c) * sign for c in order}).withColumn("at", F.col("id") * sign)
+        bare.append(with_previous_of(turned, KEY, order, ["at"], F.col("known")).where("NOT known AND prev_at IS NOT NULL").select(F.col("at").alias("id"), F.col("prev_at").alias("near")))
+    known = parsed.where("fields IS NOT NULL")
+    near = bare[0].union(bare[1]).join(known.select(F.col("id").alias("near"), "fields"), "near").groupBy("id").agg(F.collect_list("fields").alias("layouts"))
+    guessed = parsed.where("fields IS NULL").drop("fields").join(near, "id", "left").withColumns({"layouts": F.coalesce("layouts", F.array().cast(f"array<{FIELDS}>")), "guessed": F.lit(True)})
+    return known.withColumn("layouts", F.array("fields")).drop("fields").withColumn("guessed", F.lit(False)).unionByName(guessed)
+
+
+def compile_rule(spec: dict) -> list[tuple[frozenset | None, list[tuple[str, str | None, str]]]]:
+    """Ways to read a record: the names that it must have (None: any) and for each newest column its name, its name in the record and its kind."""
+    ways = []
+    for fields in spec["layouts"]:
+        names = {f["attnum"]: f["name"] for f in fields}
+        ways.append((frozenset(names.values()) if spec["guessed"] else None, [(f["name"], names.get(f["attnum"]), f["kind"]) for f in spec["target"]]))
+    return ways
+
+
+def way_of(record: dict, ways: list) -> list[tuple[str, str | None, str]] | None:
+    """The one way that fits the record's names; None if none does or if two disagree."""
+    fits = [steps for names, steps in ways if names is None or not record or names == record.keys()]
+    return fits[0] if fits and (not record or all(f == fits[0] for f in fits)) else None
+
+
 def consistent_rows(parsed: DataFrame, files: DataFrame, rows: DataFrame, directory) -> DataFrame:
     """All rows of the snapshot files under the newest schema of their table.
 
     Each version holds a rule from its columns to the newest ones: by column
     number a rename, a cast to the newest kind, a null default for a column it
     lacks; removed columns go. Rules of a version equal the chain of its steps,
-    since a column number is never given again. Result: the table's key, file_id, row_pos and ``record``, a map from column
-    name to text in one spelling per kind (null where a value does not fit).
+    since a column number is never given again. Result: the table's key, file_id, row_pos, ``record``, a map from column
+    name to text in one spelling per kind (null where a value does not fit), ``routed`` and ``raw``.
+
+    ``parsed`` should hold the versions without a schema too. A record of such a
+    version goes by the nearest version with a schema, before or after it, that has
+    exactly the record's names. If neither has, or both have and give the
+    columns different numbers, or no version of the table has a schema, the record is not
+    ``routed``: ``record`` is null and ``raw`` holds its JSON as it stands.
 
     A file whose directory no version names is left out. Repeated files and rows
     count once. The rule travels with the file row, not with each record's shuffle.
     """
-    newest = parsed.groupBy(*KEY).agg(F.max_by("fields", F.struct("updated_at", "id")).alias("target"))
-    versions = parsed.groupBy(directory(F.col("local_path")).alias("directory"), *KEY).agg(F.max_by("fields", F.struct("updated_at", "id")).alias("fields"))
-    rules = versions.join(newest, KEY).select(*KEY, "directory", F.to_json(F.struct("fields", "target")).alias("rule"))
+    parsed = stash(parsed, "versions")
+    newest = parsed.where("fields IS NOT NULL").groupBy(*KEY).agg(F.max_by("fields", F.struct("updated_at", "id")).alias("target"))
+    latest = F.struct(~F.col("guessed"), "updated_at", "id")
+    versions = layouts_of(parsed).groupBy(directory(F.col("local_path")).alias("directory"), *KEY).agg(F.max_by(F.struct("layouts", "guessed"), latest).alias("v"))
+    rules = versions.join(newest, KEY, "left").select(*KEY, "directory", F.to_json(F.struct("v.layouts", "v.guessed", F.coalesce("target", F.array().cast(FIELDS)).alias("target"))).alias("rule"))
     listed = files.select("file_id", directory(F.col("local_path")).alias("directory")).dropDuplicates(["file_id"])
     ruled = listed.join(rules, "directory").drop("directory")
     met = rows.dropDuplicates(["file_id", "row_pos"]).join(ruled, "file_id").select(*KEY, "file_id", "row_pos", "row_json", "rule")
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled: dict[str, list[tuple[str, str | None, str]]] = {}
+        compiled: dict[str, list] = {}
         for batch in batches:
-            out = []
+            out, raw = [], []
             for text, rule in zip(batch.column("row_json").to_pylist(), batch.column("rule").to_pylist(), strict=True):
-                steps = compiled.get(rule)
-                if steps is None:
-                    spec = json.loads(rule)
-                    names = {f["attnum"]: f["name"] for f in spec["fields"]}
+                ways = compiled.get(rule)
+                if ways is None:
                     if len(compiled) > 10_000:
                         compiled.clear()
-                    steps = compiled[rule] = [(f["name"], names.get(f["attnum"]), f["kind"]) for f in spec["target"]]
+                    ways = compiled[rule] = compile_rule(json.loads(rule))
                 record = json.loads(text) if text else {}
-                out.append([(new, cast_value(record.get(old), kind) if old is not None else None) for new, old, kind in steps])
+                steps = way_of(record, ways)
+                out.append(None if steps is None else [(new, cast_value(record.get(old), kind) if old is not None else None) for new, old, kind in steps])
+                raw.append(text if steps is None else None)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in (*KEY, "file_id", "row_pos")), pa.array(out, pa.map_(pa.string(), pa.string()))], names=[*KEY, "file_id", "row_pos", "record"]
+                [*(batch.column(n) for n in (*KEY, "file_id", "row_pos")), pa.array(out, pa.map_(pa.string(), pa.string())), pa.array([r is not None for r in out]), pa.array(raw, pa.string())],
+                names=[*KEY, "file_id", "row_pos", "record", "routed", "raw"],
             )
 
-    schema = "catalog_name string, schema_name string, table_name string, file_id bigint, row_pos int, record map<string,string>"
+    schema = "catalog_name string, schema_name string, table_name string, file_id bigint, row_pos int, record map<string,string>, routed boolean, raw string"
     return met.mapInArrow(route, schema)

@@ -66,8 +66,8 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """All snapshot rows under the newest schema of their table."""
-    parsed = schema_drift.parse_versions(load(spark, folder, "table_arrow_schema"))
+    """All snapshot rows under the newest schema of their table; as raw JSON where that cannot be told."""
+    parsed = schema_drift.parse_versions(load(spark, folder, "table_arrow_schema"), bare=True)
     out = schema_drift.consistent_rows(parsed, load(spark, folder, "snapshot_file"), load(spark, folder, "snapshot_row"), compaction.directory)
     return out.withColumn("record", F.to_json("record"))
 

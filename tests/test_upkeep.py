@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import change_feed, compaction, copy_diff, heavy, schema_drift, snapshot_diff
-from millrace.operators.adjacent import with_previous
+from millrace.operators.adjacent import with_previous, with_previous_of
 from millrace.operators.hashing import content_hash, text_value, utc_naive
 from millrace.operators.presence import PresenceBitmap
 from millrace.operators.sieve import Sieve, key_hash
@@ -262,6 +262,25 @@ def test_rows_come_under_the_newest_schema(spark):
     }
 
 
+def test_rows_of_versions_without_schema_are_kept(spark):
+    old, new = [(1, "k", pa.int64()), (2, "old", pa.string())], [(1, "k", pa.int64()), (2, "new", pa.string())]
+    again = [(1, "k", pa.int64()), (3, "x", pa.string())], [(1, "k", pa.int64()), (4, "x", pa.string())]
+    versions = [
+        version(1, "t", 1, old), version(2, "t", 2, None), version(3, "t", 3, None), version(4, "t", 4, new), version(5, "t", 5, None),
+        version(6, "bare", 1, None), version(7, "u", 1, again[0]), version(8, "u", 2, None), version(9, "u", 3, again[1]),
+    ]
+    files = spark.createDataFrame([(i, f"/d/{i}", "a.parquet") for i in range(1, 10)], "file_id BIGINT, local_path STRING, file_name STRING")
+    content = [
+        (2, 0, '{"k": 1, "old": "a"}'), (2, 1, '{"k": 2, "new": "b"}'), (2, 2, '{"k": 3, "mid": "c"}'), (3, 0, '{"k": 4, "old": "d"}'), (3, 1, '{"new": "e", "k": 5}'),
+        (5, 0, '{"k": 6, "new": "f"}'), (5, 1, "{}"), (6, 0, '{"z": 1}'), (8, 0, '{"k": 7, "x": "g"}'), (9, 0, '{"k": 8, "x": "h"}'),
+    ]
+    table = spark.createDataFrame(content, "file_id BIGINT, row_pos INT, row_json STRING")
+    parsed = schema_drift.parse_versions(spark.createDataFrame(versions, VERSIONS), bare=True)
+    got = {(r.file_id, r.row_pos): (r.record, r.routed, r.raw) for r in schema_drift.consistent_rows(parsed, files, table, compaction.directory).collect()}
+    want = {(2, 0): {"k": "1", "new": "a"}, (2, 1): {"k": "2", "new": "b"}, (3, 0): {"k": "4", "new": "d"}, (3, 1): {"k": "5", "new": "e"}, (5, 0): {"k": "6", "new": "f"}, (5, 1): {"k": None, "new": None}, (9, 0): {"k": "8", "x": "h"}}
+    assert got == {k: (v, True, None) for k, v in want.items()} | {k: (None, False, text) for *k, text in content for k in [tuple(k)] if k not in want}
+
+
 def test_previous_row_over_ranges(spark):
     rnd = random.Random(3)
     data = [("hot" if i % 3 else rnd.choice(["a", None]), rnd.randrange(10**6), i) for i in range(600)]
@@ -273,6 +292,18 @@ def test_previous_row_over_ranges(spark):
     assert {(r.id, r.prev_id) for r in with_previous(df, ["k"], ["o", "id"], ["id"]).collect()} == want
 
 
+def test_previous_row_of_some_over_ranges(spark):
+    rnd = random.Random(4)
+    data = [("hot" if i % 3 else rnd.choice(["a", None]), rnd.randrange(10**6), i, rnd.random() < 0.2) for i in range(600)]
+    df = spark.createDataFrame(data, "k STRING, o INT, id INT, good BOOLEAN").repartition(5)
+    want, last = set(), {}
+    for k, o, i, good in sorted(data, key=lambda r: (repr(r[0]), r[1], r[2])):
+        want.add((i, last.get(k)))
+        if good:
+            last[k] = i
+    assert {(r.id, r.prev_id) for r in with_previous_of(df, ["k"], ["o", "id"], ["id"], F.col("good")).collect()} == want
+
+
 # snapshots
 
 
