@@ -97,11 +97,19 @@ SPARK_KIND = {
 }
 
 
+#: The source's spellings of booleans; 1 and 0 as numbers count too.
+BOOLEAN = dict.fromkeys(("true", "t", "yes", "y", "on", "1"), "true") | dict.fromkeys(("false", "f", "no", "n", "off", "0"), "false")
+
+
 def cast_value(value, kind: str):
     """A JSON value under a field kind, as text in one spelling; None where it does not fit."""
     if value is None:
         return None
     try:
+        if kind == "bool":
+            return BOOLEAN.get(str(int(value) if isinstance(value, (bool, float)) and value in (0, 1) else value).strip().lower())
+        if isinstance(value, bool) and kind.startswith(("decimal", "int", "float", "double")):
+            value = int(value)
         if kind.startswith("decimal"):
             scale = int(kind.rstrip(")").split(",")[1])
             return format(decimal.Decimal(str(value).strip()).quantize(decimal.Decimal(1).scaleb(-scale)), "f")
@@ -109,8 +117,6 @@ def cast_value(value, kind: str):
             return str(int(decimal.Decimal(str(value).strip())))
         if kind in ("float", "double"):
             return repr(float(value))
-        if kind == "bool":
-            return str(value if isinstance(value, bool) else str(value).strip().lower() in ("true", "t", "1")).lower()
         if kind.startswith("date"):
             return datetime.datetime.fromisoformat(str(value).strip()).date().isoformat()
         if kind.startswith("timestamp"):
@@ -163,7 +169,8 @@ def consistent_rows(parsed: DataFrame, files: DataFrame, rows: DataFrame, direct
     number a rename, a cast to the newest kind, a null default for a column it
     lacks; removed columns go. Rules of a version equal the chain of its steps,
     since a column number is never given again. Result: the table's key, file_id, row_pos, ``record``, a map from column
-    name to text in one spelling per kind (null where a value does not fit), ``routed`` and ``raw``.
+    name to text in one spelling per kind (null where a value does not fit), ``nulled``, the columns whose value in the
+    record is not null but does not fit, ``routed`` and ``raw``.
 
     ``parsed`` should hold the versions without a schema too. A record of such a
     version goes by the nearest version with a schema, before or after it, that has
@@ -186,7 +193,7 @@ def consistent_rows(parsed: DataFrame, files: DataFrame, rows: DataFrame, direct
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled: dict[str, list] = {}
         for batch in batches:
-            out, raw = [], []
+            out, nulled, raw = [], [], []
             for text, rule in zip(batch.column("row_json").to_pylist(), batch.column("rule").to_pylist(), strict=True):
                 ways = compiled.get(rule)
                 if ways is None:
@@ -195,12 +202,14 @@ def consistent_rows(parsed: DataFrame, files: DataFrame, rows: DataFrame, direct
                     ways = compiled[rule] = compile_rule(json.loads(rule))
                 record = json.loads(text) if text else {}
                 steps = way_of(record, ways)
-                out.append(None if steps is None else [(new, cast_value(record.get(old), kind) if old is not None else None) for new, old, kind in steps])
+                made = None if steps is None else [(new, cast_value(record.get(old), kind) if old is not None else None) for new, old, kind in steps]
+                out.append(made)
+                nulled.append([new for (new, v), (_, old, _) in zip(made or (), steps or (), strict=True) if v is None and old is not None and record.get(old) is not None])
                 raw.append(text if steps is None else None)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in (*KEY, "file_id", "row_pos")), pa.array(out, pa.map_(pa.string(), pa.string())), pa.array([r is not None for r in out]), pa.array(raw, pa.string())],
-                names=[*KEY, "file_id", "row_pos", "record", "routed", "raw"],
+                [*(batch.column(n) for n in (*KEY, "file_id", "row_pos")), pa.array(out, pa.map_(pa.string(), pa.string())), pa.array(nulled, pa.list_(pa.string())), pa.array([r is not None for r in out]), pa.array(raw, pa.string())],
+                names=[*KEY, "file_id", "row_pos", "record", "nulled", "routed", "raw"],
             )
 
-    schema = "catalog_name string, schema_name string, table_name string, file_id bigint, row_pos int, record map<string,string>, routed boolean, raw string"
+    schema = "catalog_name string, schema_name string, table_name string, file_id bigint, row_pos int, record map<string,string>, nulled array<string>, routed boolean, raw string"
     return met.mapInArrow(route, schema)

@@ -281,6 +281,24 @@ def test_rows_of_versions_without_schema_are_kept(spark):
     assert got == {k: (v, True, None) for k, v in want.items()} | {k: (None, False, text) for *k, text in content for k in [tuple(k)] if k not in want}
 
 
+@pytest.mark.parametrize(
+    ("value", "kind", "want"),
+    [(True, "int16", "1"), (False, "int64", "0"), (True, "decimal128(12, 2)", "1.00"), (True, "double", "1.0"), (True, "string", "true"), (True, "bool", "true"), (" T ", "bool", "true"), ("no", "bool", "false"), (0, "bool", "false"),
+     (1.0, "bool", "true"), (2, "bool", None), (0.5, "bool", None), ("abc", "bool", None), ("", "bool", None), ("x", "int32", None), (True, "date32[day]", None)],
+)
+def test_values_under_a_kind(value, kind, want):
+    assert schema_drift.cast_value(value, kind) == want
+
+
+def test_values_that_a_cast_nulls_are_listed(spark):
+    versions = [version(1, "t", 1, [(1, "k", pa.int64()), (2, "a", pa.bool_()), (3, "b", pa.string())]), version(2, "t", 2, [(1, "k", pa.int64()), (2, "A", pa.int16()), (3, "b", pa.bool_()), (4, "c", pa.int32())])]
+    files = spark.createDataFrame([(1, "/d/1", "a.parquet")], "file_id BIGINT, local_path STRING, file_name STRING")
+    table = spark.createDataFrame([(1, 0, '{"k": 1, "a": true, "b": "f"}'), (1, 1, '{"k": "?", "a": null, "b": "abc"}')], "file_id BIGINT, row_pos INT, row_json STRING")
+    out = schema_drift.consistent_rows(schema_drift.parse_versions(spark.createDataFrame(versions, VERSIONS), bare=True), files, table, compaction.directory)
+    got = {r.row_pos: (r.record, r.nulled) for r in out.collect()}
+    assert got == {0: ({"k": "1", "A": "1", "b": "false", "c": None}, []), 1: ({"k": None, "A": None, "b": None, "c": None}, ["k", "b"])}
+
+
 def test_previous_row_over_ranges(spark):
     rnd = random.Random(3)
     data = [("hot" if i % 3 else rnd.choice(["a", None]), rnd.randrange(10**6), i) for i in range(600)]
