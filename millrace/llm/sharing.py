@@ -369,19 +369,35 @@ def merge_spans(spans: DataFrame, key: str) -> DataFrame:
     return grouped.groupBy(key, "island").agg(F.min("s").alias("span_start"), F.max("e").alias("span_end")).drop("island")
 
 
-def fuzzy_passages(documents: DataFrame, least: int = 200, share: float = 0.1, key: str = "doc_id", text: str = "text", seed: int = 24, paired: int = PAIRED) -> DataFrame:
+def fuzzy_passages(documents: DataFrame, least: int = 200, share: float = 0.1, key: str = "doc_id", text: str = "text", seed: int = 24) -> DataFrame:
     """Pairs of texts with passages that agree up to edits: a, b, their ranges and the edits.
 
     Passages are chains of exact seed matches with the stretches between them
-    aligned; at least ``least`` characters long, edits at most ``share`` of the length. Seeds of
-    more than ``paired`` occurrences start no passage (they are exact spans: see
-    ``shared_spans``); windows for sampling are three seeds long.
+    aligned; at least ``least`` characters long, edits at most ``share`` of the length. Every
+    common seed counts, however many texts hold it, so a passage that n texts hold gives all
+    its n * (n - 1) / 2 pairs, at that cost. Texts equal as a whole are aligned once, by their first key, and
+    each pair of members gets the result.
+
+    Not every pair within the bounds is found: windows for sampling are three
+    seeds long, so only texts with a common exact run of that length have a seed
+    in common for certain, and a passage begins and ends with an exact match.
     """
     kind = documents.schema[key].dataType.simpleString()
     arrow = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
-    seeds = stash(sketches(documents, key, text, 3 * seed, seed).select(key, "h", "pos"), "seeds")
-    counts = seeds.groupBy("h").agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).where(f"lo <> hi AND n <= {paired}").select("h")
-    schema = f"a {kind}, b {kind}, a_start int, a_end int, b_start int, b_end int, edits int"
+    rows = stash(sketches(documents, key, text, 3 * seed, seed), "seeds")
+    contents = rows.groupBy(key).agg(F.first("content").alias("content"))
+    classes = contents.groupBy("content").agg(F.min(key).alias("first"), (F.count("*") > 1).alias("copied"))
+    members = stash(contents.join(classes, "content").select("first", F.col(key).alias("member"), "copied"), "members")
+    seeds = rows.select(key, "h", "pos").join(members.where("member = first").select(F.col("first").alias(key), "copied"), key)
+    counts = seeds.groupBy("h").agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.max("copied").alias("twice")).where("lo <> hi OR twice").select("h")
     met = stash(seeds.join(counts, "h"), "met")
+    ours, theirs = met.select("h", F.col(key).alias("a"), F.col("pos").alias("p"), "copied"), met.select("h", F.col(key).alias("b"), F.col("pos").alias("q"))
+    pairs = ours.join(theirs, "h").where("a < b OR (a = b AND copied)").groupBy("a", "b").agg(F.collect_list(F.struct("p", "q")).alias("anchors"))
+    schema = f"a {kind}, b {kind}, a_start int, a_end int, b_start int, b_end int, edits int"
     packed = packed_texts(documents, key, text, 3 * seed, stash(met.select(key).distinct(), "keys"))
-    return _aligned(_pairs(met, key), packed, key, seed, kind, _Passages(least, share, arrow), schema)
+    found = _aligned(pairs, packed, key, seed, kind, _Passages(least, share, arrow), schema)
+    named = [members.select(F.col("first").alias(c), F.col("member").alias(f"{c}_member")) for c in "ab"]
+    each = found.join(named[0], "a").join(named[1], "b").where("a <> b OR a_member < b_member").withColumn("turned", F.col("a_member") > F.col("b_member"))
+    turn = lambda x, y: F.when(F.col("turned"), F.col(y)).otherwise(F.col(x))
+    swapped = {"a": ("a_member", "b_member"), "b": ("b_member", "a_member")} | {f"{c}_{e}": (f"{c}_{e}", f"{o}_{e}") for c, o in ("ab", "ba") for e in ("start", "end")}
+    return each.select(*[turn(*swapped[c]).alias(c) for c in ("a", "b", "a_start", "a_end", "b_start", "b_end")], "edits")

@@ -123,6 +123,21 @@ def test_altered_passages_are_found(spark):
     assert (r.a, r.b) == (1, 2) and abs(r.a_start - 200) < 5 and abs(r.a_end - 800) < 5 and abs(r.b_start - 50) < 5 and 6 <= r.edits <= 9
 
 
+def test_altered_passages_of_many_texts_are_found(spark):
+    rnd = random.Random(13)
+    noise = lambda n: "".join(rnd.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = noise(400)
+    docs = [(d, noise(d) + passage[:190] + f"<{d:02}>" + passage[194:]) for d in range(20)]
+    docs += [(30, docs[3][1]), (-1, docs[3][1])]
+    df = spark.createDataFrame(docs, "doc_id BIGINT, text STRING").repartition(3)
+    got = sharing.fuzzy_passages(df).collect()
+    texts = dict(docs)
+    assert sorted((r.a, r.b) for r in got) == sorted(itertools.combinations(sorted(texts), 2))
+    for r in got:
+        x, y = ((0, len(texts[r.a])), (0, len(texts[r.b]))) if texts[r.a] == texts[r.b] else ((len(texts[r.a]) - 400, len(texts[r.a])), (len(texts[r.b]) - 400, len(texts[r.b])))
+        assert abs(r.a_start - x[0]) <= 3 and r.a_end == x[1] and abs(r.b_start - y[0]) <= 3 and r.b_end == y[1] and r.edits <= 4
+
+
 def test_long_texts_are_sampled_in_parts():
     rnd = np.random.default_rng(5)
     text = "".join(map(chr, rnd.integers(97, 100, 2000)))
