@@ -32,6 +32,14 @@ def _differs(left: pa.ChunkedArray, right: pa.ChunkedArray, tolerance: float | N
     return np.where(lnull | rnull, lnull != rnull, unequal.astype(bool))
 
 
+def chunked(df: DataFrame, keys: Sequence[str], fields: Sequence[str], chunks: int) -> DataFrame:
+    """One row of each key without nulls (k0.., f0.., key), with its chunk."""
+    names = [f"k{i}" for i in range(len(keys))]
+    kept = df.select(*[F.col(k).alias(n) for n, k in zip(names, keys, strict=True)], *[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)]).dropna(subset=names)
+    once = kept.dropDuplicates(names)
+    return once.select("*", F.to_json(F.struct(*names)).alias("key")).withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("int"))
+
+
 def diff_copies(
     left: DataFrame, right: DataFrame, keys: Sequence[str], fields: Sequence[str], tolerance: dict[str, float] | None = None, rows_per_chunk: int = ROWS_PER_CHUNK
 ) -> DataFrame:
@@ -45,7 +53,7 @@ def diff_copies(
     the rows of the intersection are compared column by column, aligned by ordinal.
 
     Rows with a null in a key are left out. Repeated rows of a key count once
-    (they are taken to agree; any is compared). Two nulls agree, a null and a
+    (they are taken to agree; any is compared) and are reduced to one, map side first, before chunks are made. Two nulls agree, a null and a
     value differ. Fields must have one type on both sides; other columns are not
     read. An empty side reports all rows of the other.
     """
@@ -53,12 +61,7 @@ def diff_copies(
     total = left.count() + right.count()
     chunks = max(1, -(-total // rows_per_chunk))
 
-    def side(df: DataFrame) -> DataFrame:
-        key = F.to_json(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]))
-        kept = df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], *[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)], key.alias("key")).dropna(subset=[f"k{i}" for i in range(len(keys))])
-        return kept.withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("int"))
-
-    a, b = side(left), side(right)
+    a, b = chunked(left, keys, fields, chunks), chunked(right, keys, fields, chunks)
     for i, f in enumerate(fields):
         if a.schema[f"f{i}"].dataType != b.schema[f"f{i}"].dataType:
             raise TypeError(f"{f}: {a.schema[f'f{i}'].dataType} against {b.schema[f'f{i}'].dataType}")

@@ -191,6 +191,13 @@ def test_differences_by_field(spark):
     assert copy_diff.diff_copies(left.limit(0), right.limit(0), ["t", "k"], ["a"]).count() == 0
 
 
+def test_a_repeated_key_does_not_fill_a_chunk(spark):
+    df = spark.range(6000).selectExpr("'t' AS t", "if(id < 3000, 7, id) AS k", "'v' AS v").repartition(5)
+    made = copy_diff.chunked(df.union(df.selectExpr("t", "NULL", "v")), ["t", "k"], ["v"], 3)
+    assert made.where("k1 = 7").count() == 1 and made.count() == made.select("k0", "k1").distinct().count() == 3001
+    assert rows(copy_diff.diff_copies(df, df.where("k <> 7 AND k <> 5000"), ["t", "k"], ["v"])) == [("t", 5000, "only_source"), ("t", 7, "only_source")]
+
+
 def test_fields_of_two_types_are_refused(spark):
     a = spark.createDataFrame([(1, 1)], "k INT, v INT")
     with pytest.raises(TypeError):
