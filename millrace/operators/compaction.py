@@ -166,12 +166,25 @@ def expected_totals(assigned: DataFrame, rows: DataFrame) -> DataFrame:
     )
 
 
-def publish(written: DataFrame, expected: DataFrame, manifest: str) -> DataFrame:
+def uncovered(assigned: DataFrame, files: DataFrame, rows: DataFrame) -> DataFrame:
+    """Planned files whose content is not what the listing says: directory, slice, output_group, file_id, row_count, n_rows.
+
+    ``files`` are those of ``small_files``; n_rows is the number of distinct rows in ``rows``.
+    An unknown row_count is covered by any row.
+    """
+    content = rows.dropDuplicates(["file_id", "row_pos"]).groupBy("file_id").agg(F.count("*").alias("n_rows"))
+    met = assigned.join(files.select("file_id", "row_count"), "file_id").join(content, "file_id", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0).cast("bigint")))
+    short = F.when(F.col("row_count").isNull(), F.col("n_rows") == 0).otherwise(F.col("n_rows") != F.col("row_count"))
+    return met.where(short).select("directory", "slice", "output_group", "file_id", "row_count", "n_rows")
+
+
+def publish(written: DataFrame, expected: DataFrame, manifest: str, missing: DataFrame | None = None) -> DataFrame:
     """Verify the written files against the input and publish the manifest at once.
 
     ``written`` must be materialised (its evaluation writes files). Rows and
     checksum of every group must agree, else RuntimeError and nothing becomes
-    visible; the manifest is written aside and renamed.
+    visible; the manifest is written aside and renamed. ``missing``, the result of
+    ``uncovered``, is written to ``manifest``-uncovered before.
     """
     spark = written.sparkSession
     on = ["directory", "slice", "output_group"]
@@ -186,6 +199,9 @@ def publish(written: DataFrame, expected: DataFrame, manifest: str) -> DataFrame
     final, aside = hadoop.Path(manifest), hadoop.Path(f"{manifest}.pending-{uuid.uuid4().hex}")
     written.write.parquet(aside.toString())
     fs = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    beside = hadoop.Path(f"{manifest}-uncovered")
+    if missing is not None and not fs.exists(final):
+        missing.write.mode("overwrite").parquet(beside.toString())
     if fs.exists(final) or not fs.rename(aside, final):
         raise RuntimeError(f"{manifest} was published by another run")
     return spark.read.parquet(manifest)

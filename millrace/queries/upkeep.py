@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import change_feed, compaction, copy_diff, schema_drift, snapshot_diff
 from millrace.operators.hashing import text_value, utc_naive
-from millrace.session import scratch_path
+from millrace.session import scratch_path, stash
 from millrace.sources.tables import load
 
 
@@ -37,15 +37,29 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return compaction.plan(_small_files(spark, folder)).select("file_id")
 
 
-def p2_compact(spark: SparkSession, folder: str) -> DataFrame:
-    """Compact every current directory: the published manifest, a row per file written."""
-    assigned = compaction.plan(_small_files(spark, folder))
-    rows = load(spark, folder, "snapshot_row")
+def _compact(spark: SparkSession, folder: str) -> str:
+    """Compact every current directory; returns the path of the published manifest."""
+    files, rows = _small_files(spark, folder), load(spark, folder, "snapshot_row")
+    assigned = stash(compaction.plan(files), "p2-plan")
     out = scratch_path(spark, "p2")
     written = compaction.write_groups(assigned, rows, f"{out}/data")
     written.write.parquet(f"{out}/written")
-    manifest = compaction.publish(spark.read.parquet(f"{out}/written"), compaction.expected_totals(assigned, rows), f"{out}/manifest")
-    return manifest.select("directory", "slice", "output_group", "n_files", "n_rows", "checksum")
+    compaction.publish(spark.read.parquet(f"{out}/written"), compaction.expected_totals(assigned, rows), f"{out}/manifest", compaction.uncovered(assigned, files, rows))
+    return f"{out}/manifest"
+
+
+def p2_compact(spark: SparkSession, folder: str) -> DataFrame:
+    """Compact every current directory: a row per file written, and of each group how many planned files were not covered by content."""
+    path, group = _compact(spark, folder), ["directory", "slice", "output_group"]
+    missing = spark.read.parquet(f"{path}-uncovered").groupBy(*group).agg(F.count("*").alias("n_uncovered"))
+    manifest = spark.read.parquet(path).join(missing, group, "full")
+    return manifest.select(*group, "n_files", "n_rows", "checksum", F.coalesce("n_uncovered", F.lit(0).cast("bigint")).alias("n_uncovered"))
+
+
+def p2_uncovered(spark: SparkSession, folder: str) -> DataFrame:
+    """The planned files whose listed row count is not what their content has."""
+    files = _small_files(spark, folder)
+    return compaction.uncovered(stash(compaction.plan(files), "p2-plan"), files, load(spark, folder, "snapshot_row"))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,7 +93,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return snapshot_diff.change_events(complete, "source_table", "snapshot_no", ["row_key"], values, "loaded_at")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_compact": p2_compact, "p3_found": p3_found, "p4_found": p4_found, "p4_rows": p4_rows, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_compact": p2_compact, "p2_uncovered": p2_uncovered, "p3_found": p3_found, "p4_found": p4_found, "p4_rows": p4_rows, "p5_found": p5_found}
 
 ORACLES = {
     "p1_found": """

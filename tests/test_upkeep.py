@@ -161,6 +161,16 @@ def test_a_manifest_that_does_not_agree_is_not_published(spark, tmp_path):
     assert not (tmp_path / "manifest").exists()
 
 
+def test_planned_files_without_their_content_are_listed(spark, tmp_path):
+    files = spark.createDataFrame([("/a", i, 10, n, 6) for i, n in enumerate([1, 2, 0, None, None, 3])], "directory STRING, file_id BIGINT, size_bytes BIGINT, row_count BIGINT, siblings BIGINT")
+    table = spark.createDataFrame([(0, 0, "{}"), (0, 0, "{}"), (1, 0, "{}"), (3, 0, "{}")], "file_id BIGINT, row_pos INT, row_json STRING")
+    plan = stash(compaction.plan(files), "plan")
+    written = stash(compaction.write_groups(plan, table, f"file://{tmp_path}/out"), "w")
+    manifest = compaction.publish(written, compaction.expected_totals(plan, table), f"file://{tmp_path}/manifest", compaction.uncovered(plan, files, table))
+    assert manifest.agg(F.sum("n_rows")).first()[0] == 3
+    assert rows(spark.read.parquet(f"file://{tmp_path}/manifest-uncovered").select("file_id", "row_count", "n_rows")) == [(1, 2, 1), (4, None, 0), (5, 3, 0)]
+
+
 # two copies
 
 
