@@ -90,13 +90,6 @@ def migration_steps(parsed: DataFrame) -> DataFrame:
     return met.select("id", "prev_id", "attnum", F.coalesce("new_name", "old_name").alias("field_name"), F.explode(changes).alias("change"), "old_name", "new_name", "old_kind", "new_kind")
 
 
-#: Arrow kind to the type of the consistent table.
-SPARK_KIND = {
-    "bool": "boolean", "int8": "tinyint", "int16": "smallint", "int32": "int", "int64": "bigint", "float": "float", "double": "double",
-    "string": "string", "binary": "binary", "date32[day]": "date", "timestamp[us]": "timestamp_ntz", "timestamp[us, tz=UTC]": "timestamp",
-}
-
-
 #: The source's spellings of booleans; 1 and 0 as numbers count too.
 BOOLEAN = dict.fromkeys(("true", "t", "yes", "y", "on", "1"), "true") | dict.fromkeys(("false", "f", "no", "n", "off", "0"), "false")
 
@@ -167,8 +160,8 @@ def consistent_rows(parsed: DataFrame, files: DataFrame, rows: DataFrame, direct
 
     Each version holds a rule from its columns to the newest ones: by column
     number a rename, a cast to the newest kind, a null default for a column it
-    lacks; removed columns go. Rules of a version equal the chain of its steps,
-    since a column number is never given again. Result: the table's key, file_id, row_pos, ``record``, a map from column
+    lacks; removed columns go. Columns are matched as by the chain of steps,
+    since a column number is never given again, but casts between the two versions never act. Result: the table's key, file_id, row_pos, ``record``, a map from column
     name to text in one spelling per kind (null where a value does not fit), ``nulled``, the columns whose value in the
     record is not null but does not fit, ``routed`` and ``raw``.
 
