@@ -63,12 +63,25 @@ def write(df: DataFrame, fmt: str, path: str, mode: str = "errorifexists", parti
 
 
 def read_arrow(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Arrow IPC files: the driver lists them and reads one schema, tasks read their files batch by batch."""
+    """Arrow IPC files: the driver lists them, tasks read their schemas and then the files batch by batch.
+
+    The columns of all files come out, null where a file lacks them. Files that give a column different types are refused.
+    """
     files = [f for p in paths for f in ds.dataset(p.removeprefix("file://"), format="arrow").files]
-    schema = ds.dataset(files[:1], format="arrow").schema
-    target = from_arrow_schema(schema)
+    if not files:
+        raise FileNotFoundError(f"no Arrow files in {', '.join(paths)}")
     listed = spark.createDataFrame([(f,) for f in files], "file string").repartition(max(1, min(len(files), 10_000)))
 
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files = batch.column(0).to_pylist()
+            found = [ds.dataset([f], format="arrow").schema.remove_metadata().serialize().to_pybytes() for f in files]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(files, pa.string())], names=["footer", "file"])
+
+    kinds = listed.mapInArrow(footers, "footer binary, file string").groupBy("footer").agg(F.min("file").alias("file")).orderBy("file").collect()
+    schema = pa.unify_schemas([pa.ipc.read_schema(pa.py_buffer(bytes(r.footer))) for r in kinds])
+    target = from_arrow_schema(schema)
+
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for f in batch.column(0).to_pylist():

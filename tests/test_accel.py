@@ -5,6 +5,7 @@ import threading
 import time
 import uuid
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from millrace.accel.policy import CachePolicy, PolicyError
 from millrace.accel.remote import ranked
 from millrace.accel.store import MetadataStore
 from millrace.accel.tasks import Scheduler, TaskManager
+from millrace.sources import formats
 
 
 @pytest.mark.parametrize("text", ["all", "smart", "topk:k=3", "topk:k=0", "select:table_set=a.b,c.d", "select:table_set="])
@@ -165,3 +167,19 @@ def test_unstable_statements_are_not_cached(spark, folder, tmp_path):
     assert engine.catalogs().count() == 0
     assert F.col("x") is not None
     engine.close()
+
+
+def test_arrow_files_of_several_schemas_keep_every_column(spark, tmp_path):
+    def save(name, table):
+        with pa.ipc.new_file(str(tmp_path / name), table.schema) as writer:
+            writer.write_table(table)
+
+    with pytest.raises(FileNotFoundError):
+        formats.read_arrow(spark, [str(tmp_path)])
+    save("a.arrow", pa.table({"k": [1], "a": ["x"]}))
+    save("b.arrow", pa.table({"b": [2.5], "k": [2]}))
+    got = formats.read_arrow(spark, [f"file://{tmp_path}"])
+    assert {(r.k, r.a, r.b) for r in got.collect()} == {(1, "x", None), (2, None, 2.5)}
+    save("c.arrow", pa.table({"k": ["text"]}))
+    with pytest.raises(pa.ArrowTypeError):
+        formats.read_arrow(spark, [str(tmp_path)])
