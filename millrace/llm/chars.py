@@ -89,19 +89,3 @@ def overlapping(texts: list[str], most: int, overlap: int) -> list[list[tuple[in
     return out
 
 
-def cut_words(text: str, most: int) -> list[str]:
-    """A text in parts of about ``most`` characters, cut before blanks that follow no white space: always the start of a word."""
-    parts, begin = [], 0
-    while len(text) - begin > most:
-        at = text.find(" ", begin + most)
-        while at > 0 and ord(text[at - 1]) in _SPACES:
-            at = text.find(" ", at + 1)
-        if at < 0:
-            break
-        parts.append(text[begin:at])
-        begin = at
-    parts.append(text[begin:])
-    return parts
-
-
-_SPACES = frozenset(WHITE_SPACE)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import functools
-import heapq
 import os
 from collections.abc import Iterator
 
@@ -13,13 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.chars import SPACE, blocks, code_points, cut_words, pattern_table, texts_of
+from millrace.llm.chars import SPACE, blocks, code_points, pattern_table, texts_of
 
 NONE = np.int32(2**31 - 1)
 #: Characters worked on at once; bounds a task's memory whatever the batch holds.
 BLOCK = 2_000_000
-#: Words of more bytes are merged by a heap: matrix rounds cost the square of the length.
-LONGEST_ROW = 384
+#: Bytes of a matrix row: a longer word takes several rows, and the seams between them are mended.
+SEGMENT = 64
 #: Largest vocabulary file that is sent to every task.
 LARGEST_VOCABULARY = 64 << 20
 CELLS = 4_000_000
@@ -30,6 +29,9 @@ class ByteBpe:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        self.sizes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        for token, rank in ranks.items():
+            self.sizes[rank] = len(token)
         pairs: dict[int, int] = {}
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
@@ -119,38 +121,59 @@ class ByteBpe:
                 ranks[ok, side[ok]] = self.lookup(ids[ok, side[ok]], ids[ok, side[ok] + 1])
         return out, out_len
 
-    def _merge_long(self, word: bytes) -> np.ndarray:
-        """Ids of one long word: the same merges, leftmost least rank first, by a heap over a linked list."""
-        ids = self.byte_id[np.frombuffer(word, dtype=np.uint8)]
-        first = self.lookup(ids[:-1], ids[1:]).tolist()
-        ids, n = ids.tolist(), len(word)
-        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(r, i) for i, r in enumerate(first) if r != NONE]
-        heapq.heapify(heap)
-        rank = [*first, NONE]
-        while heap:
-            r, i = heapq.heappop(heap)
-            if ids[i] < 0 or rank[i] != r:
-                continue
-            j = after[i]
-            ids[i], ids[j] = r, -1
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for left in (before[i], i):
-                right = after[left] if left >= 0 else -1
-                if left >= 0:
-                    new = int(self.lookup(np.array([ids[left]]), np.array([ids[right]]))[0]) if right >= 0 else NONE
-                    rank[left] = new
-                    if new != NONE:
-                        heapq.heappush(heap, (new, left))
-        return np.array([i for i in ids if i >= 0], dtype=np.int32)
+    def _merge_repeats(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_merge_rows``, for wide rows: a round merges all places of each row's least pair that come next in turn.
 
-    def encode_words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words one after the other, and where each word's ids start."""
-        sizes = np.diff(offsets)
+        Places follow each other from the left as long as no pair that they make is of the same or a
+        lesser rank; the first one that makes such a pair ends the row's round. So the merges are
+        the same and in the same order, and a row of one repeated pattern takes few rounds.
+        """
+        out, out_len = np.full_like(ids, -1), lengths.copy()
+        rows = np.arange(len(ids))
+        while len(rows):
+            n, width = ids.shape
+            ranks = np.full((n, max(width - 1, 0)), NONE, dtype=np.int32)
+            inside = ids[:, 1:] >= 0
+            ranks[inside] = self.lookup(ids[:, :-1][inside], ids[:, 1:][inside])
+            least = ranks.min(axis=1) if width > 1 else np.full(n, NONE)
+            done = least == NONE
+            out[rows[done], :width], out_len[rows[done]] = ids[done], lengths[done]
+            go = ~done
+            rows, ids, ranks, lengths, least = rows[go], ids[go], ranks[go], lengths[go], least[go]
+            if not len(rows):
+                break
+            hit = ranks == least[:, None]
+            columns = np.arange(width - 1)
+            gap = np.maximum.accumulate(np.where(hit, -1, columns[None, :]), axis=1)
+            row, at = np.nonzero(hit & ((columns[None, :] - gap) % 2 == 1))
+            same = np.zeros(len(row), dtype=bool)
+            same[1:] = (row[1:] == row[:-1]) & (at[1:] == at[:-1] + 2)
+            made, worst = least[row], np.zeros(len(row), dtype=bool)
+            for ok, left, right in (
+                (at > 0, np.where(same, made, ids[row, np.maximum(at - 1, 0)]), made),
+                (at + 2 < lengths[row], made, ids[row, np.minimum(at + 2, width - 1)]),
+            ):
+                k = np.flatnonzero(ok)
+                worst[k] |= self.lookup(left[k], right[k]) <= made[k]
+            bad = np.full(len(rows), width)
+            np.minimum.at(bad, row[worst], at[worst])
+            go = at <= bad[row]
+            row, at, made = row[go], at[go], made[go]
+            ids[row, at] = made
+            ids[row, at + 1] = -1
+            kept = ids >= 0
+            lengths = kept.sum(axis=1)
+            packed = np.full((len(rows), int(lengths.max())), -1, dtype=np.int32)
+            packed[np.arange(packed.shape[1])[None, :] < lengths[:, None]] = ids[kept]
+            ids = packed
+        return out, out_len
+
+    def _encode_rows(self, data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of stretches of bytes one after the other, and how many each has: padded matrices by length."""
         counts, parts = np.ones(len(sizes), dtype=np.int64), []
-        edges = [0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, LONGEST_ROW]
+        edges = [0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, SEGMENT]
+        while len(sizes) and edges[-1] < sizes.max():
+            edges.append(edges[-1] * 2)
         for low, high in zip(edges[:-1], edges[1:], strict=True):
             chosen = np.flatnonzero((sizes > low) & (sizes <= high))
             for k in range(0, len(chosen), max(1, CELLS // high)):
@@ -158,19 +181,76 @@ class ByteBpe:
                 cells = np.arange(high)[None, :]
                 inside = cells < sizes[words][:, None]
                 ids = np.full((len(words), high), -1, dtype=np.int32)
-                ids[inside] = self.byte_id[data[(offsets[words][:, None] + cells)[inside]]]
-                ids, n = self._merge_rows(ids, sizes[words].astype(np.int64))
+                ids[inside] = self.byte_id[data[(begins[words][:, None] + cells)[inside]]]
+                ids, n = (self._merge_rows if high <= SEGMENT else self._merge_repeats)(ids, sizes[words].astype(np.int64))
                 counts[words] = n
                 parts.append((words, ids[ids >= 0], n))
-        for w in np.flatnonzero(sizes > LONGEST_ROW):
-            ids = self._merge_long(data[offsets[w] : offsets[w + 1]].tobytes())
-            counts[w] = len(ids)
-            parts.append((np.array([w]), ids, np.array([len(ids)])))
         starts = np.zeros(len(sizes) + 1, dtype=np.int64)
         np.cumsum(counts, out=starts[1:])
         flat = np.empty(starts[-1], dtype=np.int32)
         for words, ids, n in parts:
             flat[_ranges(starts[words], n)] = ids
+        return flat, counts
+
+    def _mend(self, data: np.ndarray, begin: int, ids: np.ndarray, seams: np.ndarray, walls: np.ndarray) -> np.ndarray:
+        """Ids of words that were encoded in several rows: ``seams`` are the indices of tokens that begin a row inside a word.
+
+        If no merge crosses a place, the merges on its sides do not know of each other. So two encoded
+        stretches together are their ids in turn just if their two tokens beside the seam, encoded as one
+        stretch, stay these two. Where they do not, some tokens on both sides (twice as many each time, up to ``walls``,
+        the places between words) are encoded anew as one stretch, which has at most two seams.
+        ``begin`` is the byte at which the first token begins. The result's tokens cover the same bytes.
+        """
+        reach = 2
+        while len(seams):
+            at = begin + np.concatenate([[0], np.cumsum(self.sizes[ids])])
+            pairs, which = np.unique(ids[seams - 1].astype(np.int64) << 32 | ids[seams], return_inverse=True)
+            first = np.zeros(len(pairs), dtype=np.int64)
+            first[which] = np.arange(len(seams))
+            left = at[seams[first] - 1]
+            size = at[seams[first] + 1] - left
+            made, counts = self._encode_rows(data, left, size)
+            heads = np.concatenate([[0], np.cumsum(counts)[:-1]])
+            holds = (counts == 2) & (made[heads] == pairs >> 32)
+            seams = seams[~holds[which]]
+            if not len(seams):
+                break
+            wall = np.searchsorted(walls, seams, "right")
+            low, high = np.maximum(seams - reach, walls[wall - 1]), np.minimum(seams + reach, walls[wall])
+            fresh = np.concatenate([[True], low[1:] >= high[:-1]])
+            # windows that overlap are one
+            low, high = low[fresh], np.concatenate([high[:-1][fresh[1:]], high[-1:]])
+            made, counts = self._encode_rows(data, at[low], at[high] - at[low])
+            grown = counts - (high - low)
+            keep = np.ones(len(ids), dtype=bool)
+            keep[_ranges(low, high - low)] = False
+            moved = np.concatenate([[0], np.cumsum(grown)])
+            out = np.empty(len(ids) + int(grown.sum()), dtype=np.int32)
+            after = np.searchsorted(high, np.flatnonzero(keep), "right")
+            out[np.flatnonzero(keep) + moved[after]] = ids[keep]
+            starts = low + moved[:-1]
+            out[_ranges(starts, counts)] = made
+            edge = np.unique(np.concatenate([starts, starts + counts]))
+            walls = walls + moved[np.searchsorted(high, walls, "right")]
+            ids, seams, reach = out, np.setdiff1d(edge, walls), reach * 2
+        return ids
+
+    def encode_words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after the other, and where each word's ids start."""
+        sizes = np.diff(offsets)
+        rows = np.maximum(1, -(-sizes // SEGMENT))
+        word = np.repeat(np.arange(len(sizes)), rows)
+        place = _ranges(np.zeros(len(sizes), dtype=np.int64), rows)
+        begins = offsets[word] + place * SEGMENT
+        flat, counts = self._encode_rows(data, begins, np.minimum(offsets[word + 1] - begins, SEGMENT))
+        heads = np.concatenate([[0], np.cumsum(counts)])
+        if len(word) > len(sizes):
+            flat = self._mend(data, int(offsets[0]), flat, heads[:-1][place > 0], np.concatenate([heads[:-1][place == 0], heads[-1:]]))
+        starts = np.zeros(len(sizes) + 1, dtype=np.int64)
+        if len(word) > len(sizes):
+            starts[1:] = np.searchsorted(np.cumsum(self.sizes[flat]), offsets[1:] - offsets[0], "left") + 1
+        else:
+            starts[1:] = heads[1:]
         return flat, starts
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -240,6 +320,28 @@ def word_starts(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
+def cut_words(text: str, most: int, window: int = 4096) -> list[str]:
+    """A text in parts of about ``most`` characters, each beginning at a word that follows no white space.
+
+    Whether a word begins depends on the characters next to a place only, so the words of a window tell.
+    """
+    parts, begin, edge = [], 0, 8
+    seek = most
+    while begin + seek < len(text):
+        low, high = max(begin, begin + seek - edge), min(len(text), begin + seek + window)
+        points, starts = code_points([text[low:high]])
+        found = word_starts(points, starts)
+        found = found[(found >= edge) & (found < len(points) - edge)]
+        found = found[pattern_table()[points[found - 1]] != SPACE]
+        if not len(found):
+            seek += window - 2 * edge
+            continue
+        parts.append(text[begin : low + int(found[0])])
+        begin, seek = low + int(found[0]), most
+    parts.append(text[begin:])
+    return parts
+
+
 @functools.lru_cache(maxsize=4)
 def _loaded(data: bytes) -> ByteBpe:
     return ByteBpe.of_file(data)
@@ -255,7 +357,9 @@ def encode_corpus(documents: DataFrame, vocabulary: str, key: str = "doc_id", te
     Nothing is shuffled: scan, encode by batch, done.
 
     In a block of texts the words are found by array operations, each distinct
-    word is encoded once, in padded matrices by length, and the ids are gathered.
+    word is encoded once, in padded matrices by length, and the ids are gathered. Words of any length
+    are encoded so: one of more than SEGMENT bytes takes several rows, whose seams are mended. A text of more than
+    BLOCK characters is taken in parts that begin at words, so memory is bounded by BLOCK or the longest single word.
     """
     if os.path.getsize(vocabulary) > LARGEST_VOCABULARY:
         raise ValueError(f"{vocabulary} is larger than {LARGEST_VOCABULARY} bytes")

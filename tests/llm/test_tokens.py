@@ -61,10 +61,15 @@ def _public(ranks, held=[]):  # noqa: B006
     return held[0]
 
 
-def test_long_words_take_the_same_merges(bpe, public):
-    rnd = random.Random(5)
-    words = ["".join(rnd.choice("etaoin") for _ in range(n)) for n in (tokens.LONGEST_ROW - 1, tokens.LONGEST_ROW, tokens.LONGEST_ROW + 1, 5000)]
-    agree(bpe, public, words)
+@pytest.mark.parametrize("alphabet", ["etaoin", "a", "ab", "ACGT", "-=", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "漢字かな交", "éü"])
+def test_long_words_take_the_same_merges(bpe, public, alphabet):
+    rnd, n = random.Random(5), tokens.SEGMENT
+    agree(bpe, public, ["".join(rnd.choice(alphabet) for _ in range(size)) for size in (n - 1, n, n + 1, 2 * n, 2 * n + 1, 5000, 3, 700)])
+
+
+@pytest.mark.parametrize("pattern", ["abc", "ab", "the", "xyzzy", "-=-", "aab", "漢", "éa", "abcdefg"])
+def test_words_of_one_repeated_pattern(bpe, public, pattern):
+    agree(bpe, public, [t for n in (1, 50, 333, 2001) for t in (pattern * n, "q" + pattern * n, pattern * n + "z", "q" * 5 + pattern * n + "re" * 40)])
 
 
 def test_ids_give_the_text_back(bpe, public):
@@ -115,13 +120,23 @@ def test_classes_are_those_of_the_pattern():
 def test_a_long_text_is_cut_between_words(spark, bpe, public, monkeypatch):
     rnd = random.Random(8)
     text = "".join(rnd.choice(["word", " ", "  ", "\n", "'s", "12", "--", "漢字", "\t "]) for _ in range(3000))
-    assert "".join(chars.cut_words(text, 50)) == text and len(chars.cut_words(text, 50)) > 20
+    assert "".join(tokens.cut_words(text, 50)) == text and len(tokens.cut_words(text, 50)) > 20
     monkeypatch.setattr(tokens, "BLOCK", 50)
     ids, at = bpe.encode_long(text)
     assert ids.tolist() == public.encode_ordinary(text) and at.tolist() == [0, len(ids)]
     assert bpe.encode_long("")[0].tolist() == []
 
 
+@pytest.mark.parametrize("letters", ["漢字、かな。", "ab", "ab'sre!?", "a1-"])
+def test_a_long_text_without_blanks_is_cut_too(bpe, public, monkeypatch, letters):
+    rnd = random.Random(6)
+    text = "".join(rnd.choice(letters) for _ in range(4000))
+    parts = tokens.cut_words(text, 100, 64)
+    assert "".join(parts) == text and (len(parts) > 20) == (letters != "ab")
+    monkeypatch.setattr(tokens, "BLOCK", 100)
+    assert bpe.encode_long(text)[0].tolist() == public.encode_ordinary(text)
+
+
 def test_overlapping_parts_hold_every_window():
     texts = ["", "abcdefghijklmnopqrstuvwxyz", "xy", "0123456789"]
     parts = [p for block in chars.overlapping(texts, 4, 3) for p in block]
