@@ -34,5 +34,13 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_edits": p7_edits, "p8_found": p8_found}
-#: No SQL twins: the tests hold these against brute force and a public encoder.
-ORACLES: dict[str, str] = {}
+#: p6_ids and p7_found have no SQL twins: the tests hold them against a public encoder and brute force.
+ORACLES: dict[str, str] = {
+    "p8_found": """
+        WITH w AS (SELECT doc_id, s, hash(substr(text, s + 1, 400)) AS a, md5_number_lower(substr(text, s + 1, 400)) AS b
+                   FROM (SELECT doc_id, text, unnest(range(length(text) - 399)) AS s FROM documents WHERE length(text) >= 400)),
+        held AS (SELECT a, b FROM w GROUP BY a, b HAVING min(doc_id) <> max(doc_id)),
+        m AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 400 THEN 0 ELSE 1 END AS fresh FROM w SEMI JOIN held USING (a, b)),
+        g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM m)
+        SELECT doc_id, min(s)::INT AS span_start, (max(s) + 400)::INT AS span_end FROM g GROUP BY doc_id, island""",
+}

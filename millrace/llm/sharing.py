@@ -1,4 +1,4 @@
-"""Long exact spans shared between records: sampled k-mer seeds, collinear chains, aligned passages."""
+"""Long spans shared between records: sampled k-mer seeds, collinear chains, aligned passages."""
 
 from __future__ import annotations
 
@@ -21,8 +21,12 @@ from millrace.session import stash
 BLOCK = 1_000_000
 #: Length of a seed.
 SEED = 100
-#: A seed with more occurrences than this isn't paired; its windows are compared by hash instead, exactly.
+#: Texts of a seed with more occurrences than this are not all paired: each is linked to one partner for every window that it shares.
 PAIRED = 16
+#: Rows in which one group of equal windows looks for partners at a time.
+GROUP = 100_000
+#: Pairs of one text that one copy of it serves.
+PER_COPY = 256
 #: Cost of a character between two chained matches, in matched characters.
 GAP_COST = 0.05
 
@@ -60,22 +64,25 @@ def sketch(points: np.ndarray, starts: np.ndarray, span: int, seed: int) -> tupl
 
 
 def sketches(documents: DataFrame, key: str, text: str, span: int, seed: int) -> DataFrame:
-    """A row per selected seed of every text of at least ``span`` characters: key, length, 128-bit content hash, seed hash h, position pos."""
+    """Of every text of at least ``span`` characters a row with its length and 128-bit content hash, and a row per selected seed: seed hash h and position pos."""
     kind = documents.schema[key].dataType.simpleString()
+    layout = [("length", pa.int32()), ("content", pa.binary()), ("h", pa.int64()), ("pos", pa.int32())]
+
+    def rows(keys: pa.Array, **given: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([keys, *(given.get(n, pa.nulls(len(keys), t)) for n, t in layout)], names=[key, *(n for n, _ in layout)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column(1))
             content = pa.array([hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts], pa.binary())
-            length = pa.array([len(t) for t in texts], pa.int32())
+            yield rows(batch.column(0), length=pa.array([len(t) for t in texts], pa.int32()), content=content)
             for block in overlapping(texts, BLOCK, span - 1):
                 points, starts = code_points([part for *_, part in block])
                 hashes, _, _, at = sketch(points, starts, span, seed)
                 which = np.searchsorted(starts, at, "right") - 1
                 owner, offset = (np.array([x[i] for x in block], dtype=np.int64) for i in (0, 1))
                 place = at - starts[which] + offset[which]
-                rows = pa.array(owner[which])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), length.take(rows), content.take(rows), pa.array(hashes[at].view(np.int64)), pa.array(place.astype(np.int32))], names=[key, "length", "content", "h", "pos"])
+                yield rows(batch.column(0).take(pa.array(owner[which])), h=pa.array(hashes[at].view(np.int64)), pos=pa.array(place.astype(np.int32)))
 
     kept = documents.where(F.col(key).isNotNull() & (F.length(text) >= span)).select(F.col(key), F.col(text))
     return kept.mapInArrow(run, f"`{key}` {kind}, length int, content binary, h bigint, pos int")
@@ -230,18 +237,24 @@ def _points(packed: bytes) -> np.ndarray:
     return np.frombuffer(_unpack(packed).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def _pairs(seeds: DataFrame, key: str) -> DataFrame:
-    """Pairs of texts with their common seeds' positions: a, b, anchors; from groups of at most PAIRED occurrences."""
+def _anchors(seeds: DataFrame, key: str) -> DataFrame:
+    """Common seeds of two texts each (a, b, x, y), from seeds of few occurrences."""
     groups = seeds.groupBy("h").agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("d"), F.col("pos").alias("p")))).alias("g"))
-    met = groups.select(F.explode("g").alias("x"), "g").select("x", F.explode("g").alias("y")).where(F.col("x.d") < F.col("y.d"))
-    return met.groupBy(F.col("x.d").alias("a"), F.col("y.d").alias("b")).agg(F.collect_list(F.struct(F.col("x.p"), F.col("y.p"))).alias("anchors"))
+    met = groups.select(F.explode("g").alias("u"), "g").select("u", F.explode("g").alias("v")).where(F.col("u.d") < F.col("v.d"))
+    return met.select(F.col("u.d").alias("a"), F.col("v.d").alias("b"), F.col("u.p").alias("x"), F.col("v.p").alias("y"))
+
 
+def _aligned(pairs: DataFrame, packed: DataFrame, key: str, seed: int, emit, schema: str) -> DataFrame:
+    """Bring both texts to each pair (a, b, anchors; written already) and run ``emit`` on its passages.
 
-def _aligned(pairs: DataFrame, packed: DataFrame, key: str, seed: int, kind: str, emit, schema: str) -> DataFrame:
-    """Bring both texts to each pair and run ``emit`` on its passages."""
+    A text with very many pairs (as ``a``) is repeated, so that its pairs spread over tasks.
+    """
+    counts = stash(pairs.groupBy("a").agg(F.count("*").alias("n")), "hubs")
+    copies = F.ceil(F.col("n") / PER_COPY).cast("int")
+    salted = join_listed(pairs, counts, "a", pairs.count()).withColumn("salt", F.pmod(F.xxhash64("b"), copies).cast("int")).drop("n")
     theirs = packed.select(F.col(key).alias("b"), F.col("packed").alias("packed_b"))
-    ours = packed.select(F.col(key).alias("a"), F.col("packed").alias("packed_a"))
-    met = pairs.join(theirs, "b").join(ours, "a").select("a", "b", "anchors", "packed_a", "packed_b")
+    ours = packed.select(F.col(key).alias("a"), F.col("packed").alias("packed_a")).join(counts, "a").select("a", "packed_a", F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"))
+    met = salted.join(theirs, "b").join(ours, ["a", "salt"]).select("a", "b", "anchors", "packed_a", "packed_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, points = None, None
@@ -295,27 +308,125 @@ class _Passages:
         yield pa.RecordBatch.from_arrays([pa.array(columns[i], self.kind if i < 2 else pa.int32()) for i in range(7)], names=["a", "b", "a_start", "a_end", "b_start", "b_end", "edits"])
 
 
-def _hot_windows(hot: DataFrame, packed: DataFrame, key: str, kind: str, span: int, seed: int) -> DataFrame:
-    """Every window whose least seed is a hot one: key, begin and 64-bit window hash."""
-    wanted = hot.groupBy(key).agg(F.collect_set("h").alias("hs"))
-    met = wanted.join(packed, key).select(key, "hs", "packed")
+def _windows(hot: DataFrame, packed: DataFrame, key: str, kind: str, span: int, seed: int) -> DataFrame:
+    """Windows whose least seed is one of ``hot`` (key, h, n): key, h, hash w, first place s, ``echo``, bucket and split.
+
+    h and w together are 128 bits that depend on the window's characters. Of equal windows of one
+    text the first has a row; the stretches that the others cover are its ``echo``. Windows of a seed with
+    more than GROUP occurrences are split over buckets of about GROUP rows by a hash of the key.
+    """
+    parts = F.ceil(F.col("n") / GROUP).cast("int")
+    hot = hot.select(key, F.struct("h", F.pmod(F.xxhash64(key), parts).cast("int").alias("bucket"), (parts > 1).alias("split")).alias("seed"))
+    met = hot.groupBy(key).agg(F.collect_set("seed").alias("seeds")).join(packed, key).select(key, "seeds", "packed")
+    layout = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [_unpack(p) for p in batch.column(2).to_pylist()]
-            wanted = batch.column(1).to_pylist()
+            texts, wanted = [_unpack(p) for p in batch.column(2).to_pylist()], batch.column(1).to_pylist()
             for block in overlapping(texts, BLOCK, span - 1):
                 points, starts = code_points([part for *_, part in block])
                 _, least, inside, _ = sketch(points, starts, span, seed)
                 owner, offset = (np.array([x[i] for x in block], dtype=np.int64) for i in (0, 1))
-                hots = np.unique(np.array([h for i in np.unique(owner) for h in wanted[i]], dtype=np.int64).view(np.uint64))
                 at = np.flatnonzero(inside)
-                at = at[np.isin(least[at], hots)]
                 part = np.searchsorted(starts, at, "right") - 1
-                place = at - starts[part] + offset[part]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[part])), pa.array(place.astype(np.int32)), pa.array(window_hashes(points, span)[at].view(np.int64))], names=[key, "s", "w"])
+                # the seeds wanted of each part, as (part, h)
+                held = [(i, x["h"], x["bucket"], x["split"]) for i, o in enumerate(owner.tolist()) for x in wanted[o]]
+                of, h, bucket, split = (np.array(c) for c in zip(*held, strict=True))
+                order = np.lexsort((h, of))
+                of, h, bucket, split = of[order], h[order].astype(np.int64), bucket[order], split[order]
+                sought = np.stack([part, least[at].view(np.int64)], axis=1)
+                spot = _rank(np.stack([of, h], axis=1), sought)
+                good = spot >= 0
+                at, part, spot = at[good], part[good], spot[good]
+                w = window_hashes(points, span)[at].view(np.int64)
+                order = np.lexsort((at, w, spot))
+                at, part, spot, w = at[order], part[order], spot[order], w[order]
+                first = np.ones(len(at), dtype=bool)
+                first[1:] = (spot[1:] != spot[:-1]) | (w[1:] != w[:-1])
+                place = (at - starts[part] + offset[part]).astype(np.int32)
+                lead = np.flatnonzero(first)
+                again = np.flatnonzero(~first)
+                fresh = np.ones(len(again), dtype=bool)
+                fresh[1:] = (np.diff(again) > 1) | (np.diff(place[again]) > span)
+                begins = again[fresh]
+                ends = np.concatenate([again[:-1][fresh[1:]], again[-1:]])
+                runs = pa.StructArray.from_arrays([pa.array(place[begins]), pa.array((place[ends] + span).astype(np.int32))], names=["s", "e"])
+                echo = pa.ListArray.from_arrays(pa.array(np.searchsorted(begins, np.append(lead, len(at))).astype(np.int32)), runs)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(owner[part[lead]])), pa.array(h[spot[lead]]), pa.array(w[lead]), pa.array(place[lead]), echo.cast(layout), pa.array(bucket[spot[lead]].astype(np.int32)), pa.array(split[spot[lead]].astype(bool))],
+                    names=[key, "h", "w", "s", "echo", "bucket", "split"],
+                )
+
+    return met.mapInArrow(run, f"`{key}` {kind}, h bigint, w bigint, s int, echo array<struct<s:int,e:int>>, bucket int, split boolean")
+
+
+def _rank(rows: np.ndarray, sought: np.ndarray) -> np.ndarray:
+    """Where in ``rows`` (two columns, sorted, each once) each sought row is, or -1."""
+    if not len(rows) or not len(sought):
+        return np.full(len(sought), -1, dtype=np.int64)
+    both, inverse = np.unique(np.concatenate([rows[:, 1], sought[:, 1]]), return_inverse=True)
+    code = lambda first, second: first * len(both) + second
+    have, want = code(rows[:, 0], inverse[: len(rows)]), code(sought[:, 0], inverse[len(rows) :])
+    spot = np.minimum(np.searchsorted(have, want), len(have) - 1)
+    return np.where(have[spot] == want, spot, -1)
+
+
+def _linked(windows: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """Each window with a partner, an equal window of another text in its group, or null: ``lo`` (the least member) and ``partner``."""
+    spread = windows.repartition(*by)
+    member = F.struct(F.col(key).alias("d"), F.col("s").alias("p"))
+    held = spread.groupBy(*by).agg(F.min(member).alias("lo"), F.max(member).alias("hi"))
+    partner = F.when(F.col("lo.d") == F.col("hi.d"), None).when(F.col(key) == F.col("lo.d"), F.col("hi")).otherwise(F.col("lo"))
+    return spread.join(held, by).withColumn("partner", partner).drop("hi")
+
+
+def _links(windows: DataFrame, key: str, split: bool) -> DataFrame:
+    """Windows that another text holds too: key, s, echo, partner; partner is null where the partner's link to this window serves.
+
+    A group of equal windows within a bucket links all members to its least one. Where
+    buckets split a seed, those who found no partner and the least of each group meet again over all buckets.
+    """
+    near = _linked(windows, key, ["h", "w", "bucket"])
+    if not split:
+        found = near.where("partner IS NOT NULL")
+    else:
+        near = stash(near, "near")
+        alone = near.where("split AND (partner IS NULL OR (lo.d = " + f"`{key}`" + " AND lo.p = s))").drop("lo", "partner")
+        found = near.where("partner IS NOT NULL").unionByName(_linked(alone, key, ["h", "w"]).where("partner IS NOT NULL"))
+    served = (F.col("lo.d") == F.col(key)) & (F.col("lo.p") == F.col("s"))
+    return found.select(key, "s", "echo", F.when(~served, F.col("partner")).alias("partner"))
+
+
+class TextPairs:
+    """Pairs of texts that share windows of ``span`` characters, with anchors; copies of whole texts apart.
+
+    ``copies`` (key, length, first): texts that equal another as a whole; only the first goes on.
+    ``pairs`` (a, b, anchors): enough pairs that every window that a text shares with another one stands in a common
+    stretch around an anchor of one of its pairs. ``echoes`` (key, s, e): stretches that repeat, inside a text, a window that it shares.
+    """
 
-    return met.mapInArrow(run, f"`{key}` {kind}, s int, w bigint")
+    def __init__(self, documents: DataFrame, span: int, key: str, text: str, seed: int, paired: int):
+        self.kind = documents.schema[key].dataType.simpleString()
+        rows = stash(sketches(documents, key, text, span, seed), "sketch")
+        contents = rows.where("content IS NOT NULL").select(key, "length", "content")
+        classes = contents.groupBy("content").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1")
+        self.copies = stash(contents.join(classes, "content").select(key, "length", "first"), "copies")
+        later = self.copies.where(F.col(key) != F.col("first")).select(key)
+        seeds = leave_out(rows.where("h IS NOT NULL").select(key, "h", "pos"), later, key)
+        counts = seeds.groupBy("h").agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"))
+        counts = stash(counts.where("lo <> hi").select("h", "n"), "counts")
+        shared = stash(join_listed(seeds, counts, "h", rows.count()), "shared")
+        cold, hot = shared.where(F.col("n") <= paired), shared.where(F.col("n") > paired).select(key, "h", "n").distinct()
+        boilers = packed_texts(documents, key, text, span, stash(hot.select(key).distinct(), "hot"))
+        most = counts.agg(F.max("n")).first()[0] or 0
+        links = stash(_links(_windows(hot, boilers, key, self.kind, span, seed), key, most > GROUP), "links")
+        self.echoes = links.where("size(echo) > 0").select(key, F.explode("echo").alias("x")).select(key, "x.s", "x.e")
+        # windows on one diagonal that begin within span characters of each other lie in one common stretch
+        sides = links.where("partner IS NOT NULL").select(F.col("partner.d").alias("a"), F.col(key).alias("b"), "s", (F.col("partner.p") - F.col("s")).alias("off"))
+        near = sides.groupBy("a", "b", "off", F.floor(F.col("s") / (span + 1)).alias("at")).agg(F.min("s").alias("y")).select("a", "b", (F.col("y") + F.col("off")).cast("int").alias("x"), "y")
+        self.pairs = stash(_anchors(cold, key).unionByName(near).groupBy("a", "b").agg(F.collect_list(F.struct("x", "y")).alias("anchors")), "pairs")
+        ends = self.pairs.select(F.col("a").alias(key)).union(self.pairs.select("b")).distinct()
+        self.packed = packed_texts(documents, key, text, span, stash(ends, "ends"))
 
 
 def shared_spans(documents: DataFrame, span: int = 400, key: str = "doc_id", text: str = "text", seed: int = SEED, paired: int = PAIRED) -> DataFrame:
@@ -325,79 +436,45 @@ def shared_spans(documents: DataFrame, span: int = 400, key: str = "doc_id", tex
 
     Texts equal as a whole are one class: its members are shared from end to end
     and only one of them goes on. Seeds are sampled so that equal windows select
-    equal seeds. A seed with at most ``paired`` occurrences pairs its texts; per
-    pair the seeds' matches are chained and aligned, and the exact matches of at
-    least ``span`` characters are spans of both. A seed with more occurrences
-    (a boilerplate, a third of all texts) is never paired: the windows of
-    which it is the least seed are compared by hash instead, which is exact up
-    to 64-bit collisions. Counts of seeds and windows are partial sums before the shuffle, and keys
+    equal seeds. The texts of a seed with at most ``paired`` occurrences are all paired. Of a
+    seed with more (a boilerplate, a third of all texts) no group is paired out: each
+    window of which it is the least seed is linked to one equal window of another text, which gives as many pairs as
+    members. Every pair's matches are extended, chained and aligned, and the exact matches
+    of at least ``span`` characters are spans of both texts: so all spans are verified on the texts, but for
+    repeats of a shared window within one text, which two 64-bit hashes tell. Keys
     above a share of the rows do not go through one task.
 
     Rows with a null key, and null, empty or short texts, have no span. The key
     must be unique. Other columns are not read.
     """
-    kind = documents.schema[key].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
-    rows = stash(sketches(documents, key, text, span, seed), "sketch")
-    contents = rows.groupBy(key).agg(F.first("length").alias("length"), F.first("content").alias("content"))
-    classes = contents.groupBy("content").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = stash(contents.join(classes, "content").select(key, "length", "first"), "copies")
-    later = copies.where(F.col(key) != F.col("first")).select(key)
-    seeds = leave_out(rows.select(key, "h", "pos"), later, key)
-    counts = seeds.groupBy("h").agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"))
-    counts = stash(counts.where("lo <> hi").select("h", "n"), "counts")
-    shared = stash(join_listed(seeds, counts, "h", rows.count()), "shared")
-    cold, hot = shared.where(F.col("n") <= paired).drop("n"), shared.where(F.col("n") > paired).select(key, "h")
-    packed = packed_texts(documents, key, text, span, stash(cold.select(key).distinct(), "cold"))
-    matched = _aligned(_pairs(cold, key), packed, key, seed, kind, _ExactRuns(key, span, arrow), f"`{key}` {kind}, s int, e int")
-    boilers = packed_texts(documents, key, text, span, stash(hot.select(key).distinct(), "hot"))
-    windows = stash(_hot_windows(hot, boilers, key, kind, span, seed), "windows")
-    held = windows.groupBy("w").agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"))
-    held = stash(held.where("lo <> hi").select("w", "n"), "held")
-    boiler = join_listed(windows, held, "w", windows.count()).select(key, "s", (F.col("s") + span).alias("e"))
-    whole = copies.select(key, F.lit(0).alias("s"), F.col("length").alias("e"))
-    return merge_spans(matched.unionByName(boiler).unionByName(whole), key)
+    arrow = {"bigint": pa.int64(), "int": pa.int32()}.get(documents.schema[key].dataType.simpleString(), pa.string())
+    found = TextPairs(documents, span, key, text, seed, paired)
+    matched = _aligned(found.pairs, found.packed, key, seed, _ExactRuns(key, span, arrow), f"`{key}` {found.kind}, s int, e int")
+    whole = found.copies.select(key, F.lit(0).alias("s"), F.col("length").alias("e"))
+    return merge_spans(matched.unionByName(found.echoes).unionByName(whole), key)
 
 
 def merge_spans(spans: DataFrame, key: str) -> DataFrame:
-    """Unite spans (key, s, e) that overlap or touch: key, span_start, span_end."""
+    """Unite spans (key, s, e) that overlap or touch: key, span_start, span_end. Of spans with one start the longest counts, before the shuffle."""
     along = Window.partitionBy(key).orderBy("s", "e")
     past = along.rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.coalesce(F.col("s") > F.max("e").over(past), F.lit(True)).cast("int")
-    marked = spans.withColumn("fresh", fresh)
+    marked = spans.groupBy(key, "s").agg(F.max("e").alias("e")).withColumn("fresh", fresh)
     grouped = marked.withColumn("island", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     return grouped.groupBy(key, "island").agg(F.min("s").alias("span_start"), F.max("e").alias("span_end")).drop("island")
 
 
-def fuzzy_passages(documents: DataFrame, least: int = 200, share: float = 0.1, key: str = "doc_id", text: str = "text", seed: int = 24) -> DataFrame:
+def fuzzy_passages(documents: DataFrame, least: int = 200, share: float = 0.1, key: str = "doc_id", text: str = "text", window: int = 150, seed: int = 50, paired: int = PAIRED) -> DataFrame:
     """Pairs of texts with passages that agree up to edits: a, b, their ranges and the edits.
 
     Passages are chains of exact seed matches with the stretches between them
-    aligned; at least ``least`` characters long, edits at most ``share`` of the length. Every
-    common seed counts, however many texts hold it, so a passage that n texts hold gives all
-    its n * (n - 1) / 2 pairs, at that cost. Texts equal as a whole are aligned once, by their first key, and
-    each pair of members gets the result.
-
-    Not every pair within the bounds is found: windows for sampling are three
-    seeds long, so only texts with a common exact run of that length have a seed
-    in common for certain, and a passage begins and ends with an exact match.
+    aligned; at least ``least`` characters long, edits at most ``share`` of the length. Pairs are found as in
+    ``shared_spans``, by exact common windows of ``window`` characters: of texts equal as a whole only the least key stands here
+    (the others are its class), and of a passage with a seed of more than ``paired`` occurrences a text is linked to one
+    partner for each window, not to all. So every text with a passage that holds such an exact window comes out with a partner.
+    A passage begins and ends with an exact match.
     """
-    kind = documents.schema[key].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
-    rows = stash(sketches(documents, key, text, 3 * seed, seed), "seeds")
-    contents = rows.groupBy(key).agg(F.first("content").alias("content"))
-    classes = contents.groupBy("content").agg(F.min(key).alias("first"), (F.count("*") > 1).alias("copied"))
-    members = stash(contents.join(classes, "content").select("first", F.col(key).alias("member"), "copied"), "members")
-    seeds = rows.select(key, "h", "pos").join(members.where("member = first").select(F.col("first").alias(key), "copied"), key)
-    counts = seeds.groupBy("h").agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.max("copied").alias("twice")).where("lo <> hi OR twice").select("h")
-    met = stash(seeds.join(counts, "h"), "met")
-    ours, theirs = met.select("h", F.col(key).alias("a"), F.col("pos").alias("p"), "copied"), met.select("h", F.col(key).alias("b"), F.col("pos").alias("q"))
-    pairs = ours.join(theirs, "h").where("a < b OR (a = b AND copied)").groupBy("a", "b").agg(F.collect_list(F.struct("p", "q")).alias("anchors"))
-    schema = f"a {kind}, b {kind}, a_start int, a_end int, b_start int, b_end int, edits int"
-    packed = packed_texts(documents, key, text, 3 * seed, stash(met.select(key).distinct(), "keys"))
-    found = _aligned(pairs, packed, key, seed, kind, _Passages(least, share, arrow), schema)
-    named = [members.select(F.col("first").alias(c), F.col("member").alias(f"{c}_member")) for c in "ab"]
-    each = found.join(named[0], "a").join(named[1], "b").where("a <> b OR a_member < b_member").withColumn("turned", F.col("a_member") > F.col("b_member"))
-    turn = lambda x, y: F.when(F.col("turned"), F.col(y)).otherwise(F.col(x))
-    swapped = {"a": ("a_member", "b_member"), "b": ("b_member", "a_member")} | {f"{c}_{e}": (f"{c}_{e}", f"{o}_{e}") for c, o in ("ab", "ba") for e in ("start", "end")}
-    return each.select(*[turn(*swapped[c]).alias(c) for c in ("a", "b", "a_start", "a_end", "b_start", "b_end")], "edits")
+    arrow = {"bigint": pa.int64(), "int": pa.int32()}.get(documents.schema[key].dataType.simpleString(), pa.string())
+    found = TextPairs(documents, window, key, text, seed, paired)
+    schema = f"a {found.kind}, b {found.kind}, a_start int, a_end int, b_start int, b_end int, edits int"
+    return _aligned(found.pairs, found.packed, key, seed, _Passages(least, share, arrow), schema)
