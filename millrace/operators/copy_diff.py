@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from millrace.operators.presence import PresenceBitmap
 
-#: Rows of both sides together that one group compares; bounds its memory.
-ROWS_PER_CHUNK = 16_384
+#: Rows of both sides together that one group compares, about; bounds its memory, and spans several bitmap containers.
+ROWS_PER_CHUNK = 1 << 18
 LEFT_ONLY, RIGHT_ONLY = "only_source", "only_local"
 
 
@@ -32,12 +32,21 @@ def _differs(left: pa.ChunkedArray, right: pa.ChunkedArray, tolerance: float | N
     return np.where(lnull | rnull, lnull != rnull, unequal.astype(bool))
 
 
+def _ordinals(columns: list[pa.ChunkedArray]) -> np.ndarray:
+    """One number for each distinct key, whose parts the columns are, from 0."""
+    out = np.zeros(len(columns[0]), dtype=np.int64)
+    for c in columns:
+        codes = (pa.concat_arrays(c.chunks) if c.num_chunks != 1 else c.chunk(0)).dictionary_encode().indices.to_numpy()
+        _, out = np.unique(out * (int(codes.max()) + 1 if len(codes) else 1) + codes, return_inverse=True)
+    return out
+
+
 def chunked(df: DataFrame, keys: Sequence[str], fields: Sequence[str], chunks: int) -> DataFrame:
-    """One row of each key without nulls (k0.., f0.., key), with its chunk."""
+    """One row of each key without nulls (k0.., f0..), with its chunk; as many partitions as chunks."""
     names = [f"k{i}" for i in range(len(keys))]
     kept = df.select(*[F.col(k).alias(n) for n, k in zip(names, keys, strict=True)], *[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)]).dropna(subset=names)
     once = kept.dropDuplicates(names)
-    return once.select("*", F.to_json(F.struct(*names)).alias("key")).withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("int"))
+    return once.withColumn("chunk", F.pmod(F.xxhash64(*names), F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
 
 
 def diff_copies(
@@ -47,7 +56,7 @@ def diff_copies(
 
     Result: the keys and ``finding``: ``only_source``, ``only_local`` or a field's
     name. Both sides are hashed by key into chunks of about ``rows_per_chunk``
-    rows (the number of chunks follows the row count, so a large table or a hot
+    rows (the number of chunks, and of tasks, follows the row count, so a large table or a hot
     key column cannot fill one group). In a chunk the keys of both sides get
     shared ordinals; presence bitmaps over them give missing rows by AND-NOT, and
     the rows of the intersection are compared column by column, aligned by ordinal.
@@ -65,11 +74,11 @@ def diff_copies(
     for i, f in enumerate(fields):
         if a.schema[f"f{i}"].dataType != b.schema[f"f{i}"].dataType:
             raise TypeError(f"{f}: {a.schema[f'f{i}'].dataType} against {b.schema[f'f{i}'].dataType}")
+    names = [f"k{i}" for i in range(len(keys))]
     key_types = [a.schema[f"k{i}"] for i in range(len(keys))]
 
     def compare(ltable: pa.Table, rtable: pa.Table) -> pa.Table:
-        lkeys, rkeys = ltable["key"].combine_chunks(), rtable["key"].combine_chunks()
-        ordinals = pa.concat_arrays([x if isinstance(x, pa.Array) else pa.concat_arrays(x.chunks) for x in (lkeys, rkeys)]).dictionary_encode().indices.to_numpy()
+        ordinals = _ordinals([pa.concat_tables([t.select([n]) for t in (ltable, rtable)])[n] for n in names])
         lord, rord = ordinals[: len(ltable)], ordinals[len(ltable) :]
         n = int(ordinals.max()) + 1 if len(ordinals) else 0
         lrow, rrow = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
@@ -80,7 +89,6 @@ def diff_copies(
         for i, field in enumerate(fields):
             at = _differs(ltable[f"f{i}"].take(pa.array(lrow[both])), rtable[f"f{i}"].take(pa.array(rrow[both])), tolerance.get(field))
             found.append((ltable, lrow[both[at]], field))
-        names = [f"k{i}" for i in range(len(keys))]
         parts = [t.select(names).take(pa.array(rows)).append_column("finding", pa.array([what] * len(rows), pa.string())) for t, rows, what in found]
         return pa.concat_tables([p.cast(pa.schema([(x, parts[0].schema.field(x).type) for x in [*names, "finding"]])) for p in parts])
 
