@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.hashing import content_hash
+from millrace.session import stash
 
 HASH = "__content_hash"
 
@@ -19,12 +21,12 @@ class ChangeState:
     """Versioned state (keys, content hash) of what was processed, under ``path``.
 
     A version is a parquet folder ``v<N>-<id>``; it counts once a file
-    ``commits/<N>`` naming it exists. That file is written aside and renamed,
-    and a rename onto an existing name fails, so a version becomes visible at
-    once or not at all, and of two runs that swap at a time one is refused. A run
-    that dies before the rename leaves the old version in force: its records
-    come out again next time, none is skipped. The file system must rename
-    atomically (HDFS and POSIX do).
+    ``commits/<N>`` naming it exists. That file is written aside and then given its name,
+    which fails if the name is taken (HDFS refuses such a rename, a local disk such a link), so a version becomes visible at
+    once or not at all. A run swaps from the version that it read: of two runs that read the same
+    one, the second is refused, and its records come out again next time. A run
+    that dies before leaves the old version in force: none of its records is skipped.
+    File systems that neither refuse to rename onto a file nor are local are not fit.
 
     Nulls in keys equal each other; null values differ from every value. An
     absent state is an empty one.
@@ -56,25 +58,58 @@ class ChangeState:
         finally:
             stream.close()
 
-    def read(self) -> DataFrame | None:
-        """The committed state, or None."""
+    def read(self) -> tuple[int, DataFrame | None]:
+        """The committed version and its state; (0, None) if there is none."""
         version = self.version()
-        return self.spark.read.parquet(f"{self.path}/{self._folder(version)}") if version else None
+        return version, self.spark.read.parquet(f"{self.path}/{self._folder(version)}") if version else None
 
-    def swap(self, state: DataFrame, expected: int | None = None) -> int:
-        """Write ``state`` aside and make it the committed version; returns its number."""
-        base = self.version() if expected is None else expected
-        folder = f"v{base + 1}-{uuid.uuid4().hex}"
+    def swap(self, state: DataFrame, expected: int) -> int:
+        """Write ``state`` aside and make it the version after ``expected``, the one it was made from; returns its number."""
+        folder = f"v{expected + 1}-{uuid.uuid4().hex}"
         state.write.parquet(f"{self.path}/{folder}")
         hadoop, fs = self._fs()
-        aside, final = hadoop.Path(f"{self.path}/pending/{folder}"), hadoop.Path(f"{self.path}/commits/{base + 1}")
+        aside, final = hadoop.Path(f"{self.path}/pending/{folder}"), hadoop.Path(f"{self.path}/commits/{expected + 1}")
         fs.mkdirs(final.getParent())
         stream = fs.create(aside, False)
         stream.writeUTF(folder)
         stream.close()
-        if fs.exists(final) or not fs.rename(aside, final):
-            raise RuntimeError(f"version {base + 1} was committed by another run")
-        return base + 1
+        if not self._claim(fs, aside, final):
+            fs.delete(hadoop.Path(f"{self.path}/{folder}"), True)
+            raise RuntimeError(f"version {expected + 1} was committed by another run")
+        return expected + 1
+
+    @staticmethod
+    def _claim(fs, aside, final) -> bool:
+        """Give a file its name unless that is taken; one step, in which of several only one succeeds."""
+        if fs.getScheme() != "file":
+            return fs.rename(aside, final)
+        try:
+            os.link(aside.toUri().getPath(), final.toUri().getPath())
+        except FileExistsError:
+            return False
+        return True
+
+    def run(self, current: DataFrame, process: Callable[[DataFrame], DataFrame | None] | None = None) -> DataFrame:
+        """One run: the new or changed rows of ``current`` (keys, content hash, each key once), after the state has been swapped.
+
+        The rows are written down and given to ``process`` before the swap: if it raises, or the run dies, the
+        state stays and the rows come out again next time.
+        """
+        version, old = self.read()
+        current = stash(current, "current")
+        found = stash(detect(current, old, self.keys), "changes")
+        if process:
+            process(found)
+        self.swap(current, version)
+        return found
+
+    def prune(self, keep: int = 2) -> int:
+        """Delete the states of all but the newest ``keep`` versions; returns how many."""
+        hadoop, fs = self._fs()
+        gone = [n for n in range(1, self.version() - keep + 1) if fs.exists(hadoop.Path(f"{self.path}/{self._folder(n)}"))]
+        for n in gone:
+            fs.delete(hadoop.Path(f"{self.path}/{self._folder(n)}"), True)
+        return len(gone)
 
 
 def hashed(rows: DataFrame, keys: Sequence[str], values: Sequence[str | Column]) -> DataFrame:

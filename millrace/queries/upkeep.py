@@ -22,9 +22,8 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     order = [updated, F.col("arrived_at"), F.col("change_id")]
     seen = changes.join(last, "source_table").where(F.col("arrived_at") <= F.col("ran_at"))
     store = change_feed.ChangeState(spark, scratch_path(spark, "p1-state"), tuple(keys))
-    store.swap(change_feed.latest(seen, keys, order, content, change_feed.HASH))
-    current = change_feed.latest(changes, keys, order, content, change_feed.HASH)
-    return change_feed.detect(current, store.read(), keys).select(*keys)
+    store.run(change_feed.latest(seen, keys, order, content, change_feed.HASH))  # the last completed run
+    return store.run(change_feed.latest(changes, keys, order, content, change_feed.HASH)).select(*keys)
 
 
 def _small_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,32 +33,33 @@ def _small_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Small data files of current directories, as the compaction plan assigns them."""
-    return compaction.plan(_small_files(spark, folder)).select("file_id")
+    return compaction.plan(_small_files(spark, folder), TARGET).select("file_id")
 
 
-def _compact(spark: SparkSession, folder: str) -> str:
-    """Compact every current directory; returns the path of the published manifest."""
-    files, rows = _small_files(spark, folder), load(spark, folder, "snapshot_row")
-    assigned = stash(compaction.plan(files), "p2-plan")
-    out = scratch_path(spark, "p2")
-    written = compaction.write_groups(assigned, rows, f"{out}/data")
-    written.write.parquet(f"{out}/written")
-    compaction.publish(spark.read.parquet(f"{out}/written"), compaction.expected_totals(assigned, rows), f"{out}/manifest", compaction.uncovered(assigned, files, rows))
-    return f"{out}/manifest"
+#: Bytes of an output file in the compaction queries; and of a file whose records the tables hold (TESTDATA: those below).
+TARGET, READABLE = 16 << 20, 65_536
 
 
 def p2_compact(spark: SparkSession, folder: str) -> DataFrame:
-    """Compact every current directory: a row per file written, and of each group how many planned files were not covered by content."""
-    path, group = _compact(spark, folder), ["directory", "slice", "output_group"]
-    missing = spark.read.parquet(f"{path}-uncovered").groupBy(*group).agg(F.count("*").alias("n_uncovered"))
-    manifest = spark.read.parquet(path).join(missing, group, "full")
-    return manifest.select(*group, "n_files", "n_rows", "checksum", F.coalesce("n_uncovered", F.lit(0).cast("bigint")).alias("n_uncovered"))
+    """Compact every current directory: per directory the files taken (empty ones too), records and output files of the published manifest, and files refused."""
+    files, rows = _small_files(spark, folder), load(spark, folder, "snapshot_row")
+    checked = stash(compaction.held_against(files, compaction.contents(rows), READABLE), "p2-files")
+    taken = checked.where("refused IS NULL")
+    assigned = stash(compaction.plan(taken, TARGET), "p2-plan")
+    out = scratch_path(spark, "p2")
+    compaction.write_groups(assigned, rows, f"{out}/data").write.parquet(f"{out}/written")
+    manifest = compaction.publish(spark.read.parquet(f"{out}/written"), assigned, checked, f"{out}/manifest")
+    listed = checked.groupBy("directory").agg(F.count_if(F.expr("refused IS NULL")).alias("n_files"), F.count_if(F.expr("refused IS NOT NULL")).alias("n_refused"))
+    made = manifest.groupBy("directory").agg(F.sum("n_rows").alias("n_rows"), F.count("*").alias("n_outputs"))
+    return listed.join(made, "directory", "left").select("directory", "n_files", "n_refused", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("n_rows", "n_outputs")])
 
 
-def p2_uncovered(spark: SparkSession, folder: str) -> DataFrame:
-    """The planned files whose listed row count is not what their content has."""
+def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Output groups of the plan of each directory, and whether their loads differ by at most the largest file (each file being a bundle)."""
     files = _small_files(spark, folder)
-    return compaction.uncovered(stash(compaction.plan(files), "p2-plan"), files, load(spark, folder, "snapshot_row"))
+    met = compaction.plan(files, TARGET, bundles=1 << 30).join(files.select("file_id", F.greatest("size_bytes", F.lit(1)).alias("size")), "file_id")
+    loads = met.groupBy("directory", "output_group").agg(F.count("*").alias("n"), F.sum("size").alias("load"), F.max("size").alias("most"))
+    return loads.groupBy("directory").agg(F.sum("n").alias("n_files"), F.count("*").alias("n_groups"), (F.max("load") - F.min("load") <= F.max("most")).alias("balanced"))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,8 +93,15 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return snapshot_diff.change_events(complete, "source_table", "snapshot_no", ["row_key"], values, "loaded_at")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_compact": p2_compact, "p2_uncovered": p2_uncovered, "p3_found": p3_found, "p4_found": p4_found, "p4_rows": p4_rows, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_compact": p2_compact, "p2_groups": p2_groups, "p3_found": p3_found, "p4_found": p4_found, "p4_rows": p4_rows, "p5_found": p5_found}
 
+_DIR = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(local_path, '^file:(//)?', ''), '/+', '/', 'g'), '(/\.)+(/|$)', '\2', 'g'), '^(\./)+', ''), '/+$', '')"
+_SMALL = f"""
+        WITH v AS (SELECT *, {_DIR} AS dir FROM table_arrow_schema),
+        cur AS (SELECT DISTINCT dir FROM (SELECT dir, row_number() OVER (PARTITION BY catalog_name, coalesce(schema_name, 'public'), table_name ORDER BY updated_at DESC NULLS LAST, id DESC) AS rn FROM v) WHERE rn = 1),
+        f AS (SELECT DISTINCT file_id, size_bytes, row_count, {_DIR} AS dir FROM snapshot_file WHERE file_name LIKE '%.parquet' AND left(file_name, 1) NOT IN ('_', '.') AND size_bytes < 1048576),
+        small AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY dir) AS n FROM f WHERE dir IN (SELECT dir FROM cur)) WHERE n > 1)
+        """
 ORACLES = {
     "p1_found": """
         WITH runs AS (SELECT source_table, max(started_at AT TIME ZONE 'UTC') AS ran_at FROM sync_task
@@ -106,12 +113,14 @@ ORACLES = {
         a AS (SELECT * FROM o WHERE rn_all = 1), s AS (SELECT * FROM o WHERE seen AND rn_seen = 1)
         SELECT a.source_table, a.row_key FROM a LEFT JOIN s ON a.source_table IS NOT DISTINCT FROM s.source_table AND a.row_key IS NOT DISTINCT FROM s.row_key
         WHERE s.change_id IS NULL OR (a.updated, a.is_deleted, a.qty, a.amount, a.state, a.note) IS DISTINCT FROM (s.updated, s.is_deleted, s.qty, s.amount, s.state, s.note)""",
-    "p2_found": r"""
-        WITH t AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(local_path, '^file:(//)?', ''), '/+', '/', 'g'), '(/\.)+(/|$)', '\2', 'g'), '^(\./)+', ''), '/+$', '') AS dir FROM table_arrow_schema),
-        cur AS (SELECT DISTINCT dir FROM (SELECT dir, row_number() OVER (PARTITION BY catalog_name, coalesce(schema_name, 'public'), table_name ORDER BY updated_at DESC NULLS LAST, id DESC) AS rn FROM t) WHERE rn = 1),
-        f AS (SELECT DISTINCT file_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(local_path, '^file:(//)?', ''), '/+', '/', 'g'), '(/\.)+(/|$)', '\2', 'g'), '^(\./)+', ''), '/+$', '') AS dir
-              FROM snapshot_file WHERE file_name LIKE '%.parquet' AND left(file_name, 1) NOT IN ('_', '.') AND size_bytes < 1048576)
-        SELECT file_id FROM (SELECT file_id, count(*) OVER (PARTITION BY dir) AS n FROM f WHERE dir IN (SELECT dir FROM cur)) WHERE n > 1""",
+    "p2_found": _SMALL + "SELECT file_id FROM small",
+    "p2_groups": _SMALL + f"SELECT dir AS directory, count(*) AS n_files, greatest(1, (sum(size_bytes) + {TARGET - 1}) // {TARGET})::BIGINT AS n_groups, true AS balanced FROM small GROUP BY dir",
+    "p2_compact": _SMALL + f"""
+        , r AS (SELECT file_id, count(DISTINCT row_pos) AS held FROM snapshot_row GROUP BY file_id),
+        t AS (SELECT dir, file_id, size_bytes, coalesce(held, 0) AS held, size_bytes < {READABLE} AND (row_count IS NULL OR row_count = coalesce(held, 0)) AS taken FROM small LEFT JOIN r USING (file_id))
+        SELECT dir AS directory, count(*) FILTER (WHERE taken) AS n_files, count(*) FILTER (WHERE NOT taken) AS n_refused, coalesce(sum(held) FILTER (WHERE taken), 0)::BIGINT AS n_rows,
+               CASE WHEN coalesce(sum(held) FILTER (WHERE taken), 0) = 0 THEN 0 ELSE greatest(1, (sum(size_bytes) FILTER (WHERE taken) + {TARGET - 1}) // {TARGET}) END::BIGINT AS n_outputs
+        FROM t GROUP BY dir""",
     "p3_found": """
         WITH m AS (SELECT DISTINCT source_table, local_table FROM sync_task WHERE source_table IS NOT NULL AND local_table IS NOT NULL),
         s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_table, row_key) AS rn FROM source_row WHERE source_table IS NOT NULL AND row_key IS NOT NULL) WHERE rn = 1),

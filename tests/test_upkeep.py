@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import threading
 from collections import Counter
 from decimal import Decimal
 
@@ -46,38 +47,62 @@ def state(spark, tmp_path, keys=("k",)):
     return change_feed.ChangeState(spark, f"file://{tmp_path}/state", keys)
 
 
+def hashed(spark, data):
+    return change_feed.hashed(spark.createDataFrame(data, "k INT, v STRING"), ["k"], ["v"])
+
+
 def test_only_new_and_changed_rows_come_out(spark, tmp_path):
     store = state(spark, tmp_path)
-    first = change_feed.hashed(spark.createDataFrame([(1, "a"), (None, "n"), (3, None)], "k INT, v STRING"), ["k"], ["v"])
-    assert {r.change for r in change_feed.detect(first, store.read(), ["k"]).collect()} == {"new"}
-    assert store.swap(first) == 1
-    second = change_feed.hashed(spark.createDataFrame([(1, "a"), (None, "m"), (3, ""), (4, "d")], "k INT, v STRING"), ["k"], ["v"])
-    found = change_feed.detect(second, store.read(), ["k"]).collect()
-    assert {(r.k, r.change) for r in found} == {(None, "changed"), (3, "changed"), (4, "new")}
-    store.swap(second)
-    assert change_feed.detect(second, store.read(), ["k"]).count() == 0
+    assert {r.change for r in store.run(hashed(spark, [(1, "a"), (None, "n"), (3, None)])).collect()} == {"new"} and store.version() == 1
+    second = hashed(spark, [(1, "a"), (None, "m"), (3, ""), (4, "d")])
+    assert {(r.k, r.change) for r in store.run(second).collect()} == {(None, "changed"), (3, "changed"), (4, "new")}
+    assert store.run(second).count() == 0 and store.version() == 3
+    assert store.prune(1) == 2 and store.prune(1) == 0 and store.read()[1].count() == 4
 
 
 def test_a_failed_run_leaves_the_state_and_repeats_its_rows(spark, tmp_path):
-    store = state(spark, tmp_path)
-    good = change_feed.hashed(spark.createDataFrame([(1, "a")], "k INT, v STRING"), ["k"], ["v"])
-    store.swap(good)
-    broken = good.withColumn(change_feed.HASH, F.raise_error(F.lit("lost")).cast("bigint"))
-    with pytest.raises(Exception, match="lost"):
-        store.swap(broken)
+    store, done = state(spark, tmp_path), []
+
+    def fail(found):
+        raise ValueError("lost")
+
+    store.run(hashed(spark, [(1, "a")]), lambda found: done.extend(r.k for r in found.collect()))
+    more = hashed(spark, [(1, "a"), (2, "b")])
+    with pytest.raises(ValueError, match="lost"):
+        store.run(more, fail)
+    with pytest.raises(Exception, match="broken"):
+        store.run(more.withColumn(change_feed.HASH, F.raise_error(F.lit("broken")).cast("bigint")))
     assert store.version() == 1
-    more = change_feed.hashed(spark.createDataFrame([(1, "a"), (2, "b")], "k INT, v STRING"), ["k"], ["v"])
-    assert [r.k for r in change_feed.detect(more, store.read(), ["k"]).collect()] == [2]
+    store.run(more, lambda found: done.extend(r.k for r in found.collect()))
+    assert done == [1, 2] and store.version() == 2
 
 
-def test_of_two_swaps_at_a_time_one_is_refused(spark, tmp_path):
+def test_of_two_runs_that_read_one_version_one_is_refused(spark, tmp_path):
     store = state(spark, tmp_path)
-    df = change_feed.hashed(spark.createDataFrame([(1, "a")], "k INT, v STRING"), ["k"], ["v"])
-    store.swap(df)
-    store.swap(df, expected=1)
+    store.run(hashed(spark, [(1, "a")]))
+    (first, _), (second, _) = store.read(), store.read()
+    store.swap(hashed(spark, [(1, "a"), (2, "b")]), first)
     with pytest.raises(RuntimeError, match="another run"):
-        store.swap(df, expected=1)
-    assert store.version() == 2
+        store.swap(hashed(spark, [(1, "a"), (3, "c")]), second)
+    assert store.version() == 2 and rows(store.read()[1].select("k")) == [(1,), (2,)]
+
+
+def test_of_racing_threads_one_swaps(spark, tmp_path):
+    store, won = state(spark, tmp_path), []
+    frame = hashed(spark, [(1, "a")])
+
+    def race():
+        try:
+            won.append(store.swap(frame, 0))
+        except RuntimeError:
+            won.append(None)
+
+    threads = [threading.Thread(target=race) for _ in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(won, key=str) == [1, None, None, None]
 
 
 def test_latest_breaks_ties_and_takes_nulls_as_least(spark):
@@ -99,14 +124,13 @@ def test_directories_have_one_spelling(spark, path, want):
 
 def test_schedule_is_balanced_and_complete():
     rnd = random.Random(1)
-    files = [(i, rnd.randrange(1, 1000)) for i in range(500)]
-    placed = compaction.schedule(files, 7)
-    assert sorted(f for f, _ in placed) == list(range(500))
+    sizes = [rnd.randrange(1, 1000) for _ in range(500)]
+    placed = compaction.schedule(sizes, 7)
     loads = Counter()
-    for f, g in placed:
-        loads[g] += dict(files)[f]
-    assert max(loads.values()) - min(loads.values()) <= 1000
-    assert compaction.schedule([], 3) == []
+    for size, g in zip(sizes, placed, strict=True):
+        loads[g] += size
+    assert len(loads) == 7 and max(loads.values()) - min(loads.values()) <= max(sizes)
+    assert compaction.schedule([], 3) == [] and set(compaction.schedule([0] * 6, 3)) == {0, 1, 2}
 
 
 LISTING = "file_id BIGINT, local_path STRING, file_name STRING, row_count BIGINT, size_bytes BIGINT"
@@ -130,45 +154,69 @@ def test_small_files_of_current_directories(spark):
     assert compaction.plan(found.limit(0)).count() == 0
 
 
-def test_a_hot_directory_is_split_and_every_file_placed_once(spark):
+@pytest.mark.parametrize(("per_slice", "bundles"), [(500, 20), (100_000, 5000), (100_000, 300)])
+def test_a_directory_is_balanced_over_slices(spark, per_slice, bundles):
     files = spark.range(5000).selectExpr("'/hot' AS directory", "id AS file_id", "id % 97 AS size_bytes", "5000L AS siblings")
-    plan = compaction.plan(files, target=10_000, per_schedule=500)
-    assert plan.select("file_id").distinct().count() == plan.count() == 5000
-    assert plan.select("slice").distinct().count() == 10
-
-
-def test_compaction_keeps_every_record_and_publishes_once(spark, tmp_path):
-    files = spark.range(40).selectExpr("if(id < 30, '/a', '/b') AS directory", "id AS file_id", "100L AS size_bytes", "if(id < 30, 30L, 10L) AS siblings")
-    content = [(f, p, None if p == 2 else f'{{"f":{f},"p":{p},"t":"ü{"x" * (5000 if p == 1 else 1)}"}}') for f in range(40) for p in range(4) if f != 39]
-    table = spark.createDataFrame(content + content[:7], "file_id BIGINT, row_pos INT, row_json STRING")
-    plan = compaction.plan(files, target=700)
-    written = stash(compaction.write_groups(plan, table, f"file://{tmp_path}/out"), "w")
-    manifest = compaction.publish(written, compaction.expected_totals(plan, table), f"file://{tmp_path}/manifest")
+    plan = compaction.plan(files, 10_000, per_slice, bundles).join(files.select("file_id", "size_bytes"), "file_id")
+    loads = plan.groupBy("output_group").agg(F.sum(F.greatest("size_bytes", F.lit(1))).alias("load"), F.count("*").alias("n")).collect()
+    assert sum(r.n for r in loads) == plan.select("file_id").distinct().count() == 5000
+    assert len(loads) == -(-sum(i % 97 for i in range(5000)) // 10_000)
+    slices = -(-5000 // per_slice)
+    largest = 96 if bundles >= 5000 else 2 * sum(i % 97 for i in range(5000)) // (slices * bundles) + 96
+    assert max(r.load for r in loads) - min(r.load for r in loads) <= largest
+
+
+FILES = "directory STRING, file_id BIGINT, size_bytes BIGINT, row_count BIGINT, siblings BIGINT"
+ROWS = "file_id BIGINT, row_pos INT, row_json STRING"
+
+
+def compacted(spark, tmp_path, files, table, target=700, kept=None):
+    checked = stash(compaction.held_against(files, compaction.contents(table), 1000), "checked")
+    plan = stash(compaction.plan(checked.where("refused IS NULL"), target), "plan")
+    written = stash(compaction.write_groups(plan, table if kept is None else kept, f"file://{tmp_path}/out"), "w")
+    return written, plan, checked
+
+
+def test_compaction_keeps_every_record_and_publishes_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(compaction, "ROW_GROUP", 3000)
+    files = spark.createDataFrame([("/a" if f < 30 else "/b", f, 100, None if f % 2 else 4 if f != 38 else 0, 30 if f < 30 else 10) for f in range(40)], FILES)
+    content = [(f, p, None if p == 2 else f'{{"f":{f},"p":{p},"t":"ü{"x" * (5000 if p == 1 else 1)}"}}') for f in range(40) for p in range(4) if f < 38]
+    written, plan, checked = compacted(spark, tmp_path, files, spark.createDataFrame(content + content[:7], ROWS))
+    manifest = compaction.publish(written, plan, checked, f"file://{tmp_path}/manifest")
     got = [tuple(r.values()) for m in manifest.collect() for r in pq.read_table(m.output_path).to_pylist()]
     assert sorted(got, key=repr) == sorted(content, key=repr)
-    assert {m.directory for m in manifest.collect()} == {"/a", "/b"} and len(got) == manifest.agg(F.sum("n_rows")).first()[0]
+    found = {m.directory: m for m in manifest.groupBy("directory").agg(F.sum("n_files").alias("f"), F.sum("n_rows").alias("r"), F.count("*").alias("n")).collect()}
+    assert (found["/a"].f, found["/b"].f, found["/a"].n, found["/b"].n) == (30, 8, 5, 2) and len(got) == found["/a"].r + found["/b"].r
+    assert spark.read.parquet(f"file://{tmp_path}/manifest-refused").count() == 0
     with pytest.raises(RuntimeError, match="another run"):
-        compaction.publish(written, compaction.expected_totals(plan, table), f"file://{tmp_path}/manifest")
+        compaction.publish(written, plan, checked, f"file://{tmp_path}/manifest")
 
 
-def test_a_manifest_that_does_not_agree_is_not_published(spark, tmp_path):
-    files = spark.range(2).selectExpr("'/a' AS directory", "id AS file_id", "10L AS size_bytes", "2L AS siblings")
-    table = spark.createDataFrame([(0, 0, "{}"), (1, 0, "{}")], "file_id BIGINT, row_pos INT, row_json STRING")
-    plan = stash(compaction.plan(files), "plan")
-    written = stash(compaction.write_groups(plan, table.limit(1), f"file://{tmp_path}/out"), "w")
-    with pytest.raises(RuntimeError, match="differ"):
-        compaction.publish(written, compaction.expected_totals(plan, table), f"file://{tmp_path}/manifest")
-    assert not (tmp_path / "manifest").exists()
+def test_a_file_whose_content_is_missing_is_refused_by_name(spark, tmp_path):
+    files = spark.createDataFrame([("/a", i, 2000 if i == 6 else 10, n, 8) for i, n in enumerate([1, 2, 0, None, None, 3, 1, 1])], FILES)
+    table = spark.createDataFrame([(0, 0, "{}"), (0, 0, "{}"), (1, 0, "{}"), (3, 0, "{}"), (7, 0, "{}"), (7, 0, "[]")], ROWS)
+    written, plan, checked = compacted(spark, tmp_path, files, table)
+    manifest = compaction.publish(written, plan, checked, f"file://{tmp_path}/manifest")
+    assert rows(plan.select("file_id")) == [(0,), (2,), (3,), (4,)] and manifest.agg(F.sum("n_rows")).first()[0] == 2
+    assert rows(spark.read.parquet(f"file://{tmp_path}/manifest-refused").select("file_id", "row_count", "n_rows", "refused")) == [
+        (1, 2, 1, "other count than listed"), (5, 3, 0, "other count than listed"), (6, 1, 0, "not readable"), (7, 1, 1, "two records at one position"),
+    ]
 
 
-def test_planned_files_without_their_content_are_listed(spark, tmp_path):
-    files = spark.createDataFrame([("/a", i, 10, n, 6) for i, n in enumerate([1, 2, 0, None, None, 3])], "directory STRING, file_id BIGINT, size_bytes BIGINT, row_count BIGINT, siblings BIGINT")
-    table = spark.createDataFrame([(0, 0, "{}"), (0, 0, "{}"), (1, 0, "{}"), (3, 0, "{}")], "file_id BIGINT, row_pos INT, row_json STRING")
-    plan = stash(compaction.plan(files), "plan")
-    written = stash(compaction.write_groups(plan, table, f"file://{tmp_path}/out"), "w")
-    manifest = compaction.publish(written, compaction.expected_totals(plan, table), f"file://{tmp_path}/manifest", compaction.uncovered(plan, files, table))
-    assert manifest.agg(F.sum("n_rows")).first()[0] == 3
-    assert rows(spark.read.parquet(f"file://{tmp_path}/manifest-uncovered").select("file_id", "row_count", "n_rows")) == [(1, 2, 1), (4, None, 0), (5, 3, 0)]
+def test_a_planned_file_that_is_lost_stops_the_manifest(spark, tmp_path):
+    files = spark.createDataFrame([("/a", 0, 10, 1, 3), ("/a", 1, 10, 1, 3), ("/a", 2, 10, None, 3)], FILES)
+    table = spark.createDataFrame([(0, 0, "{}"), (1, 0, "{}")], ROWS)
+    written, plan, checked = compacted(spark, tmp_path, files, table, kept=table.limit(1))
+    with pytest.raises(RuntimeError, match="differ"):
+        compaction.publish(written, plan, checked, f"file://{tmp_path}/manifest")
+    whole, plan, checked = compacted(spark, tmp_path / "2", files, table)
+    unlisted = spark.createDataFrame([("/a", 0, 99)], "directory STRING, output_group INT, file_id BIGINT")
+    with pytest.raises(RuntimeError, match="differ"):
+        compaction.publish(whole, plan.unionByName(unlisted), checked, f"file://{tmp_path}/manifest")
+    with pytest.raises(RuntimeError, match="differ"):
+        compaction.publish(whole, plan, checked.where("file_id <> 1"), f"file://{tmp_path}/manifest")
+    assert not (tmp_path / "manifest").exists()
+    assert compaction.publish(whole, plan, checked, f"file://{tmp_path}/manifest").count() == 1
 
 
 # two copies
@@ -195,7 +243,7 @@ def test_differences_by_field(spark):
     left = side(spark, [("t", 1, "1.50", 1.0, "a  ", day), ("t", 2, "1", nan, "", None), ("t", 3, None, None, None, day), ("t", None, "1", 1.0, "a", day), ("u", 1, "1", 1.0, "é", day), ("t", 9, "1", 1.0, "a", day), ("t", 9, "1", 1.0, "a ", day)])
     right = side(spark, [("t", 1, "1.5", 1.0 + 1e-10, "a", day), ("t", 2, "2", nan, None, None), ("t", 3, None, 0.0, None, None), ("u", 2, "1", 1.0, "a", day), ("t", 9, "1", 1.1, "a", day)])
     want = [("t", 2, "a"), ("t", 2, "s"), ("t", 3, "d"), ("t", 3, "r"), ("t", 9, "r"), ("u", 1, "only_source"), ("u", 2, "only_local")]
-    for chunk in (1, 65_536):
+    for chunk in (1, 5, 65_536):
         assert rows(copy_diff.diff_copies(left, right, ["t", "k"], ["a", "r", "s", "d"], {"r": 1e-9}, chunk)) == sorted(want, key=repr)
     assert {r.finding for r in copy_diff.diff_copies(left, right.limit(0), ["t", "k"], ["a"]).collect()} == {"only_source"}
     assert copy_diff.diff_copies(left.limit(0), right.limit(0), ["t", "k"], ["a"]).count() == 0
@@ -208,6 +256,12 @@ def test_a_repeated_key_does_not_fill_a_chunk(spark):
     assert rows(copy_diff.diff_copies(df, df.where("k <> 7 AND k <> 5000"), ["t", "k"], ["v"])) == [("t", 5000, "only_source"), ("t", 7, "only_source")]
 
 
+def test_a_chunk_spans_several_containers(spark):
+    left, right = spark.range(0, 150_000).selectExpr("id AS k", "id % 7 AS v"), spark.range(100_000, 230_000).selectExpr("id AS k", "if(id % 9999 = 0, -1, id % 7) AS v")
+    got = {r.finding: r.n for r in copy_diff.diff_copies(left, right, ["k"], ["v"]).groupBy("finding").agg(F.count("*").alias("n")).collect()}
+    assert got == {"only_source": 100_000, "only_local": 80_000, "v": sum(i % 9999 == 0 for i in range(100_000, 150_000))}
+
+
 def test_fields_of_two_types_are_refused(spark):
     a = spark.createDataFrame([(1, 1)], "k INT, v INT")
     with pytest.raises(TypeError):
