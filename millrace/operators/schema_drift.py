@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import datetime
-import decimal
-import json
-from collections.abc import Iterator
+import re
+import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.fs
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.adjacent import with_previous, with_previous_of
+from millrace.operators.hashing import utc_naive
 from millrace.session import stash
 
 FIELDS = "array<struct<attnum:string,name:string,kind:string>>"
@@ -91,39 +93,80 @@ def migration_steps(parsed: DataFrame) -> DataFrame:
 
 
 #: The source's spellings of booleans; 1 and 0 as numbers count too.
-BOOLEAN = dict.fromkeys(("true", "t", "yes", "y", "on", "1"), "true") | dict.fromkeys(("false", "f", "no", "n", "off", "0"), "false")
+TRUE, FALSE = ("true", "t", "yes", "y", "on", "1"), ("false", "f", "no", "n", "off", "0")
+INTEGER = {"int8": "tinyint", "int16": "smallint", "int32": "int", "int64": "bigint", "uint8": "smallint", "uint16": "int", "uint32": "bigint"}
+ZONED = r"(?:[Zz]|[+-]\d\d(?::?\d\d)?)$"
 
 
-def cast_value(value, kind: str):
-    """A JSON value under a field kind, as text in one spelling; None where it does not fit."""
-    if value is None:
-        return None
-    try:
-        if kind == "bool":
-            return BOOLEAN.get(str(int(value) if isinstance(value, (bool, float)) and value in (0, 1) else value).strip().lower())
-        if isinstance(value, bool) and kind.startswith(("decimal", "int", "float", "double")):
-            value = int(value)
-        if kind.startswith("decimal"):
-            scale = int(kind.rstrip(")").split(",")[1])
-            return format(decimal.Decimal(str(value).strip()).quantize(decimal.Decimal(1).scaleb(-scale)), "f")
-        if kind.startswith("int"):
-            return str(int(decimal.Decimal(str(value).strip())))
-        if kind in ("float", "double"):
-            return repr(float(value))
-        if kind.startswith("date"):
-            return datetime.datetime.fromisoformat(str(value).strip()).date().isoformat()
-        if kind.startswith("timestamp"):
-            at = datetime.datetime.fromisoformat(str(value).strip())
-            if at.tzinfo:
-                at = at.astimezone(datetime.UTC).replace(tzinfo=None)
-            return at.isoformat()
-        return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
-    except (ValueError, decimal.InvalidOperation, OverflowError):
-        return None
+def _number(v: Column) -> Column:
+    """Text that may be a boolean, as the text of a number."""
+    return F.when(v == "true", "1").when(v == "false", "0").otherwise(F.trim(v))
+
+
+def cast_step(v: Column, kind: str) -> tuple[Column, Column]:
+    """Text under a field kind, in one spelling (null where it does not fit), and whether its value is another one then.
+
+    Numbers are rounded half up to whole ones or to a decimal's scale; of a time under a date the day is left.
+    """
+    if kind == "bool":
+        low, n = F.lower(F.trim(v)), F.trim(v).try_cast("decimal(38,18)")
+        return F.when(low.isin(*TRUE) | (n == 1), "true").when(low.isin(*FALSE) | (n == 0), "false"), F.lit(False)
+    if kind in INTEGER:
+        exact = _number(v).try_cast("decimal(38,18)")
+        whole = F.coalesce(_number(v).try_cast("decimal(38,0)"), F.round(_number(v).try_cast("double")).try_cast("decimal(38,0)"))
+        fits = whole.try_cast(INTEGER[kind])
+        fits = F.when((fits >= 0) & (fits < 2 ** int(kind[4:])), fits) if kind.startswith("u") else fits
+        return fits.cast("string"), F.coalesce(exact != fits, F.lit(False))
+    if found := re.fullmatch(r"decimal\d+\((\d+), (-?\d+)\)", kind):
+        precision, scale = map(int, found.groups())
+        if not 0 <= scale <= precision <= 38:
+            return v, F.lit(False)
+        made = _number(v).try_cast(f"decimal({precision},{scale})")
+        wide = _number(v).try_cast(f"decimal(38,{38 - max(precision - scale, 1)})")
+        return made.cast("string"), F.coalesce(wide != made, F.lit(False))
+    if kind in ("halffloat", "float", "double"):
+        made = _number(v).try_cast("double" if kind == "double" else "float")
+        return made.cast("string"), F.coalesce(made.cast("double") != _number(v).try_cast("double"), F.lit(False))
+    if kind.startswith(("date", "timestamp")):
+        time = F.when(v.rlike(ZONED) & v.contains(":"), utc_naive(F.trim(v).try_cast("timestamp"))).otherwise(F.trim(v).try_cast("timestamp_ntz"))
+        day = time.cast("date")
+        return (day.cast("string"), F.coalesce(day.cast("timestamp_ntz") != time, F.lit(False))) if kind.startswith("date") else (time.cast("string"), F.lit(False))
+    return v, F.lit(False)
+
+
+NOTE = "struct<kind:string,old:string,new:string>"
+
+
+def cast_chain(value: Column, chain: Column, kinds: list[str]) -> Column:
+    """A value's text taken through a chain of kinds, one after the other: struct (v, notes: what each step refused or altered)."""
+
+    def under(v: Column, kind: Column) -> Column:
+        made = F.struct(v.alias("v"), F.lit(False).alias("other"))
+        for k in kinds:
+            new, other = cast_step(v, k)
+            made = F.when(kind == k, F.struct(new.alias("v"), other.alias("other"))).otherwise(made)
+        return made
+
+    def step(held: Column, kind: Column) -> Column:
+        made = F.transform(F.array(under(held["v"], kind)), lambda m: F.struct(
+            m["v"].alias("v"),
+            F.concat(held["notes"], F.when(m["other"] | (held["v"].isNotNull() & m["v"].isNull()), F.array(F.struct(kind.alias("kind"), held["v"].alias("old"), m["v"].alias("new")))).otherwise(F.array().cast(f"array<{NOTE}>"))).alias("notes"),
+        ))
+        return F.when(held["v"].isNull(), held).otherwise(made[0])
+
+    return F.aggregate(chain, F.struct(value.alias("v"), F.array().cast(f"array<{NOTE}>").alias("notes")), step)
+
+
+LAYOUT = f"struct<at:struct<us:bigint,id:int>,fields:{FIELDS}>"
+
+
+def version_order() -> Column:
+    """By what the versions of a table follow each other."""
+    return F.struct(F.coalesce(F.unix_micros(F.col("updated_at").cast("timestamp")), F.lit(-(1 << 62))).alias("us"), F.col("id").cast("int").alias("id"))
 
 
 def layouts_of(parsed: DataFrame) -> DataFrame:
-    """Versions with the layouts their records may have (``layouts``, arrays of fields) and whether these are only guesses.
+    """Versions with the layouts their records may have (``layouts``: a version's place in order, and its fields) and whether these are only guesses.
 
     A version with a schema has that one. One without has the schemas of the
     nearest versions of its table with a schema, before and after it.
@@ -134,75 +177,133 @@ def layouts_of(parsed: DataFrame) -> DataFrame:
     for sign in (1, -1):  # the nearest before; and, with the order turned round, after
         turned = narrow.withColumns({c: F.col(c) * sign for c in order}).withColumn("at", F.col("id") * sign)
         bare.append(with_previous_of(turned, KEY, order, ["at"], F.col("known")).where("NOT known AND prev_at IS NOT NULL").select(F.col("at").alias("id"), F.col("prev_at").alias("near")))
-    known = parsed.where("fields IS NOT NULL")
-    near = bare[0].union(bare[1]).join(known.select(F.col("id").alias("near"), "fields"), "near").groupBy("id").agg(F.collect_list("fields").alias("layouts"))
-    guessed = parsed.where("fields IS NULL").drop("fields").join(near, "id", "left").withColumns({"layouts": F.coalesce("layouts", F.array().cast(f"array<{FIELDS}>")), "guessed": F.lit(True)})
-    return known.withColumn("layouts", F.array("fields")).drop("fields").withColumn("guessed", F.lit(False)).unionByName(guessed)
+    known = parsed.where("fields IS NOT NULL").withColumn("layout", F.struct(version_order().alias("at"), "fields"))
+    near = bare[0].union(bare[1]).join(known.select(F.col("id").alias("near"), "layout"), "near").groupBy("id").agg(F.sort_array(F.collect_list("layout")).alias("layouts"))
+    guessed = parsed.where("fields IS NULL").drop("fields").join(near, "id", "left").withColumns({"layouts": F.coalesce("layouts", F.array().cast(f"array<{LAYOUT}>")), "guessed": F.lit(True)})
+    return known.withColumn("layouts", F.array("layout")).drop("fields", "layout").withColumn("guessed", F.lit(False)).unionByName(guessed)
 
 
-def compile_rule(spec: dict) -> list[tuple[frozenset | None, list[tuple[str, str | None, str]]]]:
-    """Ways to read a record: the names that it must have (None: any) and for each newest column its name, its name in the record and its kind."""
-    ways = []
-    for fields in spec["layouts"]:
-        names = {f["attnum"]: f["name"] for f in fields}
-        ways.append((frozenset(names.values()) if spec["guessed"] else None, [(f["name"], names.get(f["attnum"]), f["kind"]) for f in spec["target"]]))
-    return ways
+def routing_rules(parsed: DataFrame) -> DataFrame:
+    """The rule of each version of a table: catalog_name, schema_name, table_name, version order ``at``, local_path, ``guessed`` and ``ways`` to read a record.
 
+    The retyping steps of ``migration_steps`` are chained: a way gives, for each newest column, its name in the record (by column
+    number, through all renames; null, the default, if it was added later) and the kinds that its value goes through, from the version's to the newest.
+    """
+    retyped = migration_steps(parsed.where("fields IS NOT NULL")).where("change = 'retyped'").select("id", "attnum", F.col("new_kind").alias("kind"))
+    placed = retyped.join(parsed.select("id", *KEY, version_order().alias("at")), "id")
+    history = placed.groupBy(*KEY, "attnum").agg(F.sort_array(F.collect_list(F.struct("at", "kind"))).alias("steps")).groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("attnum", "steps"))).alias("history"))
+    newest = parsed.where("fields IS NOT NULL").groupBy(*KEY).agg(F.max_by("fields", version_order()).alias("target")).join(history, KEY, "left")
+
+    def column(layout: Column, t: Column) -> Column:
+        mine = F.filter(layout["fields"], lambda f: f["attnum"] == t["attnum"])[0]
+        steps = F.coalesce(F.filter(F.element_at(F.col("history"), t["attnum"]), lambda h: h["at"] > layout["at"]), F.array().cast("array<struct<at:struct<us:bigint,id:int>,kind:string>>"))
+        chain = F.when(mine.isNotNull(), F.concat(F.array(mine["kind"]), F.transform(steps, lambda h: h["kind"])))
+        return F.struct(t["name"].alias("field"), t["kind"].alias("kind"), mine["name"].alias("source"), chain.alias("chain"))
 
-def way_of(record: dict, ways: list) -> list[tuple[str, str | None, str]] | None:
-    """The one way that fits the record's names; None if none does or if two disagree."""
-    fits = [steps for names, steps in ways if names is None or not record or names == record.keys()]
-    return fits[0] if fits and (not record or all(f == fits[0] for f in fits)) else None
+    ways = F.transform("layouts", lambda x: F.struct(F.array_sort(F.transform(x["fields"], lambda f: f["name"])).alias("names"), F.transform(F.coalesce("target", F.array().cast(FIELDS)), lambda t: column(x, t)).alias("columns")))
+    return layouts_of(parsed).join(newest, KEY, "left").select(*KEY, version_order().alias("at"), "local_path", "guessed", ways.alias("ways"))
 
 
-def consistent_rows(parsed: DataFrame, files: DataFrame, rows: DataFrame, directory) -> DataFrame:
+def consistent_rows(parsed: DataFrame, files: DataFrame, rows: DataFrame, directory: Callable[[Column], Column]) -> DataFrame:
     """All rows of the snapshot files under the newest schema of their table.
 
-    Each version holds a rule from its columns to the newest ones: by column
-    number a rename, a cast to the newest kind, a null default for a column it
-    lacks; removed columns go. Columns are matched as by the chain of steps,
-    since a column number is never given again, but casts between the two versions never act. Result: the table's key, file_id, row_pos, ``record``, a map from column
-    name to text in one spelling per kind (null where a value does not fit), ``nulled``, the columns whose value in the
-    record is not null but does not fit, ``routed`` and ``raw``.
+    A file goes by the rule of its directory's version (the newest with a schema, where several name it): each value is cast step by step
+    along the versions, so what an intermediate type loses stays lost, and every value that a step refused (null then) or
+    altered is in ``notes``; columns that the version lacks are null, removed ones go. Result: the table's key, file_id, row_pos, ``record``, the newest columns in order
+    (field, kind, value as text in one spelling per kind), ``notes`` (field, kind of the step, old and new text), ``routed`` and ``raw``.
 
     ``parsed`` should hold the versions without a schema too. A record of such a
-    version goes by the nearest version with a schema, before or after it, that has
+    version goes by the nearest version with a schema, before it or else after it, that has
     exactly the record's names. If neither has, or both have and give the
-    columns different numbers, or no version of the table has a schema, the record is not
-    ``routed``: ``record`` is null and ``raw`` holds its JSON as it stands.
+    columns different numbers, or no version of the table has a schema, or the record is no JSON object, it is not
+    ``routed``: ``record`` is null and ``raw`` holds its JSON as it stands. A null record is an empty one.
 
     A file whose directory no version names is left out. Repeated files and rows
-    count once. The rule travels with the file row, not with each record's shuffle.
+    count once. Rows are shuffled once, by file; all casts run in the JVM. The kinds that occur, as many as
+    there are types, are listed on the driver.
     """
     parsed = stash(parsed, "versions")
-    newest = parsed.where("fields IS NOT NULL").groupBy(*KEY).agg(F.max_by("fields", F.struct("updated_at", "id")).alias("target"))
-    latest = F.struct(~F.col("guessed"), "updated_at", "id")
-    versions = layouts_of(parsed).groupBy(directory(F.col("local_path")).alias("directory"), *KEY).agg(F.max_by(F.struct("layouts", "guessed"), latest).alias("v"))
-    rules = versions.join(newest, KEY, "left").select(*KEY, "directory", F.to_json(F.struct("v.layouts", "v.guessed", F.coalesce("target", F.array().cast(FIELDS)).alias("target"))).alias("rule"))
+    kinds = sorted(r[0] for r in parsed.select(F.explode("fields.kind").alias("kind")).distinct().collect())
+    latest = F.struct(~F.col("guessed"), "at")
+    rules = routing_rules(parsed).groupBy(directory(F.col("local_path")).alias("directory"), *KEY).agg(F.max_by(F.struct("ways", "guessed"), latest).alias("rule"))
     listed = files.select("file_id", directory(F.col("local_path")).alias("directory")).dropDuplicates(["file_id"])
-    ruled = listed.join(rules, "directory").drop("directory")
-    met = rows.dropDuplicates(["file_id", "row_pos"]).join(ruled, "file_id").select(*KEY, "file_id", "row_pos", "row_json", "rule")
+    ruled = listed.join(rules, "directory").select(*KEY, "file_id", "rule.ways", "rule.guessed")
+    once = rows.select("file_id", "row_pos", "row_json").repartition("file_id").dropDuplicates(["file_id", "row_pos"])
+    read = once.join(ruled, "file_id").withColumn("values", F.try_variant_get(F.try_parse_json(F.coalesce("row_json", F.lit("{}"))), "$", "map<string,string>"))
+    names = F.array_sort(F.map_keys("values"))
+    fits = F.when(F.col("guessed"), F.filter("ways", lambda w: (F.size("values") == 0) | (w["names"] == names))).otherwise(F.col("ways"))
+    told = (F.size("fits") > 0) & ((F.size("values") == 0) | (F.size(F.array_distinct(F.transform("fits", lambda w: F.transform(w["columns"], lambda c: F.struct(c["field"], c["source"]))))) == 1))
+    chosen = read.withColumn("fits", F.when(F.col("values").isNotNull(), fits)).withColumn("columns", F.when(told, F.col("fits")[0]["columns"]))
+    made = F.transform("columns", lambda c: F.struct(c["field"].alias("field"), c["kind"].alias("kind"), cast_chain(F.element_at(F.col("values"), c["source"]), F.coalesce(c["chain"], F.array().cast("array<string>")), kinds).alias("x")))
+    cast = chosen.withColumn("made", made)
+    notes = F.flatten(F.transform("made", lambda c: F.transform(c["x"]["notes"], lambda n: F.struct(c["field"].alias("field"), n["kind"].alias("kind"), n["old"].alias("old"), n["new"].alias("new")))))
+    record = F.transform("made", lambda c: F.struct(c["field"].alias("field"), c["kind"].alias("kind"), c["x"]["v"].alias("value")))
+    routed = F.col("columns").isNotNull()
+    return cast.select(*KEY, "file_id", "row_pos", record.alias("record"), F.coalesce(notes, F.array().cast("array<struct<field:string,kind:string,old:string,new:string>>")).alias("notes"), routed.alias("routed"), F.when(~routed, F.coalesce("row_json", F.lit("{}"))).alias("raw"))
+
+
+def arrow_type(kind: str) -> pa.DataType:
+    """The type of a typed column; text for what has no plain value."""
+    if found := re.fullmatch(r"decimal\d+\((\d+), (-?\d+)\)", kind):
+        return pa.decimal128(*map(int, found.groups())) if int(found[1]) <= 38 else pa.string()
+    plain = {"bool": pa.bool_(), "float": pa.float32(), "double": pa.float64(), "binary": pa.binary(), "date32[day]": pa.date32(), "date64[ms]": pa.date32()} | {f"{u}int{n}": getattr(pa, f"{u}int{n}")() for u in ("", "u") for n in (8, 16, 32, 64)}
+    if kind.startswith("timestamp"):
+        return pa.timestamp("us", "UTC" if "tz=" in kind else None)
+    return plain.get(kind, pa.string())
+
+
+def _typed(texts: pa.Array, kind: str) -> pa.Array:
+    to = arrow_type(kind)
+    if pa.types.is_binary(to):
+        return pa.array([None if t is None else bytes.fromhex(t[2:]) if re.fullmatch(r"\\x(?:[0-9a-fA-F]{2})*", t) else t.encode("utf-8", "surrogatepass") for t in texts.to_pylist()], to)
+    if pa.types.is_timestamp(to):
+        return texts.cast(pa.timestamp("us")).cast(pa.int64()).cast(to)
+    return texts.cast(to)
+
+
+def write_tables(routed: DataFrame, out: str) -> DataFrame:
+    """Write the routed rows of ``consistent_rows`` as one typed parquet table for each source table: a folder below ``out`` each.
+
+    Rows are ranged by (table, file), so a large table is written by many tasks, each one its file, in row groups of a batch. Columns
+    are file_id, row_pos and the newest columns, typed as in the newest schema (file_id and row_pos are the record's origin, renamed if the table has such columns). ``out`` is the URI of a shared folder.
+    Result: a row per written file: the table's key, path, n_rows, n_columns. Evaluating it writes: write it down once.
+    """
+    ranged = routed.where("routed").select(*KEY, "file_id", "row_pos", "record").repartitionByRange(*KEY, "file_id").sortWithinPartitions(*KEY, "file_id", "row_pos")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, folder = pa.fs.FileSystem.from_uri(out)
+        at, writer, path, n, width = None, None, None, 0, 0
+
+        def close() -> pa.RecordBatch:
+            writer.close()
+            fs.move(path + ".part", path)
+            return pa.RecordBatch.from_pydict({**{k: pa.array([v], pa.string()) for k, v in zip(KEY, at, strict=True)}, "path": [path], "n_rows": pa.array([n], pa.int64()), "n_columns": pa.array([width], pa.int32())})
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled: dict[str, list] = {}
         for batch in batches:
-            out, nulled, raw = [], [], []
-            for text, rule in zip(batch.column("row_json").to_pylist(), batch.column("rule").to_pylist(), strict=True):
-                ways = compiled.get(rule)
-                if ways is None:
-                    if len(compiled) > 10_000:
-                        compiled.clear()
-                    ways = compiled[rule] = compile_rule(json.loads(rule))
-                record = json.loads(text) if text else {}
-                steps = way_of(record, ways)
-                made = None if steps is None else [(new, cast_value(record.get(old), kind) if old is not None else None) for new, old, kind in steps]
-                out.append(made)
-                nulled.append([new for (new, v), (_, old, _) in zip(made or (), steps or (), strict=True) if v is None and old is not None and record.get(old) is not None])
-                raw.append(text if steps is None else None)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in (*KEY, "file_id", "row_pos")), pa.array(out, pa.map_(pa.string(), pa.string())), pa.array(nulled, pa.list_(pa.string())), pa.array([r is not None for r in out]), pa.array(raw, pa.string())],
-                names=[*KEY, "file_id", "row_pos", "record", "nulled", "routed", "raw"],
-            )
-
-    schema = "catalog_name string, schema_name string, table_name string, file_id bigint, row_pos int, record map<string,string>, nulled array<string>, routed boolean, raw string"
-    return met.mapInArrow(route, schema)
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if start == end:
+                    continue
+                part = batch.slice(start, end - start)
+                fields = part.column(5).flatten()
+                each = len(fields) // part.num_rows
+                names, types, texts = fields.flatten()
+                names, types = names.slice(0, each).to_pylist(), types.slice(0, each).to_pylist()
+                columns = [_typed(texts.take(pa.array(range(i, len(texts), each))), kind) for i, kind in enumerate(types)]
+                own = [c if c not in names else f"__{c}" for c in ("file_id", "row_pos")]
+                table = pa.Table.from_arrays([part.column(3), part.column(4), *columns], names=[*own, *names])
+                if keys[start] != at:
+                    if writer:
+                        yield close()
+                    at, n, width = keys[start], 0, each
+                    home = "/".join([folder, *(re.sub(r"[^\w.-]", "_", k or "null") for k in at)])
+                    fs.create_dir(home)
+                    path = f"{home}/{uuid.uuid4().hex}.parquet"
+                    writer = pq.ParquetWriter(path + ".part", table.schema, filesystem=fs, compression="zstd")
+                writer.write_table(table)
+                n += end - start
+        if writer:
+            yield close()
+
+    return ranged.mapInArrow(write, "catalog_name string, schema_name string, table_name string, path string, n_rows bigint, n_columns int")

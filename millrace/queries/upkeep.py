@@ -79,11 +79,27 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return schema_drift.migration_steps(parsed).select("id", "field_name", "change")
 
 
+def _consistent(spark: SparkSession, folder: str) -> DataFrame:
+    parsed = schema_drift.parse_versions(load(spark, folder, "table_arrow_schema"), bare=True)
+    return schema_drift.consistent_rows(parsed, load(spark, folder, "snapshot_file"), load(spark, folder, "snapshot_row"), compaction.directory)
+
+
 def p4_rows(spark: SparkSession, folder: str) -> DataFrame:
     """All snapshot rows under the newest schema of their table; as raw JSON where that cannot be told."""
-    parsed = schema_drift.parse_versions(load(spark, folder, "table_arrow_schema"), bare=True)
-    out = schema_drift.consistent_rows(parsed, load(spark, folder, "snapshot_file"), load(spark, folder, "snapshot_row"), compaction.directory)
-    return out.withColumn("record", F.to_json("record"))
+    record = F.map_from_arrays(F.col("record.field"), F.col("record.value"))
+    return _consistent(spark, folder).withColumn("record", F.to_json(record, {"ignoreNullFields": "false"}))
+
+
+def p4_notes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every value that a cast of the way to the newest schema refused or altered."""
+    return _consistent(spark, folder).select(*schema_drift.KEY, "file_id", "row_pos", F.explode("notes").alias("x")).select(*schema_drift.KEY, "file_id", "row_pos", "x.*")
+
+
+def p4_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """One typed table written for each source table: its rows and columns."""
+    out = scratch_path(spark, "p4")
+    schema_drift.write_tables(_consistent(spark, folder), f"{out}/data").write.parquet(f"{out}/written")
+    return spark.read.parquet(f"{out}/written").groupBy(*schema_drift.KEY).agg(F.sum("n_rows").alias("n_rows"), F.max("n_columns").alias("n_columns"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,7 +109,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return snapshot_diff.change_events(complete, "source_table", "snapshot_no", ["row_key"], values, "loaded_at")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_compact": p2_compact, "p2_groups": p2_groups, "p3_found": p3_found, "p4_found": p4_found, "p4_rows": p4_rows, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_compact": p2_compact, "p2_groups": p2_groups, "p3_found": p3_found, "p4_found": p4_found, "p4_rows": p4_rows, "p4_notes": p4_notes, "p4_tables": p4_tables, "p5_found": p5_found}
 
 _DIR = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(local_path, '^file:(//)?', ''), '/+', '/', 'g'), '(/\.)+(/|$)', '\2', 'g'), '^(\./)+', ''), '/+$', '')"
 _SMALL = f"""

@@ -321,16 +321,40 @@ def test_schema_steps_equal_brute_force(spark, folder):
     assert {tuple(r) for r in found.select("id", "field_name", "change").collect()} == want and want
 
 
+def consistent(spark, versions, content, files=None):
+    listed = spark.createDataFrame(files or [(v[0], v[5], "a.parquet") for v in versions], "file_id BIGINT, local_path STRING, file_name STRING")
+    parsed = schema_drift.parse_versions(spark.createDataFrame(versions, VERSIONS), bare=True)
+    return schema_drift.consistent_rows(parsed, listed, spark.createDataFrame(content, "file_id BIGINT, row_pos INT, row_json STRING"), compaction.directory)
+
+
+def records(df):
+    return {(r.file_id, r.row_pos): None if r.record is None else {f.field: f.value for f in r.record} for r in df.collect()}
+
+
 def test_rows_come_under_the_newest_schema(spark):
-    versions = spark.createDataFrame([version(1, "t", 1, [(1, "k", pa.int64()), (2, "old", pa.string()), (3, "gone", pa.string())]), version(2, "t", 2, [(1, "k", pa.int64()), (2, "new", pa.decimal128(12, 2)), (4, "more", pa.bool_())])], VERSIONS)
-    files = spark.createDataFrame([(1, "/d/1/", "a.parquet"), (2, "/d/2", "a.parquet"), (3, "/elsewhere", "a.parquet")], "file_id BIGINT, local_path STRING, file_name STRING")
-    content = [(1, 0, '{"k": 5, "old": "7.1", "gone": "x"}'), (1, 1, '{"k": 6, "old": "no number"}'), (2, 0, '{"k": 7, "new": 3, "more": true}'), (2, 0, '{"k": 7, "new": 3, "more": true}'), (3, 0, "{}"), (2, 1, None)]
-    table = spark.createDataFrame(content, "file_id BIGINT, row_pos INT, row_json STRING")
-    out = schema_drift.consistent_rows(schema_drift.parse_versions(versions), files, table, compaction.directory)
-    got = {(r.file_id, r.row_pos): r.record for r in out.collect()}
-    assert got == {
-        (1, 0): {"k": "5", "new": "7.10", "more": None}, (1, 1): {"k": "6", "new": None, "more": None}, (2, 0): {"k": "7", "new": "3.00", "more": "true"}, (2, 1): {"k": None, "new": None, "more": None},
+    versions = [version(1, "t", 1, [(1, "k", pa.int64()), (2, "old", pa.string()), (3, "gone", pa.string())]), version(2, "t", 2, [(1, "k", pa.int64()), (2, "new", pa.decimal128(12, 2)), (4, "more", pa.bool_())])]
+    content = [(1, 0, '{"k": 5, "old": "7.1", "gone": "x"}'), (1, 1, '{"k": 6, "old": "no number"}'), (2, 0, '{"k": 7, "new": 3, "more": true}'), (2, 0, '{"k": 7, "new": 3, "more": true}'), (3, 0, "{}"), (2, 1, None), (2, 2, "no json"), (2, 3, "[1]")]
+    out = consistent(spark, versions, content, [(1, "/d/1/", "a.parquet"), (2, "/d/2", "a.parquet"), (3, "/elsewhere", "a.parquet")])
+    assert records(out) == {
+        (1, 0): {"k": "5", "new": "7.10", "more": None}, (1, 1): {"k": "6", "new": None, "more": None}, (2, 0): {"k": "7", "new": "3.00", "more": "true"}, (2, 1): {"k": None, "new": None, "more": None}, (2, 2): None, (2, 3): None,
+    }
+    assert {(r.file_id, r.row_pos, r.raw) for r in out.where("NOT routed").collect()} == {(2, 2, "no json"), (2, 3, "[1]")}
+    assert out.limit(0).count() == 0
+
+
+def test_casts_between_the_versions_act_and_are_noted(spark):
+    fields = lambda a, b, c: [(1, "a", a), (2, "b", b), (3, "c", c)]
+    versions = [
+        version(1, "t", 1, fields(pa.float64(), pa.string(), pa.int64())), version(2, "t", 2, None), version(3, "t", 3, fields(pa.int32(), pa.bool_(), pa.int64())), version(4, "t", 4, [(1, "A", pa.int32()), (2, "b", pa.int16()), (3, "c", pa.int8())]),
+        version(5, "t", 5, [(1, "A", pa.float64()), (2, "b", pa.string()), (3, "c", pa.string())]),
+    ]
+    content = [(1, 0, '{"a": 3.9, "b": "yes", "c": 7}'), (1, 1, '{"a": 3.0, "b": "other", "c": 300}'), (3, 0, '{"a": 4, "b": true, "c": -128}'), (5, 0, '{"A": 3.9, "b": "yes", "c": "300"}'), (2, 0, '{"a": 1.5, "b": "off", "c": 1}')]
+    out = consistent(spark, versions, content)
+    assert records(out) == {
+        (1, 0): {"A": "4.0", "b": "1", "c": "7"}, (1, 1): {"A": "3.0", "b": None, "c": None}, (3, 0): {"A": "4.0", "b": "1", "c": "-128"}, (5, 0): {"A": "3.9", "b": "yes", "c": "300"}, (2, 0): {"A": "2.0", "b": "0", "c": "1"},
     }
+    notes = {(r.file_id, r.row_pos): [tuple(n) for n in r.notes] for r in out.collect() if r.notes}
+    assert notes == {(1, 0): [("A", "int32", "3.9", "4")], (2, 0): [("A", "int32", "1.5", "2")], (1, 1): [("b", "bool", "other", None), ("c", "int8", "300", None)]}
 
 
 def test_rows_of_versions_without_schema_are_kept(spark):
@@ -340,34 +364,54 @@ def test_rows_of_versions_without_schema_are_kept(spark):
         version(1, "t", 1, old), version(2, "t", 2, None), version(3, "t", 3, None), version(4, "t", 4, new), version(5, "t", 5, None),
         version(6, "bare", 1, None), version(7, "u", 1, again[0]), version(8, "u", 2, None), version(9, "u", 3, again[1]),
     ]
-    files = spark.createDataFrame([(i, f"/d/{i}", "a.parquet") for i in range(1, 10)], "file_id BIGINT, local_path STRING, file_name STRING")
     content = [
         (2, 0, '{"k": 1, "old": "a"}'), (2, 1, '{"k": 2, "new": "b"}'), (2, 2, '{"k": 3, "mid": "c"}'), (3, 0, '{"k": 4, "old": "d"}'), (3, 1, '{"new": "e", "k": 5}'),
         (5, 0, '{"k": 6, "new": "f"}'), (5, 1, "{}"), (6, 0, '{"z": 1}'), (8, 0, '{"k": 7, "x": "g"}'), (9, 0, '{"k": 8, "x": "h"}'),
     ]
-    table = spark.createDataFrame(content, "file_id BIGINT, row_pos INT, row_json STRING")
-    parsed = schema_drift.parse_versions(spark.createDataFrame(versions, VERSIONS), bare=True)
-    got = {(r.file_id, r.row_pos): (r.record, r.routed, r.raw) for r in schema_drift.consistent_rows(parsed, files, table, compaction.directory).collect()}
+    out = consistent(spark, versions, content)
+    made = records(out)
+    got = {(r.file_id, r.row_pos): (made[r.file_id, r.row_pos], r.routed, r.raw) for r in out.collect()}
     want = {(2, 0): {"k": "1", "new": "a"}, (2, 1): {"k": "2", "new": "b"}, (3, 0): {"k": "4", "new": "d"}, (3, 1): {"k": "5", "new": "e"}, (5, 0): {"k": "6", "new": "f"}, (5, 1): {"k": None, "new": None}, (9, 0): {"k": "8", "x": "h"}}
     assert got == {k: (v, True, None) for k, v in want.items()} | {k: (None, False, text) for *k, text in content for k in [tuple(k)] if k not in want}
 
 
-@pytest.mark.parametrize(
-    ("value", "kind", "want"),
-    [(True, "int16", "1"), (False, "int64", "0"), (True, "decimal128(12, 2)", "1.00"), (True, "double", "1.0"), (True, "string", "true"), (True, "bool", "true"), (" T ", "bool", "true"), ("no", "bool", "false"), (0, "bool", "false"),
-     (1.0, "bool", "true"), (2, "bool", None), (0.5, "bool", None), ("abc", "bool", None), ("", "bool", None), ("x", "int32", None), (True, "date32[day]", None)],
-)
-def test_values_under_a_kind(value, kind, want):
-    assert schema_drift.cast_value(value, kind) == want
-
-
-def test_values_that_a_cast_nulls_are_listed(spark):
-    versions = [version(1, "t", 1, [(1, "k", pa.int64()), (2, "a", pa.bool_()), (3, "b", pa.string())]), version(2, "t", 2, [(1, "k", pa.int64()), (2, "A", pa.int16()), (3, "b", pa.bool_()), (4, "c", pa.int32())])]
-    files = spark.createDataFrame([(1, "/d/1", "a.parquet")], "file_id BIGINT, local_path STRING, file_name STRING")
-    table = spark.createDataFrame([(1, 0, '{"k": 1, "a": true, "b": "f"}'), (1, 1, '{"k": "?", "a": null, "b": "abc"}')], "file_id BIGINT, row_pos INT, row_json STRING")
-    out = schema_drift.consistent_rows(schema_drift.parse_versions(spark.createDataFrame(versions, VERSIONS), bare=True), files, table, compaction.directory)
-    got = {r.row_pos: (r.record, r.nulled) for r in out.collect()}
-    assert got == {0: ({"k": "1", "A": "1", "b": "false", "c": None}, []), 1: ({"k": None, "A": None, "b": None, "c": None}, ["k", "b"])}
+STEPS = [
+    ("true", "int16", "1", False), ("false", "int64", "0", False), ("true", "decimal128(12, 2)", "1.00", False), ("true", "double", "1.0", False), ("true", "string", "true", False), ("true", "bool", "true", False), (" T ", "bool", "true", False),
+    ("no", "bool", "false", False), ("0", "bool", "false", False), ("1.0", "bool", "true", False), ("2", "bool", None, False), ("0.5", "bool", None, False), ("abc", "bool", None, False), ("", "bool", None, False), ("x", "int32", None, False), ("true", "date32[day]", None, False),
+    ("3.9", "int32", "4", True), ("-2.5", "int32", "-3", True), ("300", "int8", None, False), ("127", "int8", "127", False), ("-1", "uint8", None, False), ("9223372036854775807", "int64", "9223372036854775807", False), ("9223372036854775808", "int64", None, False), ("1e3", "int16", "1000", False),
+    ("1234567890123456789012345678.1234567890", "decimal128(38, 10)", "1234567890123456789012345678.1234567890", False), ("12345678901234567890123456789.1", "decimal128(38, 10)", None, False), ("1.005", "decimal128(12, 2)", "1.01", True), ("12345678901.00", "decimal128(12, 2)", None, False),
+    ("0.1", "float", "0.1", True), ("0.5", "float", "0.5", False), ("2024-02-29", "date32[day]", "2024-02-29", False), ("2024-02-29T01:02:03", "date32[day]", "2024-02-29", True), ("2024-02-30", "date32[day]", None, False),
+    ("2024-02-29T01:02:03.5+02:00", "timestamp[us]", "2024-02-28 23:02:03.5", False), ("2024-02-29T01:02:03Z", "timestamp[us, tz=UTC]", "2024-02-29 01:02:03", False), ("2024-02-29 01:02:03", "timestamp[us]", "2024-02-29 01:02:03", False), ("x", "list<int32>", "x", False),
+]
+
+
+def test_values_under_a_kind(spark):
+    row = spark.range(1)
+    for i, (value, kind, _, _) in enumerate(STEPS):
+        new, other = schema_drift.cast_step(F.lit(value), kind)
+        row = row.withColumns({f"n{i}": new, f"o{i}": other})
+    got = row.first()
+    assert [(v, k, got[f"n{i}"], got[f"o{i}"]) for i, (v, k, _, _) in enumerate(STEPS)] == STEPS
+
+
+def test_each_table_is_written_with_its_types(spark, tmp_path):
+    versions = [
+        version(1, "t", 1, [(1, "k", pa.int64()), (2, "a", pa.bool_()), (3, "b", pa.string())]),
+        version(2, "t", 2, [(1, "k", pa.int64()), (2, "A", pa.int16()), (3, "file_id", pa.bool_()), (4, "d", pa.decimal128(12, 2)), (5, "at", pa.timestamp("us", "UTC")), (6, "raw", pa.binary()), (7, "day", pa.date32())]),
+        version(3, "u", 1, [(1, "x", pa.float64())]),
+    ]
+    content = [(1, 0, '{"k": 1, "a": true, "b": "f"}'), (2, 0, '{"k": 2, "A": 3, "file_id": true, "d": "1.5", "at": "2024-01-02T03:04:05Z", "raw": "\\\\x00ff", "day": "2024-01-02"}'), (3, 0, '{"x": 0.5}'), (3, 1, "?")]
+    made = schema_drift.write_tables(consistent(spark, versions, content), f"file://{tmp_path}/tables")
+    made.write.parquet(f"file://{tmp_path}/written")
+    found = {r.table_name: r for r in spark.read.parquet(f"file://{tmp_path}/written").groupBy("table_name").agg(F.sum("n_rows").alias("n"), F.max("n_columns").alias("c")).collect()}
+    assert (found["t"].n, found["t"].c, found["u"].n, found["u"].c) == (2, 7, 1, 1)
+    t = pq.read_table(f"{tmp_path}/tables/c/public/t").sort_by("k")
+    assert [str(f.type) for f in t.schema] == ["int64", "int32", "int64", "int16", "bool", "decimal128(12, 2)", "timestamp[us, tz=UTC]", "binary", "date32[day]"]
+    assert t.drop(["__file_id", "row_pos"]).to_pylist() == [
+        {"k": 1, "A": 1, "file_id": False, "d": None, "at": None, "raw": None, "day": None},
+        {"k": 2, "A": 3, "file_id": True, "d": Decimal("1.50"), "at": dt.datetime(2024, 1, 2, 3, 4, 5, tzinfo=dt.UTC), "raw": b"\x00\xff", "day": dt.date(2024, 1, 2)},
+    ]
+    assert pq.read_table(f"{tmp_path}/tables/c/public/u").to_pylist() == [{"file_id": 3, "row_pos": 0, "x": 0.5}]
 
 
 def test_previous_row_over_ranges(spark):
