@@ -45,7 +45,7 @@ class JdbcSource:
         df = self.spark.read.jdbc(self.url, table, properties=self.properties)
         return df.select(*columns) if columns else df
 
-    def read_parallel(self, table: str, rows_per_task: int = ROWS_PER_TASK, most: int = 64) -> DataFrame:
+    def read_parallel(self, table: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
         """The table in ranges of a whole-number primary key, as many as its size asks for; by one task without such a key."""
         keys = self.primary_key(table)
         kinds = dict(self.read(table).dtypes)
@@ -54,7 +54,7 @@ class JdbcSource:
         low, high, n = self._query(f"SELECT min({keys[0]}) AS a, max({keys[0]}) AS b, count(*) AS n FROM {table}").first()
         if not n:
             return self.read(table)
-        parts = min(most, max(1, -(-n // rows_per_task)))
+        parts = max(1, -(-n // rows_per_task))
         return self.spark.read.jdbc(self.url, table, column=keys[0], lowerBound=low, upperBound=high + 1, numPartitions=parts, properties=self.properties)
 
     def primary_key(self, table: str) -> list[str]:

@@ -7,6 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import stash
+
+
+def _spread(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows in ranges of (keys, order), with ``__task``, the range's number: written once, since a range must be the same wherever it is read."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stash(rows.repartitionByRange(tasks, *keys, *order).withColumn("__task", F.spark_partition_id()), "ranges")
+
 
 def with_previous(rows: DataFrame, keys: Sequence[str], order: Sequence[str], carry: Sequence[str], prefix: str = "prev_") -> DataFrame:
     """Add ``prefix + c`` for each ``c`` of ``carry``: its value in the key's preceding row by ``order``.
@@ -19,9 +27,7 @@ def with_previous(rows: DataFrame, keys: Sequence[str], order: Sequence[str], ca
     The first row of a key gets nulls. Nulls in keys form a key; null order
     values come first. Rows equal in ``order`` follow each other in no fixed order.
     """
-    spark = rows.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = rows.repartitionByRange(tasks, *keys, *order).withColumn("__task", F.spark_partition_id())
+    spread = _spread(rows, keys, order)
     inside = Window.partitionBy("__task", *keys).orderBy(*order)
     carried = F.struct(*carry)
     near = spread.withColumn("__prev", F.lag(carried).over(inside)).withColumn("__first", F.row_number().over(inside) == 1)
@@ -39,9 +45,7 @@ def with_previous(rows: DataFrame, keys: Sequence[str], order: Sequence[str], ca
 
 def with_previous_of(rows: DataFrame, keys: Sequence[str], order: Sequence[str], carry: Sequence[str], of: Column, prefix: str = "prev_") -> DataFrame:
     """As ``with_previous``, but from the nearest preceding row for which ``of`` holds."""
-    spark = rows.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = rows.repartitionByRange(tasks, *keys, *order).withColumn("__task", F.spark_partition_id())
+    spread = _spread(rows, keys, order)
     inside = Window.partitionBy("__task", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     carried = F.when(of, F.struct(*carry))
     near = spread.withColumn("__prev", F.last(carried, ignorenulls=True).over(inside))

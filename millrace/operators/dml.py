@@ -9,12 +9,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def partition_columns(spark: SparkSession, path: str) -> list[str]:
+    """The columns by which a folder is partitioned, outermost first."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at, found = hadoop.Path(path), []
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    while True:
+        below = next((s.getPath() for s in fs.listStatus(at) if s.isDirectory() and "=" in s.getPath().getName()), None)
+        if below is None:
+            return found
+        found.append(below.getName().split("=")[0])
+        at = below
+
+
 def _publish(df: DataFrame, path: str) -> None:
-    """Write the new content aside, move the old away, move the new in."""
+    """Write the new content aside under the folder's partitioning, move the old away, move the new in.
+
+    Between the two moves, of a moment, a reader finds no folder.
+    """
     spark = df.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs
     final, aside, old = hadoop.Path(path), hadoop.Path(f"{path}.new-{uuid.uuid4().hex}"), hadoop.Path(f"{path}.old-{uuid.uuid4().hex}")
-    df.write.parquet(aside.toString())
+    df.write.partitionBy(*partition_columns(spark, path)).parquet(aside.toString())
     fs = final.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.rename(final, old):
         raise RuntimeError(f"{path} could not be moved")
@@ -42,7 +58,9 @@ def merge(spark: SparkSession, path: str, changes: DataFrame, keys: Sequence[str
 
 
 def merged(table: DataFrame, changes: DataFrame, keys: Sequence[str], deleted: Column | None = None) -> DataFrame:
-    """The table after an upsert: rows not in ``changes``, and the changes themselves; no full outer join is needed."""
+    """The table after an upsert: rows not in ``changes``, and the changes themselves; no full outer join is needed. Two changes of one key are refused."""
+    if changes.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        raise ValueError(f"several changes of one key {list(keys)}")
     on = F.lit(True)
     for k in keys:
         on &= F.col(f"t.{k}").eqNullSafe(F.col(f"c.{k}"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.adjacent import with_previous_of
+
 
 def right_semi(left: DataFrame, right: DataFrame, on: Column | list[str]) -> DataFrame:
     """Rows of ``right`` with a match in ``left``: sides swapped, so it plans as a left semi join."""
@@ -66,26 +68,38 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salts: i
     return spread.join(repeated, [*keys, "__salt"], how).drop("__salt")
 
 
-def interval_join(points: DataFrame, spans: DataFrame, point: str, begin: str, end: str, width: int) -> DataFrame:
-    """Pairs of points and spans with begin <= point < end (numbers): an equi-join on buckets of ``width``, not a nested loop.
+#: Buckets that a span touches at most, about; a longer one goes to a level of wider buckets.
+BUCKETS_PER_SPAN = 64
+
+
+def interval_join(points: DataFrame, spans: DataFrame, point: str, begin: str, end: str, width: float) -> DataFrame:
+    """Pairs of points and spans with begin <= point < end (numbers of any kind): an equi-join on buckets of ``width``, not a nested loop.
 
-    Spans are repeated for each bucket they touch; choose ``width`` near their usual length. Nulls match nothing.
+    Choose ``width`` near the spans' usual length. Spans are repeated for each bucket they touch; one of more than
+    BUCKETS_PER_SPAN buckets goes to a level of buckets that many times as wide, and so on, and points are repeated for each level (found by
+    the greatest length). A bucket that holds very many rows is split by adaptive execution. Nulls and empty spans match nothing; equal rows stay.
     """
-    p = points.withColumn("__bucket", F.floor(F.col(point) / width))
-    touched = F.sequence(F.floor(F.col(begin) / width), F.floor((F.col(end) - 1) / width))
-    s = spans.where(F.col(begin) < F.col(end)).withColumn("__bucket", F.explode(touched))
-    return p.join(s, "__bucket").where((F.col(point) >= F.col(begin)) & (F.col(point) < F.col(end))).drop("__bucket")
+    spans = spans.where(F.col(begin) < F.col(end))
+    length = (F.col(end).cast("double") - F.col(begin).cast("double")) / width
+    level = F.greatest(F.lit(0), F.ceil(F.log(float(BUCKETS_PER_SPAN), F.greatest(length, F.lit(1.0)))) - 1).cast("int")
+    top = spans.agg(F.max(level)).first()[0] or 0
+    wide = lambda c, at: F.floor(F.col(c).cast("double") / (F.pow(F.lit(float(BUCKETS_PER_SPAN)), at) * width))
+    p = points.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumn("__bucket", wide(point, F.col("__level")))
+    s = spans.withColumn("__level", level).withColumn("__bucket", F.explode(F.sequence(wide(begin, F.col("__level")), wide(end, F.col("__level")))))
+    return p.join(s, ["__level", "__bucket"]).where((F.col(point) >= F.col(begin)) & (F.col(point) < F.col(end))).drop("__level", "__bucket")
 
 
 def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: str, right_time: str, values: Sequence[str]) -> DataFrame:
-    """Each left row with the ``values`` of the latest right row of its key at or before its time: one sort by union, no range join."""
-    order = "__time"
-    a = left.withColumn(order, F.col(left_time)).withColumn("__side", F.lit(1)).withColumn("__held", F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType))
-    b = right.select(*on, F.col(right_time).alias(order), F.struct(*values).alias("__held")).withColumn("__side", F.lit(0))
-    both = a.unionByName(b, allowMissingColumns=True)
-    upto = Window.partitionBy(*on).orderBy(order, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    filled = both.withColumn("__last", F.last("__held", ignorenulls=True).over(upto)).where("__side = 1")
-    return filled.select(*left.columns, *[F.col(f"__last.{v}").alias(v) for v in values])
+    """Each left row with the ``values`` of the latest right row of its key at or before its time: sorted ranges of the union, no range join.
+
+    The rows are ranged by key and time, so a key that holds a large share of them spreads over tasks; the last right
+    row is carried from task to task. Null keys equal each other, null times match nothing. Of right rows of one key and time any counts.
+    """
+    a = left.withColumns({"__time": F.col(left_time), "__side": F.lit(1), "__held": F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType)})
+    b = right.where(F.col(right_time).isNotNull()).select(*on, F.col(right_time).alias("__time"), F.struct(*values).alias("__held"), F.lit(0).alias("__side"))
+    both = with_previous_of(a.unionByName(b, allowMissingColumns=True), on, ["__time", "__side"], ["__held"], F.col("__side") == 0, "__last")
+    last = F.when(F.col("__time").isNotNull(), F.col("__last__held"))
+    return both.where("__side = 1").select(*left.columns, *[last[v].alias(v) for v in values])
 
 
 def star(df: DataFrame, ilike: str | None = None, exclude: Sequence[str] = (), replace: dict[str, Column] | None = None, rename: dict[str, str] | None = None) -> DataFrame:

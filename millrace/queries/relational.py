@@ -111,9 +111,9 @@ def join_salted(spark, folder):
 
 
 def join_interval(spark, folder):
-    """Points in intervals by an equi-join on buckets."""
-    o = load(spark, folder, "orders").select("o_orderkey", F.col("o_totalprice").cast("bigint").alias("price"))
-    bands = load(spark, folder, "nation").selectExpr("n_nationkey", "cast(n_nationkey * 15000 AS bigint) AS low", "cast(n_nationkey * 15000 + 20000 AS bigint) AS high")
+    """Points in intervals with fractional ends, short and long ones, by an equi-join on buckets."""
+    o = load(spark, folder, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"))
+    bands = load(spark, folder, "nation").selectExpr("n_nationkey", "n_nationkey * 15000.25D AS low", "CASE WHEN n_nationkey = 24 THEN 1.0E9D ELSE n_nationkey * 15000.25D + 20000.5D END AS high")
     return ops.interval_join(o, bands, "price", "low", "high", 20000).select("o_orderkey", "n_nationkey")
 
 
@@ -301,7 +301,7 @@ ORACLES = _SQL_ORACLES | {
     "join_right_anti": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
     "join_with_structs": "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
     "join_salted": "SELECT event_type, event_id, count(*) OVER (PARTITION BY event_type) AS of_type FROM events",
-    "join_interval": "SELECT o_orderkey, n_nationkey FROM orders JOIN nation ON trunc(o_totalprice) >= n_nationkey * 15000 AND trunc(o_totalprice) < n_nationkey * 15000 + 20000",
+    "join_interval": "SELECT o_orderkey, n_nationkey FROM orders JOIN nation ON o_totalprice >= n_nationkey * 15000.25::DOUBLE AND o_totalprice < CASE WHEN n_nationkey = 24 THEN 1e9::DOUBLE ELSE n_nationkey * 15000.25::DOUBLE + 20000.5::DOUBLE END",
     "join_asof": "SELECT l.event_id, r.event_id AS bought FROM (SELECT * FROM events WHERE event_type = 'view') l ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') r ON l.user_id = r.user_id AND l.ts >= r.ts",
     "union_by_name": "SELECT c_nationkey AS k, c_name AS n, NULL::DOUBLE AS bal FROM customer UNION ALL SELECT s_nationkey, s_name, s_acctbal FROM supplier",
     "intersect_all": "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier", "except_all": "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier",

@@ -43,17 +43,25 @@ def dedup_within_watermark(events: DataFrame, time: str, late: str, *keys: str)
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def running_totals(events: DataFrame, key: str, kind: str) -> DataFrame:
-    """Per key the number of rows and the sum of ``value`` so far, kept in custom state: a row per key and batch."""
+def running_totals(events: DataFrame, key: str, kind: str, time: str, late: str, keep: int = 30 * 86_400_000) -> DataFrame:
+    """Per key the number of rows and the sum of ``value`` so far, kept in custom state: a row per key and batch.
+
+    The state of a key whose last row is ``keep`` milliseconds behind the watermark is dropped, so state does not grow for ever; the key then begins anew.
+    """
 
     def update(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, total = state.get if state.exists else (0, 0.0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, total, last = state.get if state.exists else (0, 0.0, 0)
         for part in parts:
-            n, total = n + len(part), total + float(part["value"].sum())
-        state.update((n, total))
+            n, total, last = n + len(part), total + float(part["value"].sum()), max(last, int(part[time].max().timestamp() * 1000))
+        state.update((n, total, last))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + keep)
         yield pd.DataFrame({key: [k[0]], "n": [n], "total": [total]})
 
-    return events.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, n bigint, total double", "n bigint, total double", "update", GroupStateTimeout.NoTimeout)
+    grouped = events.withWatermark(time, late).select(key, time, "value").groupBy(key)
+    return grouped.applyInPandasWithState(update, f"{key} {kind}, n bigint, total double", "n bigint, total double, last bigint", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:

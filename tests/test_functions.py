@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.accel.script import statements
 from millrace.functions import extras
 from millrace.functions.catalogue import CATALOGUE
+from millrace.operators import dml
 from millrace.operators import relational as ops
 from millrace.operators import statistics as stats
 from millrace.sources import formats
@@ -83,6 +85,28 @@ def test_asof_and_interval_joins(spark):
         assert {(r.p, r.name) for r in ops.interval_join(points, spans, "p", "low", "high", width).collect()} == want
 
 
+def test_interval_join_of_fractions_and_long_spans(spark):
+    rnd = random.Random(8)
+    spans = [(x := round(rnd.uniform(-50, 50), 2), round(x + rnd.choice([0.1, 0.5, 3.25, 40, 3000]), 2), i) for i in range(60)] + [(3.0, 5.5, 99)]
+    points = [(round(rnd.uniform(-60, 200), 2),) for _ in range(200)] + [(5.2,), (3.0,), (5.5,)]
+    s, p = spark.createDataFrame(spans, "low DOUBLE, high DOUBLE, i INT"), spark.createDataFrame(points, "p DOUBLE")
+    want = sorted((x, i) for (x,) in points for lo, hi, i in spans if lo <= x < hi)
+    for width in (0.1, 1, 7.5):
+        assert sorted((r.p, r.i) for r in ops.interval_join(p, s, "p", "low", "high", width).collect()) == want
+    assert ops.interval_join(p, s.limit(0), "p", "low", "high", 1).count() == 0
+
+
+def test_asof_join_of_a_hot_key(spark):
+    rnd = random.Random(9)
+    left = [("hot" if i % 4 else rnd.choice(["a", None]), rnd.choice([None, rnd.randrange(10**4)]), i) for i in range(400)]
+    right = [("hot" if i % 5 else "a", rnd.choice([None, rnd.randrange(10**4)]), i) for i in range(300)]
+    times = {}
+    right = [r for r in right if r[1] is None or times.setdefault(r[:2], r) is r]
+    want = {(i, max(((t, v) for x, t, v in right if x == k and t is not None and at is not None and t <= at), default=(0, None))[1]) for k, at, i in left}
+    a, b = spark.createDataFrame(left, "k STRING, t INT, i INT").repartition(3), spark.createDataFrame(right, "k STRING, at INT, v INT").repartition(3)
+    assert {(r.i, r.v) for r in ops.asof_join(a, b, ["k"], "t", "at", ["v"]).collect()} == want
+
+
 def test_tail_distinct_on_and_range(spark):
     df = frame(spark)
     assert [r.s for r in ops.tail(df.where("s IS NOT NULL"), 2, [F.col("s").asc()]).collect()] == ["b", "c"]
@@ -136,3 +160,15 @@ def test_sort_show_and_plan(spark, folder):
     assert "o_orderkey" in ops.show_string(df, 1) and "-RECORD 0" in ops.show_string(df, 1, 20, True)
     plan = df.where("o_totalprice > 100 AND o_orderstatus = 'F'").select("o_orderkey")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(o_totalprice,100.0)" in plan and "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string,o_totalprice:double>" in plan
+
+
+def test_row_changes_keep_partitions_and_refuse_repeated_keys(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    spark.range(20).selectExpr("id", "id % 3 AS p", "'x' AS q").write.partitionBy("p", "q").parquet(path)
+    assert dml.partition_columns(spark, path) == ["p", "q"]
+    dml.update(spark, path, {"id": F.col("id") + 100}, F.col("p") == 1)
+    assert dml.partition_columns(spark, path) == ["p", "q"] and spark.read.parquet(path).where("id >= 100").count() == 7
+    changes = spark.createDataFrame([(0, 0, "x"), (0, 1, "x")], "id BIGINT, p INT, q STRING")
+    with pytest.raises(ValueError, match="several changes"):
+        dml.merge(spark, path, changes, ["id"])
+    assert spark.read.parquet(path).count() == 20
