@@ -29,6 +29,8 @@ GROUP = 100_000
 PER_COPY = 256
 #: Cost of a character between two chained matches, in matched characters.
 GAP_COST = 0.05
+#: Most edits of an aligned passage, as a share of its length.
+SHARE = 0.1
 
 
 def sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
@@ -194,17 +196,48 @@ def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
     return score
 
 
-def passages(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]], seed: int, cost: float = GAP_COST) -> list[tuple[int, int, int, int, int, list]]:
+def edits_within(gaps: list[tuple[np.ndarray, np.ndarray]], most: int) -> int | None:
+    """Sum of the edit distances of stretches, or None if it is more than ``most``.
+
+    Where lower bounds alone exceed ``most`` nothing is aligned, and no longer than the distances summed so far leave room.
+    """
+    bounds = [_least_edits(a, b) for a, b in gaps]
+    left = most - sum(bounds)
+    for (a, b), bound in sorted(zip(gaps, bounds, strict=True), key=lambda x: len(x[0][0]) * len(x[0][1])):
+        if left < 0:
+            return None
+        left -= edit_distance(a, b) - bound
+    return most - left if left >= 0 else None
+
+
+def _least_edits(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of the edit distance: an edit changes at most three neighbouring triples of characters on each side."""
+    if not len(a) or not len(b):
+        return max(len(a), len(b))
+    short = abs(len(a) - len(b))
+    if min(len(a), len(b)) < 3:
+        return short
+    code = lambda x: (x[:-2].astype(np.uint64) << np.uint64(42)) ^ (x[1:-1].astype(np.uint64) << np.uint64(21)) ^ x[2:]
+    both = np.concatenate([code(a), code(b)])
+    order = np.argsort(both)
+    signs = np.where(order < len(a) - 2, 1, -1)
+    cuts = np.flatnonzero(np.diff(both[order], prepend=both[order[0]] + np.uint64(1)))
+    apart = int(np.abs(np.add.reduceat(signs, cuts)).sum())
+    return max(short, -(-apart // 6))
+
+
+def passages(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]], seed: int, cost: float = GAP_COST, share: float = SHARE) -> list[tuple[int, int, int, int, int | None, list]]:
     """Aligned passages of two texts: a_start, a_end, b_start, b_end, edits, exact matches.
 
     The anchors' maximal exact matches are chained; in each chain the stretches
-    between consecutive matches are aligned, and the passage's edits are their sum.
+    between consecutive matches are aligned, and the passage's edits are their sum; None if they are more than ``share`` of its longer side.
     """
     out = []
     for path in chain(exact_matches(a, b, anchors, seed), cost):
-        edits = sum(edit_distance(a[p[0] + p[2] : q[0]], b[p[1] + p[2] : q[1]]) for p, q in zip(path, path[1:], strict=False))
         first, last = path[0], path[-1]
-        out.append((first[0], last[0] + last[2], first[1], last[1] + last[2], edits, path))
+        sides = first[0], last[0] + last[2], first[1], last[1] + last[2]
+        gaps = [(a[p[0] + p[2] : q[0]], b[p[1] + p[2] : q[1]]) for p, q in zip(path, path[1:], strict=False)]
+        out.append((*sides, edits_within(gaps, int(share * max(sides[1] - sides[0], sides[3] - sides[2]))), path))
     return out
 
 
@@ -244,7 +277,7 @@ def _anchors(seeds: DataFrame, key: str) -> DataFrame:
     return met.select(F.col("u.d").alias("a"), F.col("v.d").alias("b"), F.col("u.p").alias("x"), F.col("v.p").alias("y"))
 
 
-def _aligned(pairs: DataFrame, packed: DataFrame, key: str, seed: int, emit, schema: str) -> DataFrame:
+def _aligned(pairs: DataFrame, packed: DataFrame, key: str, seed: int, emit, schema: str, share: float = SHARE) -> DataFrame:
     """Bring both texts to each pair (a, b, anchors; written already) and run ``emit`` on its passages.
 
     A text with very many pairs (as ``a``) is repeated, so that its pairs spread over tasks.
@@ -269,7 +302,7 @@ def _aligned(pairs: DataFrame, packed: DataFrame, key: str, seed: int, emit, sch
                 if a != last:
                     last, points = a, _points(packs_a[i].as_py())
                 here = list(zip(xs[cuts[i] : cuts[i + 1]], ys[cuts[i] : cuts[i + 1]], strict=True))
-                rows += emit(a, b, passages(points, _points(packs_b[i].as_py()), here, seed))
+                rows += emit(a, b, passages(points, _points(packs_b[i].as_py()), here, seed, share=share))
             yield from emit.batches(rows)
 
     return met.mapInArrow(run, schema)
@@ -295,13 +328,13 @@ class _ExactRuns:
 
 
 class _Passages:
-    """Passages of at least ``least`` characters on both sides whose edits are at most ``share`` of the longer."""
+    """Passages of at least ``least`` characters on both sides whose edits are within the share."""
 
-    def __init__(self, least: int, share: float, kind: pa.DataType):
-        self.least, self.share, self.kind = least, share, kind
+    def __init__(self, least: int, kind: pa.DataType):
+        self.least, self.kind = least, kind
 
     def __call__(self, a, b, found) -> list[tuple]:
-        return [(a, b, *p[:5]) for p in found if min(p[1] - p[0], p[3] - p[2]) >= self.least and p[4] <= self.share * max(p[1] - p[0], p[3] - p[2])]
+        return [(a, b, *p[:5]) for p in found if min(p[1] - p[0], p[3] - p[2]) >= self.least and p[4] is not None]
 
     def batches(self, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         columns = list(zip(*rows, strict=True)) if rows else [()] * 7
@@ -371,13 +404,16 @@ def _rank(rows: np.ndarray, sought: np.ndarray) -> np.ndarray:
     return np.where(have[spot] == want, spot, -1)
 
 
-def _linked(windows: DataFrame, key: str, by: list[str]) -> DataFrame:
-    """Each window with a partner, an equal window of another text in its group, or null: ``lo`` (the least member) and ``partner``."""
+def _linked(windows: DataFrame, key: str, how: str, *by: str) -> DataFrame:
+    """Windows that another text holds too, with ``lo``, their group's least member, and a partner of another text. With ``how`` left all windows, nulls for the others.
+
+    One shuffle serves the groups and the join back. Groups are of bounded size, and so is a task.
+    """
     spread = windows.repartition(*by)
-    member = F.struct(F.col(key).alias("d"), F.col("s").alias("p"))
-    held = spread.groupBy(*by).agg(F.min(member).alias("lo"), F.max(member).alias("hi"))
-    partner = F.when(F.col("lo.d") == F.col("hi.d"), None).when(F.col(key) == F.col("lo.d"), F.col("hi")).otherwise(F.col("lo"))
-    return spread.join(held, by).withColumn("partner", partner).drop("hi")
+    held = spread.groupBy(*by).agg(F.min(key).alias("ld"), F.min_by("s", key).alias("lp"), F.max(key).alias("hd"), F.max_by("s", key).alias("hp")).where("ld <> hd").hint("shuffle_hash")
+    lo, hi = F.struct(F.col("ld").alias("d"), F.col("lp").alias("p")), F.struct(F.col("hd").alias("d"), F.col("hp").alias("p"))
+    found = F.col("ld").isNotNull()
+    return spread.join(held, [*by], how).select(*windows.columns, F.when(found, lo).alias("lo"), F.when(found, F.when(F.col(key) == F.col("ld"), hi).otherwise(lo)).alias("partner"))
 
 
 def _links(windows: DataFrame, key: str, split: bool) -> DataFrame:
@@ -386,13 +422,12 @@ def _links(windows: DataFrame, key: str, split: bool) -> DataFrame:
     A group of equal windows within a bucket links all members to its least one. Where
     buckets split a seed, those who found no partner and the least of each group meet again over all buckets.
     """
-    near = _linked(windows, key, ["h", "w", "bucket"])
     if not split:
-        found = near.where("partner IS NOT NULL")
+        found = _linked(windows, key, "inner", "w", "h", "bucket")
     else:
-        near = stash(near, "near")
+        near = stash(_linked(windows, key, "left", "w", "h", "bucket"), "near")
         alone = near.where("split AND (partner IS NULL OR (lo.d = " + f"`{key}`" + " AND lo.p = s))").drop("lo", "partner")
-        found = near.where("partner IS NOT NULL").unionByName(_linked(alone, key, ["h", "w"]).where("partner IS NOT NULL"))
+        found = near.where("partner IS NOT NULL").unionByName(_linked(alone, key, "inner", "w", "h"))
     served = (F.col("lo.d") == F.col(key)) & (F.col("lo.p") == F.col("s"))
     return found.select(key, "s", "echo", F.when(~served, F.col("partner")).alias("partner"))
 
@@ -464,7 +499,7 @@ def merge_spans(spans: DataFrame, key: str) -> DataFrame:
     return grouped.groupBy(key, "island").agg(F.min("s").alias("span_start"), F.max("e").alias("span_end")).drop("island")
 
 
-def fuzzy_passages(documents: DataFrame, least: int = 200, share: float = 0.1, key: str = "doc_id", text: str = "text", window: int = 150, seed: int = 50, paired: int = PAIRED) -> DataFrame:
+def fuzzy_passages(documents: DataFrame, least: int = 200, share: float = SHARE, key: str = "doc_id", text: str = "text", window: int = 150, seed: int = 50, paired: int = PAIRED) -> DataFrame:
     """Pairs of texts with passages that agree up to edits: a, b, their ranges and the edits.
 
     Passages are chains of exact seed matches with the stretches between them
@@ -477,4 +512,4 @@ def fuzzy_passages(documents: DataFrame, least: int = 200, share: float = 0.1, k
     arrow = {"bigint": pa.int64(), "int": pa.int32()}.get(documents.schema[key].dataType.simpleString(), pa.string())
     found = TextPairs(documents, window, key, text, seed, paired)
     schema = f"a {found.kind}, b {found.kind}, a_start int, a_end int, b_start int, b_end int, edits int"
-    return _aligned(found.pairs, found.packed, key, seed, _Passages(least, share, arrow), schema)
+    return _aligned(found.pairs, found.packed, key, seed, _Passages(least, arrow), schema, share)

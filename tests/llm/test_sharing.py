@@ -112,6 +112,16 @@ def test_edit_distance():
         assert sharing.edit_distance(*(np.array([*map(ord, x)], dtype=np.uint32) for x in (a, b))) == want
 
 
+def test_edits_are_summed_up_to_a_bound():
+    rnd = random.Random(2)
+    points = lambda: np.array([rnd.randrange(4) for _ in range(rnd.randrange(12))], dtype=np.uint32)
+    for _ in range(300):
+        gaps = [(points(), points()) for _ in range(rnd.randrange(4))]
+        total = sum(sharing.edit_distance(a, b) for a, b in gaps)
+        for most in range(total + 3):
+            assert sharing.edits_within(gaps, most) == (total if total <= most else None)
+
+
 def test_altered_passages_are_found(spark):
     rnd = random.Random(12)
     noise = lambda n: "".join(rnd.choice("abcdefghijklmnop ") for _ in range(n))
