@@ -16,7 +16,7 @@ CATALOGUE: dict[str, tuple[str, str, list[tuple[str, str, str | None]]]] = {
         ("array_append", "array_append(array(vec_id), 7L)", "list_append([vec_id], 7::BIGINT)"),
         ("array_compact", "array_compact(array(vec_id, NULL, 3L))", "list_filter([vec_id, NULL, 3], lambda x: x IS NOT NULL)"),
         ("array_contains", "array_contains(array(label, 3), 3)", "list_contains([label, 3], 3)"),
-        ("array_contains_all", "array_contains_all(array(label, 3, 4), array(3, label))", "true"),
+        ("array_contains_all", "array_contains_all(array(label, 3, 4), array(3, 5))", "label = 5"),
         ("array_distinct", "sort_array(array_distinct(array(label, label, 2)))", "list_sort(list_distinct([label, label, 2]))"),
         ("array_except", "array_except(array(label, 2, 3), array(2, 3))", "CASE WHEN label IN (2, 3) THEN []::INT[] ELSE [label] END"),
         ("array_insert", "array_insert(array(1L, 2L), 2, vec_id)", "[1, vec_id, 2]"),
@@ -48,7 +48,7 @@ CATALOGUE: dict[str, tuple[str, str, list[tuple[str, str, str | None]]]] = {
     "collection": ("embeddings", "vec_id", [
         ("cardinality", "cardinality(embedding)", "len(embedding)"), ("deep_size", "deep_size(array(array(label, 1), array(2)))", "3"),
         ("element_at", "round(cast(element_at(embedding, -1) AS double), 5)", "round(embedding[-1]::DOUBLE, 5)"), ("size", "size(embedding)", "len(embedding)"), ("size_null", "size(cast(NULL AS array<int>))", "NULL::INT"),
-        ("concat", "concat(array(label), array(1, 2))", "list_concat([label], [1, 2])"), ("reverse", "reverse(array(label, 1, 2))", "[2, 1, label]"), ("try_element_at", "try_element_at(array(label), 5)", "NULL::INT"),
+        ("concat", "concat(array(label), array(1, 2))", "list_concat([label], [1, 2])"), ("reverse", "reverse(array(label, 1, 2))", "[2, 1, label]"), ("try_element_at", "try_element_at(array(label, 7), label + 1)", "CASE WHEN label = 0 THEN 0 WHEN label = 1 THEN 7 END"),
     ]),
     "conditional": ("orders", "o_orderkey", [
         ("coalesce", "coalesce(nullif(o_orderstatus, 'F'), 'none')", SAME), ("if", "if(o_totalprice > 1000, 'a', 'b')", "CASE WHEN o_totalprice > 1000 THEN 'a' ELSE 'b' END"),
@@ -79,11 +79,11 @@ CATALOGUE: dict[str, tuple[str, str, list[tuple[str, str, str | None]]]] = {
         ("months_between", "months_between(date'2020-03-31', date'2020-01-31')", "2.0"), ("next_day", "next_day(date'2015-01-14', 'TU')", "DATE '2015-01-20'"), ("now", "now() > timestamp'2024-01-01'", "true"), ("quarter", "quarter(o_orderdate)", SAME), ("second", "second(o_orderdate + INTERVAL 9 SECOND)", SAME),
         ("timestamp_micros", "cast(timestamp_micros(o_orderkey) AS timestamp_ntz)", "make_timestamp(o_orderkey)"), ("timestamp_millis", "cast(timestamp_millis(o_orderkey) AS timestamp_ntz)", "make_timestamp(o_orderkey * 1000)"), ("timestamp_seconds", "cast(timestamp_seconds(o_orderkey) AS timestamp_ntz)", "make_timestamp(o_orderkey * 1000000)"), ("to_date", "to_date('2016-12-31', 'yyyy-MM-dd')", "DATE '2016-12-31'"),
         ("to_timestamp", "cast(to_timestamp('2016-12-31 01:02:03') AS timestamp_ntz)", "TIMESTAMP '2016-12-31 01:02:03'"), ("to_timestamp_ltz", "cast(to_timestamp_ltz('2016-12-31') AS timestamp_ntz)", "TIMESTAMP '2016-12-31'"), ("to_timestamp_ntz", "to_timestamp_ntz('2016-12-31')", "TIMESTAMP '2016-12-31'"), ("to_unix_timestamp", "to_unix_timestamp(o_orderdate)", "epoch(o_orderdate)::BIGINT"), ("to_utc_timestamp", "cast(to_utc_timestamp(o_orderdate, 'Asia/Tokyo') AS timestamp_ntz)", "o_orderdate - INTERVAL 9 HOUR"),
-        ("trunc", "trunc(o_orderdate, 'YEAR')", "date_trunc('year', o_orderdate)::DATE"), ("try_to_timestamp", "try_to_timestamp('no', 'yyyy')", "NULL::TIMESTAMP"), ("unix_date", "unix_date(date(o_orderdate))", "datediff('day', DATE '1970-01-01', o_orderdate::DATE)::INT"), ("unix_micros", "unix_micros(cast(o_orderdate AS timestamp))", "epoch_us(o_orderdate)"), ("unix_millis", "unix_millis(cast(o_orderdate AS timestamp))", "epoch_ms(o_orderdate)"), ("unix_seconds", "unix_seconds(cast(o_orderdate AS timestamp))", "epoch(o_orderdate)::BIGINT"),
+        ("trunc", "trunc(o_orderdate, 'YEAR')", "date_trunc('year', o_orderdate)::DATE"), ("try_to_timestamp", "cast(try_to_timestamp(CASE WHEN o_orderkey % 2 = 0 THEN cast(o_orderdate AS string) ELSE 'no' END) AS timestamp_ntz)", "CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate::TIMESTAMP END"), ("unix_date", "unix_date(date(o_orderdate))", "datediff('day', DATE '1970-01-01', o_orderdate::DATE)::INT"), ("unix_micros", "unix_micros(cast(o_orderdate AS timestamp))", "epoch_us(o_orderdate)"), ("unix_millis", "unix_millis(cast(o_orderdate AS timestamp))", "epoch_ms(o_orderdate)"), ("unix_seconds", "unix_seconds(cast(o_orderdate AS timestamp))", "epoch(o_orderdate)::BIGINT"),
         ("unix_timestamp", "unix_timestamp(o_orderdate)", "epoch(o_orderdate)::BIGINT"), ("weekday", "weekday(o_orderdate)", "isodow(o_orderdate) - 1"), ("weekofyear", "weekofyear(o_orderdate)", SAME), ("year", "year(o_orderdate)", SAME),
     ]),
     "hash": ("orders", "o_orderkey", [
-        ("crc32", "crc32('Spark')", "1557323817"), ("hash", "hash(1)", "-559580957"), ("md5", "md5(o_orderpriority)", SAME), ("sha", "sha(o_orderpriority)", "sha1(o_orderpriority)"), ("sha1", "sha1(o_orderpriority)", SAME), ("sha2", "sha2(o_orderpriority, 256)", "sha256(o_orderpriority)"), ("xxhash64", "xxhash64(o_orderkey) = xxhash64(o_orderkey, NULL)", "true"),
+        ("crc32", "crc32('Spark')", "1557323817"), ("crc32_told_apart", "crc32(o_orderpriority) = crc32('1-URGENT')", "o_orderpriority = '1-URGENT'"), ("hash", "hash(1)", "-559580957"), ("md5", "md5(o_orderpriority)", SAME), ("sha", "sha(o_orderpriority)", "sha1(o_orderpriority)"), ("sha1", "sha1(o_orderpriority)", SAME), ("sha2", "sha2(o_orderpriority, 256)", "sha256(o_orderpriority)"), ("xxhash64", "xxhash64(o_orderpriority) = xxhash64('1-URGENT', NULL)", "o_orderpriority = '1-URGENT'"),
     ]),
     "json": ("events", "event_id", [
         ("from_json", "from_json(props, 'k BIGINT').k", "(props->>'$.k')::BIGINT"), ("get_json_object", "get_json_object(props, '$.k')", "props->>'$.k'"), ("json_array_length", "json_array_length('[1,2,3]')", "3"), ("json_object_keys", "json_object_keys(props)", "json_keys(props)"),
@@ -91,7 +91,7 @@ CATALOGUE: dict[str, tuple[str, str, list[tuple[str, str, str | None]]]] = {
     ]),
     "lambda": ("embeddings", "vec_id", [
         ("aggregate", "aggregate(array(label, 5), 0, (a, x) -> a + x)", "label + 5"), ("array_sort", "array_sort(array(3, label, 1), (a, b) -> b - a)", "list_reverse_sort([3, label, 1])"), ("exists", "exists(embedding, x -> x > 1)", "len(list_filter(embedding, lambda x: x > 1)) > 0"), ("filter", "size(filter(embedding, x -> x > 0))", "len(list_filter(embedding, lambda x: x > 0))"),
-        ("forall", "forall(embedding, x -> x > -100)", "true"), ("map_filter", "map_keys(map_filter(map(1, label, 2, 100), (k, v) -> v > 50))", "[2]"), ("map_zip_with", "map_values(map_zip_with(map(1, label), map(1, 2), (k, a, b) -> a + b))", "[label + 2]"), ("reduce", "reduce(array(label, 1), 0, (a, x) -> a + x)", "label + 1"),
+        ("forall", "forall(array(label, 3), x -> x > 4 OR x = 3)", "label > 4 OR label = 3"), ("map_filter", "map_keys(map_filter(map(1, label, 2, 100), (k, v) -> v > 50))", "[2]"), ("map_zip_with", "map_values(map_zip_with(map(1, label), map(1, 2), (k, a, b) -> a + b))", "[label + 2]"), ("reduce", "reduce(array(label, 1), 0, (a, x) -> a + x)", "label + 1"),
         ("transform", "transform(array(label, 1), x -> x * 2)", "[label * 2, 2]"), ("transform_keys", "map_keys(transform_keys(map(label, 1), (k, v) -> k + 1))", "[label + 1]"), ("transform_values", "map_values(transform_values(map(1, label), (k, v) -> v + 1))", "[label + 1]"), ("zip_with", "zip_with(array(label), array(2), (a, b) -> a * b)", "[label * 2]"),
     ]),
     "map": ("events", "event_id", [
@@ -101,12 +101,12 @@ CATALOGUE: dict[str, tuple[str, str, list[tuple[str, str, str | None]]]] = {
     "math": ("orders", "o_orderkey", [
         ("mod_op", "o_orderkey % 7", SAME), ("mul", "o_orderkey * 3", SAME), ("add", "o_orderkey + 3", SAME), ("sub", "o_orderkey - 3", SAME), ("divide", "round(o_orderkey / 4, 6)", SAME), ("divide_zero", "o_totalprice / 0", "NULL::DOUBLE"),
         ("abs", "abs(o_orderkey - 100)", SAME), ("acos", "round(acos(1 / (1 + o_orderkey)), 6)", SAME), ("acosh", "round(acosh(1 + o_orderkey), 6)", SAME), ("asin", "round(asin(1 / (1 + o_orderkey)), 6)", SAME), ("asinh", "round(asinh(o_orderkey), 6)", SAME), ("atan", "round(atan(o_orderkey), 6)", SAME), ("atan2", "round(atan2(o_orderkey, 3), 6)", SAME), ("atanh", "round(atanh(1 / (2 + o_orderkey)), 6)", SAME),
-        ("bin", "bin(o_orderkey)", "bin(o_orderkey)"), ("bround", "bround(2.5D, 0)", "2.0::DOUBLE"), ("cbrt", "round(cbrt(o_orderkey), 6)", SAME), ("ceil", "ceil(o_totalprice)", "ceil(o_totalprice)::BIGINT"), ("ceiling", "ceiling(o_totalprice)", "ceil(o_totalprice)::BIGINT"), ("conv", "conv(o_orderkey, 10, 16)", "printf('%X', o_orderkey)"), ("cos", "round(cos(o_orderkey), 6)", SAME), ("cosh", "round(cosh(o_orderkey % 5), 6)", SAME),
+        ("bin", "bin(o_orderkey)", "bin(o_orderkey)"), ("bround", "bround(o_orderkey / 2, 0)", "round_even(o_orderkey / 2, 0)"), ("cbrt", "round(cbrt(o_orderkey), 6)", SAME), ("ceil", "ceil(o_totalprice)", "ceil(o_totalprice)::BIGINT"), ("ceiling", "ceiling(o_totalprice)", "ceil(o_totalprice)::BIGINT"), ("conv", "conv(o_orderkey, 10, 16)", "printf('%X', o_orderkey)"), ("cos", "round(cos(o_orderkey), 6)", SAME), ("cosh", "round(cosh(o_orderkey % 5), 6)", SAME),
         ("cot", "round(cot(1 + o_orderkey % 3), 6)", SAME), ("csc", "round(csc(1 + o_orderkey % 3), 6)", "round(1 / sin(1 + o_orderkey % 3), 6)"), ("degrees", "round(degrees(o_orderkey), 4)", SAME), ("div", "o_orderkey div 7", "o_orderkey // 7"), ("e", "round(e(), 9)", "2.718281828::DOUBLE"), ("exp", "round(exp(o_orderkey % 5), 6)", SAME), ("expm1", "round(expm1(o_orderkey % 5), 6)", "round(exp(o_orderkey % 5) - 1, 6)"), ("factorial", "factorial(cast(o_orderkey % 10 AS int))", "factorial((o_orderkey % 10)::INT)::BIGINT"), ("floor", "floor(o_totalprice)", "floor(o_totalprice)::BIGINT"),
         ("greatest", "greatest(o_orderkey, o_custkey, NULL)", SAME), ("hex", "hex(o_orderkey)", "printf('%X', o_orderkey)"), ("hypot", "round(hypot(o_orderkey, 3), 5)", "round(sqrt(o_orderkey * o_orderkey + 9), 5)"), ("least", "least(o_orderkey, o_custkey)", SAME), ("ln", "round(ln(o_orderkey + 1), 6)", SAME), ("ln_zero", "ln(0)", "NULL::DOUBLE"), ("log", "round(log(2, o_orderkey + 1), 6)", "round(ln(o_orderkey + 1) / ln(2), 6)"), ("log10", "round(log10(o_orderkey + 1), 6)", SAME), ("log1p", "round(log1p(o_orderkey), 6)", "round(ln(1 + o_orderkey), 6)"), ("log2", "round(log2(o_orderkey + 1), 6)", SAME),
         ("mod", "mod(o_orderkey, 7)", SAME), ("negative", "negative(o_orderkey)", "-o_orderkey"), ("pi", "round(pi(), 9)", SAME), ("pmod", "pmod(-o_orderkey, 7)", "((-o_orderkey % 7) + 7) % 7"), ("positive", "positive(o_orderkey)", "o_orderkey"), ("pow", "round(pow(o_orderkey % 9, 3), 6)", SAME), ("power", "round(power(o_orderkey % 9, 2), 6)", SAME), ("radians", "round(radians(o_orderkey), 6)", SAME), ("rand", "rand(1) BETWEEN 0 AND 1", "true"), ("randn", "isnotnull(randn(1))", "true"), ("random", "random() < 1", "true"),
-        ("random_poisson", "random_poisson(2.0, 7) >= 0", "true"), ("rint", "rint(2.5)", "2.0::DOUBLE"), ("round", "round(o_totalprice, 1)", SAME), ("sec", "round(sec(o_orderkey % 3), 6)", "round(1 / cos(o_orderkey % 3), 6)"), ("sign", "sign(o_orderkey - 9)", "sign(o_orderkey - 9)::DOUBLE"), ("signum", "signum(o_orderkey - 9)", "sign(o_orderkey - 9)::DOUBLE"), ("sin", "round(sin(o_orderkey), 6)", SAME), ("sinh", "round(sinh(o_orderkey % 5), 6)", SAME), ("sqrt", "round(sqrt(o_orderkey), 6)", SAME), ("tan", "round(tan(o_orderkey % 3), 6)", SAME), ("tanh", "round(tanh(o_orderkey), 6)", SAME),
-        ("try_add", "try_add(9223372036854775807, o_orderkey + 1)", "NULL::BIGINT"), ("try_divide", "try_divide(o_orderkey, 0)", "NULL::DOUBLE"), ("try_multiply", "try_multiply(9223372036854775807, o_orderkey + 2)", "NULL::BIGINT"), ("try_mod", "try_mod(o_orderkey, 0)", "NULL::BIGINT"), ("try_subtract", "try_subtract(o_orderkey, 1)", "o_orderkey - 1"), ("unhex", "unhex(hex(o_orderkey + 4096)) IS NOT NULL", "true"), ("width_bucket", "width_bucket(o_totalprice, 0, 500000, 10)", "floor(o_totalprice / 50000)::BIGINT + 1"),
+        ("random_poisson", "random_poisson(2.0, 7) >= 0", "true"), ("rint", "rint(o_orderkey / 2)", "round_even(o_orderkey / 2, 0)"), ("round", "round(o_totalprice, 1)", SAME), ("sec", "round(sec(o_orderkey % 3), 6)", "round(1 / cos(o_orderkey % 3), 6)"), ("sign", "sign(o_orderkey - 9)", "sign(o_orderkey - 9)::DOUBLE"), ("signum", "signum(o_orderkey - 9)", "sign(o_orderkey - 9)::DOUBLE"), ("sin", "round(sin(o_orderkey), 6)", SAME), ("sinh", "round(sinh(o_orderkey % 5), 6)", SAME), ("sqrt", "round(sqrt(o_orderkey), 6)", SAME), ("tan", "round(tan(o_orderkey % 3), 6)", SAME), ("tanh", "round(tanh(o_orderkey), 6)", SAME),
+        ("try_add", "try_add(o_orderkey, CASE WHEN o_orderkey % 1000 = 1 THEN 9223372036854775807 ELSE 5 END)", "CASE WHEN o_orderkey % 1000 = 1 AND o_orderkey > 0 THEN NULL WHEN o_orderkey % 1000 = 1 THEN 9223372036854775807 ELSE o_orderkey + 5 END"), ("try_divide", "try_divide(o_orderkey, o_orderkey % 4)", "CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey / (o_orderkey % 4) END"), ("try_multiply", "try_multiply(o_orderkey + 2, CASE WHEN o_orderkey % 1000 = 1 THEN 9223372036854775807 ELSE 3 END)", "CASE WHEN o_orderkey % 1000 <> 1 THEN (o_orderkey + 2) * 3 END"), ("try_mod", "try_mod(o_orderkey, o_orderkey % 4)", "CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % (o_orderkey % 4) END"), ("try_subtract", "try_subtract(o_orderkey, 1)", "o_orderkey - 1"), ("unhex", "cast(unhex(hex(o_orderpriority)) AS string)", "o_orderpriority"), ("width_bucket", "width_bucket(o_totalprice, 0, 500000, 10)", "floor(o_totalprice / 50000)::BIGINT + 1"),
     ]),
     "misc": ("orders", "o_orderkey", [
         ("aes_encrypt", "cast(aes_decrypt(aes_encrypt(o_orderpriority, '0000111122223333'), '0000111122223333') AS string)", "o_orderpriority"), ("aes_decrypt", "cast(aes_decrypt(aes_encrypt(o_orderstatus, '0000111122223333', 'ECB'), '0000111122223333', 'ECB') AS string)", "o_orderstatus"), ("assert_true", "assert_true(o_orderkey >= 0) IS NULL", "true"), ("bitmap_bit_position", "bitmap_bit_position(o_orderkey + 1)", "o_orderkey % 32768"), ("bitmap_bucket_number", "bitmap_bucket_number(o_orderkey + 1)", "o_orderkey // 32768 + 1"), ("bitmap_count", "bitmap_count(X'FFFF')", "16"),
@@ -131,6 +131,6 @@ CATALOGUE: dict[str, tuple[str, str, list[tuple[str, str, str | None]]]] = {
         ("parse_url", "parse_url('http://userinfo@spark.apache.org/path?query=1#Ref', 'HOST')", "'spark.apache.org'"), ("parse_query", "parse_url(concat('http://h/p?q=', p_size), 'QUERY', 'q')", "p_size::VARCHAR"), ("url_decode", "url_decode(url_encode(p_name))", "p_name"), ("url_encode", "url_encode(p_name)", "replace(url_encode(p_name), '%20', '+')"),
     ]),
     "xml": ("part", "p_partkey", [
-        ("xpath", "xpath('<a><b>b1</b><b>b2</b></a>', 'a/b/text()')", "['b1', 'b2']"), ("xpath_boolean", "xpath_boolean('<a><b>1</b></a>', 'a/b')", "true"), ("xpath_double", "xpath_double(concat('<a>', p_size, '</a>'), 'sum(a)')", "p_size::DOUBLE"), ("xpath_float", "xpath_float(concat('<a>', p_size, '</a>'), 'sum(a)')", "p_size::FLOAT"), ("xpath_int", "xpath_int(concat('<a>', p_size, '</a>'), 'sum(a)')", "p_size"), ("xpath_long", "xpath_long(concat('<a>', p_size, '</a>'), 'sum(a)')", "p_size::BIGINT"), ("xpath_number", "xpath_number(concat('<a>', p_size, '</a>'), 'sum(a)')", "p_size::DOUBLE"), ("xpath_short", "xpath_short('<a>3</a>', 'a')", "3::SMALLINT"), ("xpath_string", "xpath_string(concat('<a>', p_name, '</a>'), 'a')", "p_name"),
+        ("xpath", "xpath('<a><b>b1</b><b>b2</b></a>', 'a/b/text()')", "['b1', 'b2']"), ("xpath_boolean", "xpath_boolean(concat('<a><b>', p_size, '</b></a>'), 'a/b = 2')", "p_size = 2"), ("xpath_double", "xpath_double(concat('<a>', p_size, '</a>'), 'sum(a)')", "p_size::DOUBLE"), ("xpath_float", "xpath_float(concat('<a>', p_size, '</a>'), 'sum(a)')", "p_size::FLOAT"), ("xpath_int", "xpath_int(concat('<a>', p_size, '</a>'), 'sum(a)')", "p_size"), ("xpath_long", "xpath_long(concat('<a>', p_size, '</a>'), 'sum(a)')", "p_size::BIGINT"), ("xpath_number", "xpath_number(concat('<a>', p_size, '</a>'), 'sum(a)')", "p_size::DOUBLE"), ("xpath_short", "xpath_short('<a>3</a>', 'a')", "3::SMALLINT"), ("xpath_string", "xpath_string(concat('<a>', p_name, '</a>'), 'a')", "p_name"),
     ]),
 }
