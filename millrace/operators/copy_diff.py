@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from millrace.operators.presence import PresenceBitmap
 
 #: Rows of both sides together that one group compares, about; bounds its memory, and spans several bitmap containers.
-ROWS_PER_CHUNK = 1 << 18
+ROWS_PER_CHUNK = 1 << 17
 LEFT_ONLY, RIGHT_ONLY = "only_source", "only_local"
 
 
