@@ -112,11 +112,11 @@ def cast_step(v: Column, kind: str) -> tuple[Column, Column]:
         low, n = F.lower(F.trim(v)), F.trim(v).try_cast("decimal(38,18)")
         return F.when(low.isin(*TRUE) | (n == 1), "true").when(low.isin(*FALSE) | (n == 0), "false"), F.lit(False)
     if kind in INTEGER:
-        exact = _number(v).try_cast("decimal(38,18)")
+        plain = F.trim(v).try_cast(INTEGER[kind])
         whole = F.coalesce(_number(v).try_cast("decimal(38,0)"), F.round(_number(v).try_cast("double")).try_cast("decimal(38,0)"))
-        fits = whole.try_cast(INTEGER[kind])
+        fits = F.coalesce(plain, whole.try_cast(INTEGER[kind]))
         fits = F.when((fits >= 0) & (fits < 2 ** int(kind[4:])), fits) if kind.startswith("u") else fits
-        return fits.cast("string"), F.coalesce(exact != fits, F.lit(False))
+        return fits.cast("string"), plain.isNull() & F.coalesce(_number(v).try_cast("decimal(38,18)") != fits, F.lit(False))
     if found := re.fullmatch(r"decimal\d+\((\d+), (-?\d+)\)", kind):
         precision, scale = map(int, found.groups())
         if not 0 <= scale <= precision <= 38:
@@ -141,11 +141,12 @@ def cast_chain(value: Column, chain: Column, kinds: list[str]) -> Column:
     """A value's text taken through a chain of kinds, one after the other: struct (v, notes: what each step refused or altered)."""
 
     def under(v: Column, kind: Column) -> Column:
-        made = F.struct(v.alias("v"), F.lit(False).alias("other"))
-        for k in kinds:
+        made = same = F.struct(v.alias("v"), F.lit(False).alias("other"))
+        free = [k for k in kinds if k in ("string", "binary")]
+        for k in sorted(set(kinds) - set(free), key=lambda k: k in INTEGER):
             new, other = cast_step(v, k)
             made = F.when(kind == k, F.struct(new.alias("v"), other.alias("other"))).otherwise(made)
-        return made
+        return F.when(kind.isin(*free), same).otherwise(made) if free else made
 
     def step(held: Column, kind: Column) -> Column:
         made = F.transform(F.array(under(held["v"], kind)), lambda m: F.struct(
