@@ -24,10 +24,16 @@ from millrace.session import configure
 UPDATE_COLUMNS = ["lastupdatetime", "last_update_time", "last_updated", "last_modified", "updated_at", "update_time", "modified_at", "modify_time", "gmt_modified", "mtime"]
 SMART_TOP, HOT_DAYS = 10, 7
 UNSTABLE = re.compile(r"current_timestamp|current_date|localtimestamp|now\(|uuid|rand\(|randn\(|shuffle\(|current_user|monotonically|spark_partition|input_file", re.I)
-TOKEN = re.compile(r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|--[^\n]*|/\*.*?\*/)|((?:`[^`]+`|\w+)(?:\s*\.\s*(?:`[^`]+`|\w+)){2})""", re.S)
+TOKEN = re.compile(r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|--[^\n]*|/\*.*?\*/)|((?:`[^`]+`|\w+)(?:\s*\.\s*(?:`[^`]+`|\w+)){2})(?:\s+(?:FOR\s+)?(?:SYSTEM_)?(VERSION|TIME(?:STAMP)?)\s+AS\s+OF\s+('[^']*'|\d+))?""", re.S | re.I)
 CREATE = re.compile(r"^\s*CREATE\s+CATALOG\s+(\w+)\s+USING\s+(\S+?)(?:\s+COMMENT\s+'([^']*)')?(?:\s+PROPERTIES\s*\((.*)\))?\s*;?\s*$", re.I | re.S)
 
 
+def _instant(text: str) -> str:
+    """A time (UTC where no zone is given) as the store writes it."""
+    at = datetime.datetime.fromisoformat(text)
+    return (at if at.tzinfo else at.replace(tzinfo=datetime.UTC)).astimezone(datetime.UTC).isoformat()
+
+
 class Engine:
     """Entry point of the acceleration layer.
 
@@ -157,17 +163,21 @@ class Engine:
             parts = [p.strip().strip("`") for p in re.split(r"\.(?=(?:[^`]*`[^`]*`)*[^`]*$)", match.group(2))]
             if parts[0] not in catalogs:
                 return match.group(0)
-            name, view = ".".join(parts), "__".join(["millrace", *parts])
-            if name not in used:
-                found = self._chosen(parts[0], ".".join(parts[1:]))
-                used[name] = found["version"] if found else None
-                self.table(name).createOrReplaceTempView(view)
+            name, at, view = ".".join(parts), {}, "__".join(["millrace", *parts])
+            if kind := match.group(3):
+                value = match.group(4).strip("'")
+                at = {"version": int(value)} if kind.upper() == "VERSION" else {"as_of": _instant(value)}
+                view += "__" + re.sub(r"\W", "_", value)
+            if view not in used:
+                found = self._chosen(parts[0], ".".join(parts[1:]), **at)
+                used[view] = found["version"] if found else None
+                self.table(name, **at).createOrReplaceTempView(view)
             return f"`{view}`"
 
         return TOKEN.sub(swap, text), used
 
     def sql(self, text: str, cached: bool = True) -> DataFrame:
-        """Run one statement. Remote tables are named catalog.schema.table.
+        """Run one statement. Remote tables are named catalog.schema.table; VERSION AS OF n or TIMESTAMP AS OF 'time' (UTC) after the name reads that snapshot.
 
         Every statement is counted under the hash of its canonical plan, so
         spelling does not matter. A SELECT over snapshots only, without functions that
@@ -179,8 +189,9 @@ class Engine:
             pairs = re.findall(r"['\"]?(\w+)['\"]?\s*=\s*['\"]?([^'\",]+(?:,[^'\",=]+(?![^,]*=))*)['\"]?", properties or "")
             self.tasks.wait_for(self.create_catalog(name, dsn.strip("'\""), {k: v.strip() for k, v in pairs}, comment))
             return self.catalogs()
-        if re.match(r"^\s*SHOW\s+CATALOGS\s*;?\s*$", text, re.I):
-            return self.catalogs()
+        if match := re.match(r"^\s*SHOW\s+CATALOGS(?:\s+(?:LIKE\s+)?'([^']*)')?\s*;?\s*$", text, re.I):
+            names = "|".join(p.strip().replace("*", ".*") for p in (match.group(1) or "*").split("|"))
+            return self.catalogs().where(F.col("name").rlike(f"(?i)^({names})$"))
         began = time.monotonic()
         routed, used = self._routed(text)
         df = self.spark.sql(routed)

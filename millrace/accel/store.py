@@ -16,6 +16,8 @@ class MetadataStore:
 
     def __init__(self, folder: str):
         self.folder, self.lock = folder.removeprefix("file://"), threading.RLock()
+        if "://" in self.folder:
+            raise ValueError(f"the metadata store needs a folder of the driver's file system (which may be a shared mount), not {folder}")
         os.makedirs(self.folder, exist_ok=True)
 
     def read(self, kind: str) -> dict[str, dict]:

@@ -105,8 +105,8 @@ def cache_refresh(spark, folder):
         stamped.where("n_nationkey >= 5").unionByName(later).write.parquet(f"{moved}/nation.parquet")
         source.folder = moved
         engine.refresh(name, "public.nation")
-        now, before = engine.table(f"{name}.public.nation"), engine.table(f"{name}.public.nation", version=1)
-        return now.selectExpr("'now' AS at", "n_nationkey", "n_name").unionByName(before.selectExpr("'before' AS at", "n_nationkey", "n_name"))
+        made = engine.store.snapshots(name, "public.nation")[1]["at"]
+        return engine.sql(f"SELECT 'now' AS at, n_nationkey, n_name FROM {name}.public.nation TIMESTAMP AS OF '{made}' UNION ALL SELECT 'before', n_nationkey, n_name FROM {name}.public.nation VERSION AS OF 1")
     finally:
         engine.close()
 

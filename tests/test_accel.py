@@ -183,3 +183,19 @@ def test_arrow_files_of_several_schemas_keep_every_column(spark, tmp_path):
     save("c.arrow", pa.table({"k": ["text"]}))
     with pytest.raises(pa.ArrowTypeError):
         formats.read_arrow(spark, [str(tmp_path)])
+
+
+def test_catalogs_by_pattern_and_snapshots_by_time(spark, folder, tmp_path):
+    engine = Engine(spark, str(tmp_path), workers=1)
+    for name in ("shop_a", "shop_b", "other"):
+        engine.create_catalog(name, f"parquet://{folder}", {"cache_policy": "select", "table_set": "public.region"}, sync=False)
+    assert [r.name for r in engine.sql("SHOW CATALOGS LIKE 'shop*'").orderBy("name").collect()] == ["shop_a", "shop_b"] and engine.sql("SHOW CATALOGS").count() == 3
+    engine.snapshot("shop_a", "public.region")
+    assert engine.sql("SELECT a.* FROM shop_a.public.region VERSION AS OF 1 a").count() == 5
+    assert engine.sql("SELECT * FROM shop_a.public.region FOR SYSTEM_TIME AS OF '2999-01-01'").count() == 5
+    for late in ("VERSION AS OF 2", "TIMESTAMP AS OF '2001-01-01 00:00:00'"):
+        with pytest.raises(KeyError):
+            engine.sql(f"SELECT * FROM shop_a.public.region {late}")
+    with pytest.raises(ValueError, match="metadata store"):
+        Engine(spark, "hdfs://nn/home")
+    engine.close()
