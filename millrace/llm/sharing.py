@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from millrace.operators.sieve import Sieve, key_hash
 from millrace.session import stash
 
 BLOCK = 1_000_000
+#: Characters that are hashed at a time: the arrays stay in a core's cache.
+TILE = 16_384
 #: Length of a seed.
 SEED = 100
 #: Texts of a seed with more occurrences than this are not all paired: each is linked to one partner for every window that it shares.
@@ -29,6 +32,8 @@ GROUP = 100_000
 PER_COPY = 256
 #: Cost of a character between two chained matches, in matched characters.
 GAP_COST = 0.05
+#: Rounds of an alignment between looks at its bound.
+ROUNDS = 64
 #: Most edits of an aligned passage, as a share of its length.
 SHARE = 0.1
 
@@ -52,7 +57,7 @@ def sketch(points: np.ndarray, starts: np.ndarray, span: int, seed: int) -> tupl
     A seed is selected where it is the least (ties all) of the seeds in some
     window of ``span`` characters of its text. Which seeds a window selects
     depends on its characters alone, so two equal windows select equal seeds at
-    equal offsets: the sample loses no shared window.
+    equal offsets: the sample loses no shared window. This is the definition; ``picked`` finds the same faster.
     """
     hashes = window_hashes(points, seed)
     width = span - seed + 1
@@ -65,6 +70,63 @@ def sketch(points: np.ndarray, starts: np.ndarray, span: int, seed: int) -> tupl
     return hashes, least, inside, np.flatnonzero((greatest == hashes) & (greatest > 0))
 
 
+def hashes_of(points: np.ndarray, size: int) -> np.ndarray:
+    """``window_hashes``, tile by tile."""
+    out = np.empty(max(0, len(points) - size + 1), dtype=np.uint64)
+    for at in range(0, len(out), TILE):
+        out[at : at + TILE] = window_hashes(points[at : at + TILE + size - 1], size)
+    return out
+
+
+def _nearest(before: np.ndarray, part: np.ndarray, place: np.ndarray, width: int, passes: np.ufunc) -> np.ndarray:
+    """Where the nearest earlier row of the same part is over which a row does not pass, by jumps; -1, or a row of another part or ``width`` away, if none is nearer."""
+    found = np.arange(len(before)) - 1
+    todo = np.arange(1, len(before))
+    while len(todo):
+        p = found[todo]
+        on = (p >= 0) & (part[p] == part[todo]) & (place[todo] - place[p] < width) & passes(before[p], before[todo])
+        todo = todo[on]
+        found[todo] = found[p[on]]
+    return found
+
+
+def picked(points: np.ndarray, starts: np.ndarray, span: int, seed: int) -> tuple[np.ndarray, ...]:
+    """The positions that ``sketch`` selects, their text and hash, and the first and the last window of which each is the first least seed (last < first: of none).
+
+    Of the seeds around a selected one, at least half a window on one side is
+    not less. By the least of whole blocks this leaves few candidates. Each window's least seed is one of them, so
+    which windows a candidate is the least of follows from the nearest less ones.
+    """
+    hashes, width = hashes_of(points, seed), span - seed + 1
+    half, n = width // 2, len(hashes)
+    step = max(1, half // 5)
+    whole = (half - step + 1) // step
+    grid = np.full((-(-n // step), step), np.iinfo(np.uint64).max)
+    grid.reshape(-1)[:n] = hashes
+    bar = np.full(len(grid), 0 if whole else np.iinfo(np.uint64).max, dtype=np.uint64)
+    if 0 < whole < len(grid):
+        floor = grid.min(axis=1)
+        run = np.minimum.reduce([floor[k : len(grid) - whole + 1 + k] for k in range(whole)])
+        bar[: -whole] = run[1:]
+        bar[whole:] = np.maximum(bar[whole:], run[:-1])
+    at = np.flatnonzero((grid <= bar[:, None]).reshape(-1)[:n])
+    part = np.searchsorted(starts, at, "right") - 1
+    good = at + seed <= starts[part + 1]
+    at, part = at[good], part[good]
+    least = hashes[at]
+
+    def side(least: np.ndarray, part: np.ndarray, place: np.ndarray, passes: np.ufunc, edge: np.ndarray) -> np.ndarray:
+        p = _nearest(least, part, place, width, passes)
+        return np.where((p >= 0) & (part[p] == part), place[p] + 1, edge)
+
+    begin = side(least, part, at, np.greater_equal, starts[part])
+    first = side(least, part, at, np.greater, starts[part])
+    end = -side(least[::-1], part[::-1], -at[::-1], np.greater_equal, -(starts[part + 1] - seed)[::-1])[::-1] + 1
+    good = end - begin >= width
+    at, part, least, first, end = at[good], part[good], least[good], first[good], end[good]
+    return at, part, least, np.maximum(first, at - width + 1), np.minimum(at, end - width)
+
+
 def sketches(documents: DataFrame, key: str, text: str, span: int, seed: int) -> DataFrame:
     """Of every text of at least ``span`` characters a row with its length and 128-bit content hash, and a row per selected seed: seed hash h and position pos."""
     kind = documents.schema[key].dataType.simpleString()
@@ -80,11 +142,10 @@ def sketches(documents: DataFrame, key: str, text: str, span: int, seed: int) ->
             yield rows(batch.column(0), length=pa.array([len(t) for t in texts], pa.int32()), content=content)
             for block in overlapping(texts, BLOCK, span - 1):
                 points, starts = code_points([part for *_, part in block])
-                hashes, _, _, at = sketch(points, starts, span, seed)
-                which = np.searchsorted(starts, at, "right") - 1
+                at, which, hashes, *_ = picked(points, starts, span, seed)
                 owner, offset = (np.array([x[i] for x in block], dtype=np.int64) for i in (0, 1))
                 place = at - starts[which] + offset[which]
-                yield rows(batch.column(0).take(pa.array(owner[which])), h=pa.array(hashes[at].view(np.int64)), pos=pa.array(place.astype(np.int32)))
+                yield rows(batch.column(0).take(pa.array(owner[which])), h=pa.array(hashes.view(np.int64)), pos=pa.array(place.astype(np.int32)))
 
     kept = documents.where(F.col(key).isNotNull() & (F.length(text) >= span)).select(F.col(key), F.col(text))
     return kept.mapInArrow(run, f"`{key}` {kind}, length int, content binary, h bigint, pos int")
@@ -121,6 +182,8 @@ def chain(matches: list[tuple[int, int, int]], cost: float = GAP_COST) -> list[l
     cost linear in both coordinates the best predecessor is the greatest prefix
     value over b in a Fenwick tree while ends are swept along a. Every match is in exactly one chain.
     """
+    if len(matches) == 1:
+        return [matches]
     order = sorted(range(len(matches)), key=lambda i: matches[i])
     ends = sorted(range(len(matches)), key=lambda i: matches[i][0] + matches[i][2])
     columns = sorted({b + n for _, b, n in matches})
@@ -153,8 +216,9 @@ def _agree(a: np.ndarray, b: np.ndarray) -> int:
     while at < n:
         to = min(n, at + step)
         differ = a[at:to] != b[at:to]
-        if differ.any():
-            return at + int(differ.argmax())
+        first = int(differ.argmax())
+        if differ[first]:
+            return at + first
         at, step = to, step * 4
     return n
 
@@ -176,23 +240,33 @@ def exact_matches(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]],
     return out
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
-    """Edit distance of two short stretches (bit-parallel over one word of any width)."""
-    if not len(a) or not len(b):
-        return max(len(a), len(b))
+def edit_distance(a: np.ndarray, b: np.ndarray, most: int | None = None) -> int:
+    """Edit distance of two short stretches (bit-parallel over one word of any width, a round per character of the shorter); more than ``most`` may end early with any value above it."""
+    if len(a) < len(b):
+        a, b = b, a
+    if not len(b):
+        return len(a)
     peq: dict[int, int] = {}
+    get = peq.get
     for i, c in enumerate(a.tolist()):
-        peq[c] = peq.get(c, 0) | 1 << i
-    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    pv, mv, score = full, 0, len(a)
-    for c in b.tolist():
-        eq = peq.get(c, 0)
-        xv = eq | mv
-        xh = (((eq & pv) + pv) ^ pv) | eq
-        ph, mh = mv | ~(xh | pv) & full, pv & xh
-        score += bool(ph & top) - bool(mh & top)
-        ph, mh = (ph << 1 | 1) & full, mh << 1 & full
-        pv, mv = mh | ~(xv | ph) & full, ph & xv
+        peq[c] = get(c, 0) | 1 << i
+    full, codes = (1 << len(a)) - 1, b.tolist()
+    pv, mv = full, 0
+    for at in range(0, len(codes), ROUNDS):
+        # bits beyond the word have no effect on those below, and go at the end of a run of rounds
+        for c in codes[at : at + ROUNDS]:
+            eq = get(c, 0)
+            xv = eq | mv
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph = (mv | (full ^ (xh | pv))) << 1 | 1
+            pv = (pv & xh) << 1 | (full ^ (xv | ph))
+            mv = ph & xv
+        pv, mv = pv & full, mv & full
+        done = min(at + ROUNDS, len(codes))
+        score = done + pv.bit_count() - mv.bit_count()
+        least = score - (len(codes) - done)  # each round takes off one at most
+        if most is not None and least > most:
+            return least
     return score
 
 
@@ -206,7 +280,7 @@ def edits_within(gaps: list[tuple[np.ndarray, np.ndarray]], most: int) -> int |
     for (a, b), bound in sorted(zip(gaps, bounds, strict=True), key=lambda x: len(x[0][0]) * len(x[0][1])):
         if left < 0:
             return None
-        left -= edit_distance(a, b) - bound
+        left -= edit_distance(a, b, left + bound) - bound
     return most - left if left >= 0 else None
 
 
@@ -241,25 +315,26 @@ def passages(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]], seed:
     return out
 
 
-def packed_texts(documents: DataFrame, key: str, text: str, span: int, wanted: DataFrame) -> DataFrame:
-    """key and compressed text of the texts that ``wanted`` (distinct keys, written already) may hold.
+def packed_texts(documents: DataFrame, key: str, text: str, span: int, wanted: DataFrame, marked: DataFrame) -> DataFrame:
+    """key and compressed text of the texts that ``wanted`` (distinct keys, written already) may hold; ``marked`` tells of which ``marked`` may hold them.
 
-    A filter of bounded size leaves most other texts out before they are
+    Filters of bounded size leave most other texts out before they are
     compressed and shuffled; a join must follow for the few that pass wrongly.
     """
     kind = documents.schema[key].dataType.simpleString()
-    sent = Sieve.of(wanted, key, wanted.count()).send(documents)
+    sent, mark = (Sieve.of(x, key, x.count()).send(documents) for x in (wanted, marked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=6)
         for batch in batches:
-            at = np.flatnonzero(sent.value.holds(batch.column(2).to_numpy()))
+            hashes = batch.column(2).to_numpy()
+            at = np.flatnonzero(sent.value.holds(hashes))
             kept = batch.take(pa.array(at))
             packed = [pack.compress(t.encode("utf-8", "surrogatepass")) for t in texts_of(kept.column(1))]
-            yield pa.RecordBatch.from_arrays([kept.column(0), pa.array(packed, pa.binary())], names=[key, "packed"])
+            yield pa.RecordBatch.from_arrays([kept.column(0), pa.array(packed, pa.binary()), pa.array(mark.value.holds(hashes[at]))], names=[key, "packed", "marked"])
 
     kept = documents.where(F.col(key).isNotNull() & (F.length(text) >= span)).select(F.col(key), F.col(text), key_hash(F.col(key)))
-    return kept.mapInArrow(run, f"`{key}` {kind}, packed binary")
+    return kept.mapInArrow(run, f"`{key}` {kind}, packed binary, marked boolean")
 
 
 def _unpack(packed: bytes, by=zstandard.ZstdDecompressor()) -> str:
@@ -345,34 +420,33 @@ def _windows(hot: DataFrame, packed: DataFrame, key: str, kind: str, span: int,
     """Windows whose least seed is one of ``hot`` (key, h, n): key, h, hash w, first place s, ``echo``, bucket and split.
 
     h and w together are 128 bits that depend on the window's characters. Of equal windows of one
-    text the first has a row; the stretches that the others cover are its ``echo``. Windows of a seed with
+    text the first has a row; the stretches that the others cover are its ``echo`` (pairs of 32-bit start and end). Windows of a seed with
     more than GROUP occurrences are split over buckets of about GROUP rows by a hash of the key.
     """
     parts = F.ceil(F.col("n") / GROUP).cast("int")
     hot = hot.select(key, F.struct("h", F.pmod(F.xxhash64(key), parts).cast("int").alias("bucket"), (parts > 1).alias("split")).alias("seed"))
     met = hot.groupBy(key).agg(F.collect_set("seed").alias("seeds")).join(packed, key).select(key, "seeds", "packed")
-    layout = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, wanted = [_unpack(p) for p in batch.column(2).to_pylist()], batch.column(1).to_pylist()
             for block in overlapping(texts, BLOCK, span - 1):
                 points, starts = code_points([part for *_, part in block])
-                _, least, inside, _ = sketch(points, starts, span, seed)
+                seeds, part, least, low, high = picked(points, starts, span, seed)
                 owner, offset = (np.array([x[i] for x in block], dtype=np.int64) for i in (0, 1))
-                at = np.flatnonzero(inside)
-                part = np.searchsorted(starts, at, "right") - 1
                 # the seeds wanted of each part, as (part, h)
                 held = [(i, x["h"], x["bucket"], x["split"]) for i, o in enumerate(owner.tolist()) for x in wanted[o]]
                 of, h, bucket, split = (np.array(c) for c in zip(*held, strict=True))
                 order = np.lexsort((h, of))
                 of, h, bucket, split = of[order], h[order].astype(np.int64), bucket[order], split[order]
-                sought = np.stack([part, least[at].view(np.int64)], axis=1)
-                spot = _rank(np.stack([of, h], axis=1), sought)
-                good = spot >= 0
-                at, part, spot = at[good], part[good], spot[good]
-                w = window_hashes(points, span)[at].view(np.int64)
-                order = np.lexsort((at, w, spot))
+                spot = _rank(np.stack([of, h], axis=1), np.stack([part, least.view(np.int64)], axis=1))
+                good = (spot >= 0) & (low <= high)
+                many = (high - low + 1)[good]
+                begin = np.cumsum(many) - many
+                at = np.repeat(low[good] - begin, many) + np.arange(many.sum())
+                part, spot = np.repeat(part[good], many), np.repeat(spot[good], many)
+                w = hashes_of(points, span)[at].view(np.int64)
+                order = np.argsort(w, kind="stable")  # the windows of a part stand together and in order, and so do its equal ones
                 at, part, spot, w = at[order], part[order], spot[order], w[order]
                 first = np.ones(len(at), dtype=bool)
                 first[1:] = (spot[1:] != spot[:-1]) | (w[1:] != w[:-1])
@@ -383,14 +457,15 @@ def _windows(hot: DataFrame, packed: DataFrame, key: str, kind: str, span: int,
                 fresh[1:] = (np.diff(again) > 1) | (np.diff(place[again]) > span)
                 begins = again[fresh]
                 ends = np.concatenate([again[:-1][fresh[1:]], again[-1:]])
-                runs = pa.StructArray.from_arrays([pa.array(place[begins]), pa.array((place[ends] + span).astype(np.int32))], names=["s", "e"])
-                echo = pa.ListArray.from_arrays(pa.array(np.searchsorted(begins, np.append(lead, len(at))).astype(np.int32)), runs)
+                runs = np.stack([place[begins], place[ends] + np.int32(span)], axis=1)
+                cuts = (8 * np.searchsorted(begins, np.append(lead, len(at)))).astype(np.int32)
+                echo = pa.Array.from_buffers(pa.binary(), len(lead), [None, pa.py_buffer(cuts), pa.py_buffer(runs.tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(owner[part[lead]])), pa.array(h[spot[lead]]), pa.array(w[lead]), pa.array(place[lead]), echo.cast(layout), pa.array(bucket[spot[lead]].astype(np.int32)), pa.array(split[spot[lead]].astype(bool))],
+                    [batch.column(0).take(pa.array(owner[part[lead]])), pa.array(h[spot[lead]]), pa.array(w[lead]), pa.array(place[lead]), echo, pa.array(bucket[spot[lead]].astype(np.int32)), pa.array(split[spot[lead]].astype(bool))],
                     names=[key, "h", "w", "s", "echo", "bucket", "split"],
                 )
 
-    return met.mapInArrow(run, f"`{key}` {kind}, h bigint, w bigint, s int, echo array<struct<s:int,e:int>>, bucket int, split boolean")
+    return met.mapInArrow(run, f"`{key}` {kind}, h bigint, w bigint, s int, echo binary, bucket int, split boolean")
 
 
 def _rank(rows: np.ndarray, sought: np.ndarray) -> np.ndarray:
@@ -404,32 +479,87 @@ def _rank(rows: np.ndarray, sought: np.ndarray) -> np.ndarray:
     return np.where(have[spot] == want, spot, -1)
 
 
-def _linked(windows: DataFrame, key: str, how: str, *by: str) -> DataFrame:
-    """Windows that another text holds too, with ``lo``, their group's least member, and a partner of another text. With ``how`` left all windows, nulls for the others.
+def _linked(windows: DataFrame, key: str, kind: str, span: int, by: list[str], again: bool) -> DataFrame:
+    """Links of windows that another text holds too, as (a, b, off, at, s): window ``s`` of text b is window s + off of text a; ``at`` is the stretch of span + 1 characters that s lies in.
 
-    One shuffle serves the groups and the join back. Groups are of bounded size, and so is a task.
+    Each group of equal windows, which is of bounded size, links its members to its least one, and members of the same text as that
+    to its last one; the least one's link is that of the last. One shuffle and one sort, by w alone, serve, and each window is made once. An echo
+    is a row without b: from at to off in text a. With ``again`` also the windows of split seeds that found no partner, and the least of each group, as rows without a.
     """
-    spread = windows.repartition(*by)
-    held = spread.groupBy(*by).agg(F.min(key).alias("ld"), F.min_by("s", key).alias("lp"), F.max(key).alias("hd"), F.max_by("s", key).alias("hp")).where("ld <> hd").hint("shuffle_hash")
-    lo, hi = F.struct(F.col("ld").alias("d"), F.col("lp").alias("p")), F.struct(F.col("hd").alias("d"), F.col("hp").alias("p"))
-    found = F.col("ld").isNotNull()
-    return spread.join(held, [*by], how).select(*windows.columns, F.when(found, lo).alias("lo"), F.when(found, F.when(F.col(key) == F.col("ld"), hi).otherwise(lo)).alias("partner"))
+    columns = [key, "h", "w", "s", "echo", *["bucket", "split"] * again]
+    rows = windows.select(columns).repartition(*by).sortWithinPartitions("w")
+    layout = [("a", kind), ("b", kind), ("off", "int"), ("at", "int"), ("s", "int"), *[("h", "bigint"), ("w", "bigint"), ("echo", "binary")] * again]
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+
+    def rows_of(n: int, **given: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([given.get(c, pa.nulls(n, kinds.get(k, pa.string()))) for c, k in layout], names=[c for c, _ in layout])
+
+    def link(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.concat_batches(held)
+        if not again:
+            size = np.diff(_leads(t, ["w"]), append=t.num_rows)
+            t = t.filter(pa.array(np.repeat(size > 1, size)))
+            if not t.num_rows:
+                return
+        rank = np.empty(t.num_rows, dtype=np.int64)
+        rank[pc.sort_indices(t.column(key)).to_numpy()] = np.arange(t.num_rows)
+        t = t.take(pa.array(np.lexsort((rank, *(t.column(c).to_numpy() for c in by)))))
+        lead = _leads(t, by)
+        size = np.diff(lead, append=t.num_rows)
+        last = lead + size - 1
+        keys, s, echo = t.column(key), t.column("s").to_numpy(), t.column("echo")
+        shared = pc.not_equal(keys.take(pa.array(lead)), keys.take(pa.array(last))).to_numpy(zero_copy_only=False)
+        if again:
+            alone = np.repeat(~shared, size)
+            alone[lead] = True
+            more = t.filter(pa.array(alone & t.column("split").to_numpy(zero_copy_only=False)))
+            yield rows_of(more.num_rows, b=more.column(key), **{c: more.column(c) for c in ("s", "h", "w", "echo")})
+        lead, last, size = lead[shared], last[shared], size[shared]
+        row = np.arange(size.sum()) + np.repeat(lead - np.cumsum(size) + size, size)
+        lead, last = np.repeat(lead, size), np.repeat(last, size)
+        mine = keys.take(pa.array(row))
+        partner = np.where(pc.equal(mine, keys.take(pa.array(lead))).to_numpy(zero_copy_only=False), last, lead)
+        linked = row != lead
+        own, partner = row[linked], partner[linked]
+        yield rows_of(len(own), a=keys.take(pa.array(partner)), b=mine.filter(pa.array(linked)), off=pa.array(s[partner] - s[own]), at=pa.array(s[own] // np.int32(span + 1)), s=pa.array(s[own]))
+        many = pc.binary_length(echo).to_numpy()[row] // 8
+        if many.any():
+            begin, end = np.frombuffer(b"".join(echo.take(pa.array(row)).to_pylist()), dtype=np.int32).reshape(-1, 2).T
+            yield rows_of(len(begin), a=mine.take(pa.array(np.repeat(np.arange(len(row)), many))), off=pa.array(end), at=pa.array(begin), s=pa.array(begin))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the group that may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cut = int(_leads(batch, ["w"])[-1])
+            if cut or held and held[-1].column("w")[-1] != batch.column("w")[0]:
+                yield from link([*held, batch.slice(0, cut)])
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from link(held)
+
+    return rows.mapInArrow(run, ", ".join(f"{c} {k}" for c, k in layout))
+
+
+def _leads(rows: pa.RecordBatch, by: list[str]) -> np.ndarray:
+    """First rows of the groups of sorted rows."""
+    group = np.stack([rows.column(c).to_numpy() for c in by])
+    return np.flatnonzero(np.append(True, (group[:, 1:] != group[:, :-1]).any(axis=0)))
 
 
-def _links(windows: DataFrame, key: str, split: bool) -> DataFrame:
-    """Windows that another text holds too: key, s, echo, partner; partner is null where the partner's link to this window serves.
+def _links(windows: DataFrame, key: str, kind: str, span: int, split: bool) -> DataFrame:
+    """Per diagonal and stretch the first link (a, b, off, at, y) of windows that another text holds too, and their echoes (a, null, off, at, y).
 
-    A group of equal windows within a bucket links all members to its least one. Where
-    buckets split a seed, those who found no partner and the least of each group meet again over all buckets.
+    Where buckets split a seed, those who found no partner and the least of each group within a bucket meet again over all buckets.
     """
-    if not split:
-        found = _linked(windows, key, "inner", "w", "h", "bucket")
-    else:
-        near = stash(_linked(windows, key, "left", "w", "h", "bucket"), "near")
-        alone = near.where("split AND (partner IS NULL OR (lo.d = " + f"`{key}`" + " AND lo.p = s))").drop("lo", "partner")
-        found = near.where("partner IS NOT NULL").unionByName(_linked(alone, key, "inner", "w", "h"))
-    served = (F.col("lo.d") == F.col(key)) & (F.col("lo.p") == F.col("s"))
-    return found.select(key, "s", "echo", F.when(~served, F.col("partner")).alias("partner"))
+    found = _linked(windows, key, kind, span, ["w", "h", *["bucket"] * split], split)
+    if split:
+        near = stash(found, "near")
+        alone = near.where("a IS NULL").select(F.col("b").alias(key), "h", "w", "s", "echo")
+        found = near.where("a IS NOT NULL").select("a", "b", "off", "at", "s").unionByName(_linked(alone, key, kind, span, ["w", "h"], False))
+    return found.groupBy("a", "b", "off", "at").agg(F.min("s").alias("y"))
 
 
 class TextPairs:
@@ -452,16 +582,15 @@ class TextPairs:
         counts = stash(counts.where("lo <> hi").select("h", "n"), "counts")
         shared = stash(join_listed(seeds, counts, "h", rows.count()), "shared")
         cold, hot = shared.where(F.col("n") <= paired), shared.where(F.col("n") > paired).select(key, "h", "n").distinct()
-        boilers = packed_texts(documents, key, text, span, stash(hot.select(key).distinct(), "hot"))
+        wanted = stash(shared.groupBy(key).agg((F.max("n") > paired).alias("hot")), "wanted")
+        texts = stash(packed_texts(documents, key, text, span, wanted, wanted.where("hot")), "packed")
+        self.packed = texts.select(key, "packed")
         most = counts.agg(F.max("n")).first()[0] or 0
-        links = stash(_links(_windows(hot, boilers, key, self.kind, span, seed), key, most > GROUP), "links")
-        self.echoes = links.where("size(echo) > 0").select(key, F.explode("echo").alias("x")).select(key, "x.s", "x.e")
         # windows on one diagonal that begin within span characters of each other lie in one common stretch
-        sides = links.where("partner IS NOT NULL").select(F.col("partner.d").alias("a"), F.col(key).alias("b"), "s", (F.col("partner.p") - F.col("s")).alias("off"))
-        near = sides.groupBy("a", "b", "off", F.floor(F.col("s") / (span + 1)).alias("at")).agg(F.min("s").alias("y")).select("a", "b", (F.col("y") + F.col("off")).cast("int").alias("x"), "y")
+        links = stash(_links(_windows(hot, texts.where("marked"), key, self.kind, span, seed), key, self.kind, span, most > GROUP), "links")
+        self.echoes = links.where("b IS NULL").select(F.col("a").alias(key), F.col("at").alias("s"), F.col("off").alias("e"))
+        near = links.where("b IS NOT NULL").select("a", "b", (F.col("y") + F.col("off")).cast("int").alias("x"), "y")
         self.pairs = stash(_anchors(cold, key).unionByName(near).groupBy("a", "b").agg(F.collect_list(F.struct("x", "y")).alias("anchors")), "pairs")
-        ends = self.pairs.select(F.col("a").alias(key)).union(self.pairs.select("b")).distinct()
-        self.packed = packed_texts(documents, key, text, span, stash(ends, "ends"))
 
 
 def shared_spans(documents: DataFrame, span: int = 400, key: str = "doc_id", text: str = "text", seed: int = SEED, paired: int = PAIRED) -> DataFrame:

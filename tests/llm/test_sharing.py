@@ -180,3 +180,68 @@ def test_long_texts_are_sampled_in_parts():
         *_, at = sharing.sketch(points, cuts, 50, 10)
         got |= {int(k - cuts[w] + block[w][1]) for k in at for w in [np.searchsorted(cuts, k, "right") - 1]}
     assert got == set(want.tolist())
+
+
+@pytest.mark.parametrize("paired", [2, 16])
+def test_texts_are_read_twice_at_most(spark, paired):
+    docs = corpus(31)
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame(docs, "doc_id BIGINT, text STRING").repartition(4).mapInArrow(count, "doc_id BIGINT, text STRING")
+    got = {tuple(r) for r in sharing.shared_spans(df, 40, seed=12, paired=paired).select("doc_id", "span_start", "span_end").collect()}
+    assert got == brute(docs, 40)
+    assert read.value <= 2 * len(docs)  # for the seeds, and for the texts that share any
+
+
+def test_picked_seeds_are_those_of_the_definition(monkeypatch):
+    rnd = np.random.default_rng(11)
+    for trial in range(200):
+        n = int(rnd.integers(0, 900))
+        points = rnd.integers(97, 97 + int(rnd.integers(1, 5)), n, dtype=np.uint32)
+        if trial % 3 == 0 and n > 300:
+            points[200:260] = points[:60]
+        starts = np.concatenate([[0], np.sort(rnd.integers(0, n + 1, int(rnd.integers(0, 6)))), [n]]).astype(np.int64)
+        seed = int(rnd.integers(1, 30))
+        span = seed + int(rnd.integers(0, 120))
+        monkeypatch.setattr(sharing, "TILE", int(rnd.integers(1, 200)))
+        hashes, _, inside, at = sharing.sketch(points, starts, span, seed)
+        found, part, least, low, high = sharing.picked(points, starts, span, seed)
+        assert found.tolist() == at.tolist() and (hashes[found] == least).all()
+        assert all(starts[p] <= x and x + seed <= starts[p + 1] for x, p in zip(found, part, strict=True))
+        windows = [(s, x) for x, a, b in zip(found.tolist(), low.tolist(), high.tolist(), strict=True) for s in range(a, b + 1)]
+        assert windows == [(s, s + int(np.argmin(hashes[s : s + span - seed + 1]))) for s in np.flatnonzero(inside).tolist()]
+
+
+def test_alignments_over_their_bound_end_above_it():
+    rnd = random.Random(6)
+    for _ in range(300):
+        a = [rnd.randrange(3) for _ in range(rnd.randrange(200))]
+        b = [x for x in a if rnd.random() < 0.8] if rnd.random() < 0.5 else [rnd.randrange(3) for _ in range(rnd.randrange(200))]
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            row, over = [i + 1], row
+            for j, y in enumerate(b):
+                row.append(min(over[j] + (x != y), over[j + 1] + 1, row[j] + 1))
+        most, sides = rnd.randrange(90), (np.array(a, dtype=np.uint32), np.array(b, dtype=np.uint32))
+        assert sharing.edit_distance(*sides) == row[-1]
+        assert sharing.edit_distance(*sides, most) == row[-1] if row[-1] <= most else sharing.edit_distance(*sides, most) > most
+
+
+@pytest.mark.parametrize("group", [4, 100_000])
+def test_groups_of_windows_go_over_batches(spark, monkeypatch, group):
+    monkeypatch.setattr(sharing, "GROUP", group)
+    docs = corpus(53)
+    df = spark.createDataFrame([(None if d == 700 else f"k{d}", t) for d, t in docs], "doc_id STRING, text STRING").repartition(3)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, 7)
+    try:
+        got = [tuple(r) for r in sharing.shared_spans(df, 40, seed=12, paired=2).select("doc_id", "span_start", "span_end").collect()]
+    finally:
+        spark.conf.set(setting, before)
+    assert len(got) == len(set(got)) and set(got) == brute([(f"k{d}", t) for d, t in docs], 40)
